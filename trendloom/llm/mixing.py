@@ -16,7 +16,7 @@ WEIGHTS = (3, 1, 2)
 #: The mix's size as a share of all sizes, and each source's ceiling as a multiple of its size.
 SHARE, CEILING = 1.5, 2
 #: Documents of a source are dealt into ranges of about this many keys for the prefix sum.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: int = CEILING) -> DataFrame:

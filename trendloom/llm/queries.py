@@ -1,10 +1,12 @@
 """The queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
-from . import mixing, secrets, urls
+from . import decontaminate, mixing, neardup, secrets, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op6_url_filters": urls.op6_url_filters,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
 }
 ORACLE_SQL = {"op6_url_filters": urls.SQL}
