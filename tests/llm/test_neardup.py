@@ -58,7 +58,7 @@ def altered(rng, words, vocab, share):
     return [rng.choice(vocab) if rng.random() < share else w for w in words]
 
 
-@pytest.mark.parametrize("node", [256, 24])
+@pytest.mark.parametrize("node", [256, 6])
 def test_near_duplicates(spark, monkeypatch, node):
     monkeypatch.setattr(neardup, "NODE", node)
     rng = random.Random(node)
@@ -84,7 +84,7 @@ def test_near_duplicates(spark, monkeypatch, node):
 def test_copies_and_blocks(spark, monkeypatch):
     """Nodes that no level splits are compared block by block."""
     monkeypatch.setattr(neardup, "NODE", 4)
-    monkeypatch.setattr(neardup, "DEPTH", 3)
+    monkeypatch.setattr(neardup, "DEPTH", 1)
     rng = random.Random(9)
     vocab = vocabulary(rng, 300)
     base = rng.choices(vocab, k=400)

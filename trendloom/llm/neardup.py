@@ -2,7 +2,9 @@
 
 Each tree sends a document down one path: at every level it follows the least of its shingles under
 that level's random order. Nodes are split until few documents are left in them, and those are
-compared with each other. Independent trees repeat this until the target recall is reached.
+compared with each other. A large node that its next level hardly splits holds documents that are
+alike: it isn't split further, but compared with its most typical members, then piece by piece as
+far as its members aren't connected yet. Independent trees repeat this to reach the target recall.
 Candidates are confirmed on the full shingle sets, and confirmed links give the groups.
 """
 
@@ -11,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACED, Bloom, materialize, mix, read, shingles
@@ -22,8 +24,11 @@ SHINGLE, PERCENT = 5, 85
 TREES = 16
 #: Random orders of the shingles; each tree takes its own sequence of them. They are the sketch too.
 ORDERS = 96
-#: A node of more documents than this is split, down to this depth.
-NODE, DEPTH = 256, 24
+#: A node of more documents than this is split, down to this depth, as long as no child keeps more
+#: than ALIKE of its parent; what is larger then is a family of documents that are alike.
+NODE, DEPTH, ALIKE = 256, 24, 0.5
+#: Typical members that all members of a family are compared with.
+PIVOTS = 2
 #: Candidates whose sketches agree in a smaller share are no links: four standard deviations below.
 SKETCH = 0.70
 
@@ -79,44 +84,108 @@ def _roots(batches):
 
 def _deeper(level: int):
     def step(batches):
-        """node, tree, cid, low -> the node one level below."""
+        """node, tree, cid, low, above -> the node one level below."""
         for batch in batches:
             if batch.num_rows:
                 node, tree = _ints(batch.column(0)).view(np.uint64), _ints(batch.column(1))
                 low = _matrix(batch.column(3), np.uint32, ORDERS)
                 chosen = low[np.arange(len(node)), PATHS[tree, level]].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(node) + chosen).view(np.int64)), batch.column(1), batch.column(2)], ["node", "tree", "cid"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(node) + chosen).view(np.int64)), batch.column(1), batch.column(2), batch.column(4)], ["node", "tree", "cid", "above"])
 
     return step
 
 
-def leaves(classes: DataFrame) -> DataFrame:
-    """(node, cid) of all nodes that hold 2 to NODE classes, at whatever level they are reached.
-
-    What is still together at the last level is dealt into blocks; each pair of blocks is a node,
-    so that all of it is compared, whatever its size.
-    """
+def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, cid) of the nodes that hold 2 to NODE classes, and (node, cid, n) of the families."""
     roots = classes.select("cid", "low").mapInArrow(_roots, "node long, tree int, cid long")
-    counts = materialize(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "dup-counts0")
-    found = []
-    active = roots
+    counts = materialize(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "dup-counts")
+    small, families = [], []
+    active = roots.withColumn("above", F.lit(None).cast("long"))
     for level in range(1, DEPTH + 1):
-        sized = active.join(counts, "node")
-        sized = materialize(sized, f"dup-level{level}")
-        found.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
+        sized = materialize(active.join(counts, "node"), f"dup-level{level}")
+        small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
         large = sized.where(F.col("n") > NODE)
         if large.isEmpty():
-            return _union(found)
-        if level == DEPTH:
             break
-        below = large.join(classes.select("cid", "low"), "cid").select("node", "tree", "cid", "low")
-        active = materialize(below.mapInArrow(_deeper(level), "node long, tree int, cid long"), f"dup-below{level}")
+        alike = F.coalesce(F.col("n") > ALIKE * F.col("above"), F.lit(False)) | F.lit(level == DEPTH)
+        families.append(large.where(alike).select("node", "cid", "n"))
+        below = large.where(~alike).select("node", "tree", "cid", F.col("n").alias("above")).join(classes.select("cid", "low"), "cid")
+        below = below.select("node", "tree", "cid", "low", "above").mapInArrow(_deeper(level), "node long, tree int, cid long, above long")
+        active = materialize(below, f"dup-below{level}")
         counts = active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") * 2 / NODE).cast("long")
-    own = F.pmod(F.xxhash64("cid"), blocks)
-    pairs = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    rest = pairs.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "cid")
-    return _union([*found, rest])
+    return _union(small), _union(families) if families else None
+
+
+def _centers(batches):
+    """node, low of some members, sorted by node -> the most frequent value of each order."""
+    for run in _by_node(batches):
+        node, low = _ints(run.column(0)), _matrix(run.column(1), np.uint32, ORDERS)
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
+        out = []
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            part = np.sort(low[a:b], axis=0)
+            # how often each value has come so far in its order: the last of the longest run is the mode
+            place = np.broadcast_to(np.arange(b - a)[:, None], part.shape)
+            start = np.maximum.accumulate(np.where(np.vstack([np.ones((1, ORDERS), bool), part[1:] != part[:-1]]), place, 0), axis=0)
+            out.append(part[(place - start).argmax(axis=0), np.arange(ORDERS)].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(node[edge[:-1]]), pa.array(out, pa.binary())], ["node", "center"])
+
+
+def _typical(batches):
+    """node, cid, low, center -> how many orders agree with the center."""
+    for batch in batches:
+        if batch.num_rows:
+            agree = (_matrix(batch.column(2), np.uint32, ORDERS) == _matrix(batch.column(3), np.uint32, ORDERS)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(agree.astype(np.int32))], ["node", "cid", "agree"])
+
+
+def _star(batches):
+    """cid, size, low of a member and of a pivot -> the pairs whose sketches agree."""
+    for batch in batches:
+        if batch.num_rows:
+            x, n, y, m = (_ints(batch.column(i)) for i in (0, 1, 3, 4))
+            agree = (_matrix(batch.column(2), np.uint32, ORDERS) == _matrix(batch.column(5), np.uint32, ORDERS)).mean(axis=1)
+            ok = (x != y) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (agree >= SKETCH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
+
+
+def stars(families: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidates (a, b) between the members of each family and its most typical ones."""
+    members = families.join(sketches, "cid")
+    some = members.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("n") / NODE)) == 0)
+    centers = some.select("node", "low").repartition("node").sortWithinPartitions("node").mapInArrow(_centers, "node long, center binary")
+    scored = members.join(centers, "node").select("node", "cid", "low", "center").mapInArrow(_typical, "node long, cid long, agree int")
+    best = scored.groupBy("node", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(PIVOTS)).alias("k")).agg(F.max(F.struct("agree", F.negate("cid").alias("minus"))).alias("best"))
+    pivots = best.select("node", F.negate("best.minus").alias("cid")).join(sketches, "cid").select("node", F.col("cid").alias("p"), F.col("size").alias("p_size"), F.col("low").alias("p_low"))
+    pivots = materialize(pivots, "dup-pivots")
+    return members.join(pivots, "node").select("cid", "size", "low", "p", "p_size", "p_low").mapInArrow(_star, "a long, b long")
+
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n * 2 / NODE).cast("long")
+
+
+def pieces(families: DataFrame) -> DataFrame:
+    """The families dealt into nodes of about NODE / 2."""
+    return families.select(F.xxhash64("node", F.pmod(F.xxhash64("cid", F.lit(3)), _blocks(F.col("n")))).alias("node"), "cid")
+
+
+def crossings(labelled: DataFrame) -> DataFrame:
+    """Nodes in which all members of a family with different labels meet: (node, cid, label).
+
+    Most members share a family's commonest label. All others are dealt into blocks, which meet
+    each block of the family; the rows are as many as the family has, times blocks of the others.
+    """
+    counts = labelled.groupBy("node", "label").agg(F.count("*").alias("k"))
+    most = counts.groupBy("node").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"))
+    most = most.select("node", "n", F.col("most.label").alias("common"), (F.col("n") - F.col("most.k")).alias("others")).where("others > 0")
+    rows = labelled.drop("n").join(most, "node")
+    own = F.pmod(F.xxhash64("cid", F.lit(3)), _blocks(F.col("n")))
+    other = F.pmod(F.xxhash64("cid", F.lit(4)), _blocks(F.col("others")))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(n)) - 1))
+    members = rows.select("node", "cid", "label", own.alias("x"), every("others").alias("y"))
+    others = rows.where("label != common").select("node", "cid", "label", other.alias("y"), every("n").alias("x"))
+    return members.unionByName(others).select(F.xxhash64("node", "x", "y").alias("node"), "cid", "label")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -161,23 +230,29 @@ def _compare(spanning: bool):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def step(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            node = _ints(batch.column(0))
-            # the last node may go on in the next batch; a node has few rows
-            cut = int(np.searchsorted(node, node[-1], "left"))
-            yield from pairs_of(batch.slice(0, cut)) if cut else ()
-            held = batch.slice(cut)
-        if held is not None:
-            yield from pairs_of(held)
+        for run in _by_node(batches):
+            yield from pairs_of(run)
 
     return step
 
 
+def _by_node(batches):
+    """Batches of whole nodes, of batches sorted by node (the first column); a node has few rows."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        node = _ints(batch.column(0))
+        cut = int(np.searchsorted(node, node[-1], "left"))  # the last node may go on in the next batch
+        if cut:
+            yield batch.slice(0, cut)
+        held = batch.slice(cut)
+    if held is not None:
+        yield held
+
+
 def _forest(a: np.ndarray, b: np.ndarray, agree: np.ndarray) -> np.ndarray:
     """Places of the pairs of a spanning forest, best pairs first."""
     up: dict[int, int] = {}
@@ -278,18 +353,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "dup-classes")  # written once, so the ids stay
     sketches = classes.select("cid", "size", "low")
-    leaf = leaves(classes)
+    small, families = leaves(classes)
 
-    def confirmed(labels: DataFrame | None, known: DataFrame | None) -> DataFrame:
-        at = leaf
+    def confirmed(labels: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         if labels is None:
+            at = small if families is None else small.unionByName(pieces(families))
             at = at.withColumn("label", F.col("cid"))
         else:
-            at = at.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+            label = lambda df: df.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+            at = label(small)
             mixed = at.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
-            at = at.join(mixed, "node")
+            at = at.join(mixed, "node").select("node", "cid", "label")
+            if families is not None:
+                at = at.unionByName(crossings(label(families)))
         sketched = at.join(sketches, "cid").select("node", "cid", "label", "size", "low")
-        pairs = sketched.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_compare(labels is None), "a long, b long").distinct()
+        pairs = sketched.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_compare(labels is None), "a long, b long")
+        if labels is None and families is not None:
+            pairs = pairs.unionByName(stars(families, sketches))
+        pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "dup-pairs")
