@@ -239,3 +239,30 @@ class Bloom:
         for p in self._places(keys):
             hit &= (self.bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
         return hit
+
+
+# --- sums of fixed-size arrays ----------------------------------------------------------------
+
+
+def summed(parts: DataFrame, length: int) -> np.ndarray:
+    """The element-wise sum of a binary column ``part`` of ``length`` doubles, one row a task.
+
+    Rows are summed on the executors in two steps, so the driver gets a few arrays however many
+    tasks there were.
+    """
+
+    def add(batches):
+        total, seen = np.zeros(length), False
+        for b in batches:
+            for x in b.column(0):
+                total += np.frombuffer(x.as_buffer(), np.float64)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["part"])
+
+    tasks = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    once = parts.select("part").repartition(tasks).mapInArrow(add, "part binary")
+    total = np.zeros(length)
+    for row in once.repartition(4).mapInArrow(add, "part binary").collect():
+        total += np.frombuffer(row.part, np.float64)
+    return total

@@ -1,12 +1,14 @@
 """The queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
-from . import decontaminate, mixing, neardup, secrets, urls
+from . import decontaminate, language, mixing, neardup, quality, secrets, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op5_quality": quality.op5_quality,
     "op6_url_filters": urls.op6_url_filters,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_language_id": language.op8_language_id,
 }
 ORACLE_SQL = {"op6_url_filters": urls.SQL}
