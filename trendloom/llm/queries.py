@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
-from . import decontaminate, language, mixing, neardup, quality, secrets, urls
+from . import decontaminate, language, mixing, neardup, neighbours, quality, secrets, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_url_filters": urls.op6_url_filters,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language_id": language.op8_language_id,
+    "op10_nearest": neighbours.op10_nearest,
 }
 ORACLE_SQL = {"op6_url_filters": urls.SQL}
