@@ -1,15 +1,17 @@
 """The queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
-from . import decontaminate, language, mixing, neardup, neighbours, quality, secrets, urls
+from . import decontaminate, language, licenses, mixing, neardup, neighbours, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_mix_sources": mixing.op2_mix_sources,
     "op3_near_duplicates": neardup.op3_near_duplicates,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_quality": quality.op5_quality,
     "op6_url_filters": urls.op6_url_filters,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language_id": language.op8_language_id,
+    "op9_token_counts": tokens.op9_token_counts,
     "op10_nearest": neighbours.op10_nearest,
 }
 ORACLE_SQL = {"op6_url_filters": urls.SQL}
