@@ -24,6 +24,8 @@ VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of an id.
 WIDTH = 2
+#: Texts that a task tokenizes before it passes their tokens on.
+SLICE = 256
 #: Tokens of a block; blocks of a run in the two-step prefix scan.
 BLOCK, RUN = 1 << 16, 1 << 10
 
@@ -71,11 +73,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
 
     def step(batches):
         tokenizer = encoder(ranks.value)
-        for b in batches:
-            values = [np.array(encode(tokenizer, x), kind).tobytes() for x in b.column(1).to_pylist()]
-            ids = [bytes([x is None]) + (x or 0).to_bytes(8, "little", signed=True) for x in b.column(0).to_pylist()]
-            at = b.column(2).to_pylist() * 2
-            yield pa.RecordBatch.from_arrays([pa.array(["tokens"] * len(ids) + ["ids"] * len(ids)), pa.array(at, pa.int64()), pa.array(values + ids, pa.binary())], ["kind", "at", "value"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                values = [np.array(encode(tokenizer, x.as_py()), kind).tobytes() for x in b.column(1)]
+                ids = [bytes([x is None]) + (x or 0).to_bytes(8, "little", signed=True) for x in b.column(0).to_pylist()]
+                for name, value in (("tokens", values), ("ids", ids)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(ids)), b.column(2), pa.array(value, pa.binary())], ["kind", "at", "value"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("at", F.monotonically_increasing_id())
     out = rows.mapInArrow(step, "kind string, at long, value binary").sortWithinPartitions("kind", "at")
