@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, read, shingles, summed
+from .common import ALNUM, materialize, read, shingles, summed
 
 # Customary notices and opening passages of public licenses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -199,7 +199,8 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
     path = F.col("path").cast("string")
     named = F.coalesce(F.regexp_extract(path, r"[^/]*$", 0).rlike(NAMES), F.lit(False))
     found = found.withColumn("is_license_file", F.col("own_license").isNotNull() & (F.col("is_license_file") | named))
-    found = found.withColumn("__dir", directory(path))
+    # small rows, read by three branches below: the texts are scanned once
+    found = materialize(found.withColumn("__dir", directory(path)), "license-found")
 
     holders = found.where("is_license_file AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("above")).agg(F.min(F.struct(-F.col("own_score"), F.col("path").cast("string").alias("path"), "own_license")).alias("holder"))
     # Each directory is expanded into itself and those above it once, however many files it has.
