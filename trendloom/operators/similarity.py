@@ -65,10 +65,12 @@ def jaccard_pairs(sets: DataFrame, least: float, within: str) -> DataFrame:
     often = flat.groupBy(within, "m").agg(F.count("*").alias("often"))
     ranked = flat.join(often, [within, "m"]).groupBy("id", within, "n").agg(F.array_sort(F.collect_list(F.struct("often", "m"))).alias("ms"))
     length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = ranked.select("id", within, "n", F.explode(F.slice("ms", F.lit(1), length)).alias("p")).select("id", within, "n", "p.m")
+    prefix = ranked.select("id", within, "n", F.posexplode(F.slice("ms", F.lit(1), length)).alias("i", "p")).select("id", within, "n", "i", "p.m")
     a, b = prefix.alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
-    pairs = a.join(b, (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.id") < F.col("b.id")) & sized)
+    # the first element that near sets share leaves enough behind it in both
+    enough = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9
+    pairs = a.join(b, (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.id") < F.col("b.id")) & sized & enough)
     pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     of = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"of_{side}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", jaccard(F.col("of_a"), F.col("of_b")).alias("jaccard"))

@@ -182,7 +182,7 @@ def video_news_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = news_members.select("cluster_id").distinct()
     reach = news_members.join(best, "cluster_id").select("id", (F.col("best") * F.least(F.lit(1.0), 20 / F.col("size"))).alias("score"))
     rest = scored.join(in_cluster.join(held, "cluster_id").select("id"), "id", "left_anti")
-    words = F.array_distinct(F.filter(F.split(normalize_title(F.col("title")), " "), lambda w: F.length(w) >= 8))
+    words = F.array_distinct(F.filter(F.split(normalize_title(F.col("title")), " "), lambda w: F.length(w) >= 6))
     v = rest.select(F.col("id").alias("video"), "score", F.explode(words).alias("w"))
     n = news.select("id", F.explode(words).alias("w"))
     near = v.join(n, "w").groupBy("video", "id").agg(F.count("*").alias("shared"), F.first("score").alias("score")).where("shared >= 2")
@@ -281,7 +281,7 @@ _TITLES = f"titles AS (SELECT category, {NORMAL_SQL} AS norm, min(id) AS id FROM
 _ECHO = f"""{_PAIRS}, both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
   auth AS (SELECT id, category AS ch, CASE category WHEN 'community' THEN 1.5 ELSE 1.0 END AS au FROM posts),
   near AS (SELECT x.id, count(*) AS n, avg(y.au) AS au FROM both_ways JOIN auth x ON x.id = a JOIN auth y ON y.id = b WHERE x.ch <> y.ch GROUP BY 1),
-  echo AS (SELECT auth.id, round(coalesce(1 + least(0.25 * sqrt(n) * near.au, 1.0), 1.0), 6) AS echo FROM auth LEFT JOIN near ON near.id = auth.id)"""
+  echo AS (SELECT auth.id, round(CASE WHEN n IS NULL THEN 1.0 ELSE 1 + least(0.25 * sqrt(n) * near.au, 1.0) END, 6) AS echo FROM auth LEFT JOIN near ON near.id = auth.id)"""
 _TOPICS = f"""g AS (SELECT {H} AS h, count(*) AS n, count(DISTINCT source_key) AS s, count(DISTINCT category) AS c FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1),
   topics AS (SELECT id AS tid, CASE WHEN n IS NULL OR n <= 1 THEN 1.0 ELSE greatest(1.0, 1 + 0.3 * log2(1 + n) + 0.25 * log2(1 + s) + 0.25 * (c - 1)) END AS ti FROM posts LEFT JOIN g ON {H} = h AND {NORMAL_SQL} <> '')"""
 _CARDS = f"""m AS (SELECT *, {H} AS cluster_id, row_number() OVER (PARTITION BY {H} ORDER BY trend_score DESC, id) AS rn,
@@ -331,11 +331,11 @@ ORACLE_SQL = {
       sz AS (SELECT norm, count(*) AS size FROM p WHERE norm <> '' GROUP BY 1),
       a AS (SELECT v.id AS vid, n.id, score * least(1.0, 20 / size) AS score FROM v JOIN n ON v.norm = n.norm JOIN sz ON sz.norm = v.norm),
       vw AS (SELECT DISTINCT id AS vid, score, unnest(string_split(norm, ' ')) AS w FROM v WHERE id NOT IN (SELECT vid FROM a)), nw AS (SELECT DISTINCT id, unnest(string_split(norm, ' ')) AS w FROM n),
-      b AS (SELECT vid, id, 0.6 * min(score) AS score FROM vw JOIN nw USING (w) WHERE length(w) >= 8 GROUP BY 1, 2 HAVING count(*) >= 2)
+      b AS (SELECT vid, id, 0.6 * min(score) AS score FROM vw JOIN nw USING (w) WHERE length(w) >= 6 GROUP BY 1, 2 HAVING count(*) >= 2)
       SELECT id, round(0.5 * max(score), 6) AS signal FROM (SELECT id, score FROM a UNION ALL SELECT id, score FROM b) WHERE score > 0 GROUP BY 1""",
     "trend_match": f"""WITH {POSTS_SQL}, w AS (SELECT DISTINCT id, source_key, scraped_at, unnest(string_split({NORMAL_SQL}, ' ')) AS keyword FROM posts),
-      k AS (SELECT source_key, keyword, count(*) AS n, max(scraped_at) AS at FROM w WHERE length(keyword) >= 6 GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, source_key, keyword LIMIT 500),
-      h AS (SELECT *, date_diff('microsecond', at, TIMESTAMP '{AS_OF}') / 3.6e9 / 24 AS d FROM k),
+      k AS (SELECT source_key, keyword, count(*) AS n, max(scraped_at) AS ts FROM w WHERE length(keyword) >= 6 GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, source_key, keyword LIMIT 500),
+      h AS (SELECT *, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 3.6e9 / 24 AS d FROM k),
       m AS (SELECT posts.id, h.source_key, max(least(n / 10, 1.0)) AS strength, max(CASE WHEN d <= 1 THEN 1.0 WHEN d <= 3 THEN 0.85 WHEN d <= 6 THEN 0.6 WHEN d <= 12 THEN 0.3 ELSE 0 END) AS decay FROM posts JOIN h ON contains({NORMAL_SQL}, keyword) GROUP BY 1, 2),
       f AS (SELECT id, count(*) AS sources, max(strength) AS best, avg(decay) AS decay FROM m GROUP BY 1)
       SELECT id, sources, round(least(1.8, greatest(1.0, CASE WHEN sources >= 3 THEN 1.6 WHEN sources = 2 THEN 1.35 ELSE 1.15 END * (0.6 + 0.4 * best) * decay)), 6) AS bonus FROM f""",
@@ -345,8 +345,8 @@ ORACLE_SQL = {
     "rank_change": """WITH o AS (SELECT date_trunc('month', o_orderdate) AS month, o_custkey AS cust, sum(round(o_totalprice, 2)::DECIMAL(18,2)) AS total FROM orders GROUP BY 1, 2),
       r AS (SELECT month, cust, row_number() OVER (PARTITION BY month ORDER BY total DESC, cust) AS rank FROM o)
       SELECT a.cust, strftime(a.month, '%Y-%m') AS month, a.rank, b.rank - a.rank AS rank_change FROM r a LEFT JOIN r b ON a.cust = b.cust AND a.month = b.month + INTERVAL 1 MONTH""",
-    "summary_priority": f"""WITH {POSTS_SQL}, g AS (SELECT {H} AS cluster_id, count(*) AS n, max(scraped_at) AS at, sum(view_count)::BIGINT AS views, count(*) FILTER (WHERE scraped_at > TIMESTAMP '2024-01-30') AS fresh FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1)
-      SELECT cluster_id, round(views * pow(0.5, date_diff('microsecond', at, TIMESTAMP '{AS_OF}') / 3.6e9 / 6) * CASE WHEN n % 2 = 1 THEN 3 ELSE 1 END * CASE WHEN fresh / n >= 0.3 THEN 1.2 ELSE 1.0 END, 6) AS priority FROM g WHERE n > 1""",
+    "summary_priority": f"""WITH {POSTS_SQL}, g AS (SELECT {H} AS cluster_id, count(*) AS n, max(scraped_at) AS ts, sum(view_count)::BIGINT AS views, count(*) FILTER (WHERE scraped_at > TIMESTAMP '2024-01-30') AS fresh FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1)
+      SELECT cluster_id, round(views * pow(0.5, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 3.6e9 / 6) * CASE WHEN n % 2 = 1 THEN 3 ELSE 1 END * CASE WHEN fresh / n >= 0.3 THEN 1.2 ELSE 1.0 END, 6) AS priority FROM g WHERE n > 1""",
     "summary_fingerprints": f"""WITH {POSTS_SQL}, r AS (SELECT {H} AS h, id, row_number() OVER (PARTITION BY {H} ORDER BY id) AS rn FROM posts WHERE {NORMAL_SQL} <> '')
       SELECT h, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS fingerprint FROM r WHERE rn <= 5 GROUP BY 1""",
 }
