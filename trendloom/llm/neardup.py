@@ -31,6 +31,9 @@ NODE, DEPTH, ALIKE = 256, 24, 0.5
 PIVOTS = 2
 #: Candidates whose sketches agree in a smaller share are no links: four standard deviations below.
 SKETCH = 0.70
+#: Bits of a set's parity map. Two maps differ in no more bits than their sets do in members, so a
+#: pair whose maps differ in more than a link allows is none: this loses no link.
+PARITY = 2048
 
 _MULTIPLIERS = (mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = mix(np.arange(1001, ORDERS + 1001, dtype=np.uint64)).astype(np.uint32)
@@ -53,16 +56,29 @@ def least(members: np.ndarray) -> np.ndarray:
     return low
 
 
+def parity(members: np.ndarray) -> np.ndarray:
+    """Whether an odd number of members fall on each bit."""
+    return np.packbits((np.bincount((mix(members ^ np.uint64(PARITY)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(bool))
+
+
+def _may_link(n: np.ndarray, m: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m members with parity maps a and b (rows) can be similar enough."""
+    differ = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    # with k shared members, 100 k >= PERCENT (n + m - k), and the sets differ in n + m - 2 k
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (n + m)
+
+
 def _signatures(batches):
-    """doc_id, text -> doc_id, size and digest of the set, and its least values."""
+    """doc_id, text -> doc_id, size and digest of the set, its least values and its parity map."""
     for batch in batches:
-        ids, sizes, digests, lows = batch.column(0), [], [], []
+        ids, sizes, digests, lows, odds = batch.column(0), [], [], [], []
         for _, words, *_ in SPACED.texts(batch.column(1)):
             members = shingle_set(words)
             sizes.append(len(members))
             digests.append(xxhash.xxh3_128_digest(members.tobytes()) if len(members) else None)
             lows.append(least(members).tobytes() if len(members) else None)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(lows, pa.binary())], ["doc_id", "n_shingles", "digest", "low"])
+            odds.append(parity(members).tobytes() if len(members) else None)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *[pa.array(x, pa.binary()) for x in (digests, lows, odds)]], ["doc_id", "n_shingles", "digest", "low", "odd"])
 
 
 def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
@@ -140,12 +156,13 @@ def _typical(batches):
 
 
 def _star(batches):
-    """cid, size, low of a member and of a pivot -> the pairs whose sketches agree."""
+    """cid, size, low, odd of a member and of a pivot -> the pairs whose sketches agree."""
     for batch in batches:
         if batch.num_rows:
-            x, n, y, m = (_ints(batch.column(i)) for i in (0, 1, 3, 4))
-            agree = (_matrix(batch.column(2), np.uint32, ORDERS) == _matrix(batch.column(5), np.uint32, ORDERS)).mean(axis=1)
+            x, n, y, m = (_ints(batch.column(i)) for i in (0, 1, 4, 5))
+            agree = (_matrix(batch.column(2), np.uint32, ORDERS) == _matrix(batch.column(6), np.uint32, ORDERS)).mean(axis=1)
             ok = (x != y) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)) & (agree >= SKETCH)
+            ok &= _may_link(n, m, _matrix(batch.column(3), np.uint8, PARITY // 8), _matrix(batch.column(7), np.uint8, PARITY // 8))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
 
 
@@ -156,9 +173,9 @@ def stars(families: DataFrame, sketches: DataFrame) -> DataFrame:
     centers = some.select("node", "low").repartition("node").sortWithinPartitions("node").mapInArrow(_centers, "node long, center binary")
     scored = members.join(centers, "node").select("node", "cid", "low", "center").mapInArrow(_typical, "node long, cid long, agree int")
     best = scored.groupBy("node", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(PIVOTS)).alias("k")).agg(F.max(F.struct("agree", F.negate("cid").alias("minus"))).alias("best"))
-    pivots = best.select("node", F.negate("best.minus").alias("cid")).join(sketches, "cid").select("node", F.col("cid").alias("p"), F.col("size").alias("p_size"), F.col("low").alias("p_low"))
+    pivots = best.select("node", F.negate("best.minus").alias("cid")).join(sketches, "cid").select("node", F.col("cid").alias("p"), F.col("size").alias("p_size"), F.col("low").alias("p_low"), F.col("odd").alias("p_odd"))
     pivots = materialize(pivots, "dup-pivots")
-    return members.join(pivots, "node").select("cid", "size", "low", "p", "p_size", "p_low").mapInArrow(_star, "a long, b long")
+    return members.join(pivots, "node").select("cid", "size", "low", "odd", "p", "p_size", "p_low", "p_odd").mapInArrow(_star, "a long, b long")
 
 
 def _blocks(n: Column) -> Column:
@@ -196,7 +213,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def _compare(spanning: bool):
-    """node, cid, label, size, low, sorted by node -> pairs of classes whose sketches agree.
+    """node, cid, label, size, low, odd, sorted by node -> pairs of classes whose sketches agree.
 
     Only pairs of different labels count. ``spanning`` keeps, of each node, the best pairs that
     connect what agrees; the others connect nothing new if those are confirmed.
@@ -204,7 +221,7 @@ def _compare(spanning: bool):
 
     def pairs_of(run: pa.RecordBatch):
         node, cid, label, size = (_ints(run.column(i)) for i in range(4))
-        low = _matrix(run.column(4), np.uint32, ORDERS)
+        low, odd = _matrix(run.column(4), np.uint32, ORDERS), _matrix(run.column(5), np.uint8, PARITY // 8)
         edges = np.flatnonzero(np.diff(node)) + 1
         begin = np.concatenate([[0], edges])
         count = np.diff(np.concatenate([begin, [len(node)]]))
@@ -222,6 +239,8 @@ def _compare(spanning: bool):
                 agree = np.concatenate([(low[a[k : k + 20_000]] == low[b[k : k + 20_000]]).mean(axis=1) for k in range(0, len(a), 20_000)] or [np.zeros(0)])
                 ok = agree >= SKETCH
                 a, b, which, agree = a[ok], b[ok], which[ok], agree[ok]
+                ok = _may_link(size[a], size[b], odd[a], odd[b])
+                a, b, which, agree = a[ok], b[ok], which[ok], agree[ok]
                 if spanning and m > 2:
                     keep = _forest(a, b, agree)
                     a, b = a[keep], b[keep]
@@ -347,12 +366,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialize(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, low binary"), "dup-rows")
+    rows = materialize(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, low binary, odd binary"), "dup-rows")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("low").alias("low")
+        F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("low").alias("low"), F.first("odd").alias("odd")
     )
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "dup-classes")  # written once, so the ids stay
-    sketches = classes.select("cid", "size", "low")
+    sketches = classes.select("cid", "size", "low", "odd")
     small, families = leaves(classes)
 
     def confirmed(labels: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -366,7 +385,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             at = at.join(mixed, "node").select("node", "cid", "label")
             if families is not None:
                 at = at.unionByName(crossings(label(families)))
-        sketched = at.join(sketches, "cid").select("node", "cid", "label", "size", "low")
+        sketched = at.join(sketches, "cid").select("node", "cid", "label", "size", "low", "odd")
         pairs = sketched.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_compare(labels is None), "a long, b long")
         if labels is None and families is not None:
             pairs = pairs.unionByName(stars(families, sketches))
