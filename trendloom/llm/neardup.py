@@ -178,8 +178,8 @@ def stars(families: DataFrame, sketches: DataFrame) -> DataFrame:
     return members.join(pivots, "node").select("cid", "size", "low", "odd", "p", "p_size", "p_low", "p_odd").mapInArrow(_star, "a long, b long")
 
 
-def _blocks(n: Column) -> Column:
-    return F.ceil(n * 2 / NODE).cast("long")
+def _blocks(n: Column, size: int = NODE // 2) -> Column:
+    return F.ceil(n / size).cast("long")
 
 
 def pieces(families: DataFrame) -> DataFrame:
@@ -191,15 +191,15 @@ def crossings(labelled: DataFrame) -> DataFrame:
     """Nodes in which all members of a family with different labels meet: (node, cid, label).
 
     Most members share a family's commonest label. All others are dealt into blocks, which meet
-    each block of the family; the rows are as many as the family has, times blocks of the others.
+    each block of the family, so that a node holds 2 NODE at most; the rows are as many as the family has, times blocks of the others.
     """
     counts = labelled.groupBy("node", "label").agg(F.count("*").alias("k"))
     most = counts.groupBy("node").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"))
     most = most.select("node", "n", F.col("most.label").alias("common"), (F.col("n") - F.col("most.k")).alias("others")).where("others > 0")
     rows = labelled.drop("n").join(most, "node")
-    own = F.pmod(F.xxhash64("cid", F.lit(3)), _blocks(F.col("n")))
-    other = F.pmod(F.xxhash64("cid", F.lit(4)), _blocks(F.col("others")))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(n)) - 1))
+    own = F.pmod(F.xxhash64("cid", F.lit(3)), _blocks(F.col("n"), NODE))
+    other = F.pmod(F.xxhash64("cid", F.lit(4)), _blocks(F.col("others"), NODE))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(n), NODE) - 1))
     members = rows.select("node", "cid", "label", own.alias("x"), every("others").alias("y"))
     others = rows.where("label != common").select("node", "cid", "label", other.alias("y"), every("n").alias("x"))
     return members.unionByName(others).select(F.xxhash64("node", "x", "y").alias("node"), "cid", "label")
