@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.maths import jaccard
 
 
-def work_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared work folder and read again: short lineage, safe from lost executors."""
-    spark = df.sparkSession
+def work_root(spark: SparkSession) -> str:
+    """The folder for work tables, below the one that the cluster names."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local["):
@@ -23,7 +22,13 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
 
         root = "file://" + tempfile.mkdtemp(prefix="trendloom-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/trendloom/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/trendloom"
+
+
+def work_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared work folder and read again: short lineage, safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
