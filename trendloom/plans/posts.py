@@ -145,9 +145,8 @@ def community_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).orderBy(F.desc("score"), "source_key")
 
 
-def volume_dampening(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources of more posts than the upper median source are damped, to 0.7 at least."""
-    counts = posts(spark, sf_dir).where("id % 3 <> 0 OR source_key < 'src15'").groupBy("source_key").agg(F.count("*").alias("n"))
+def dampening(counts: DataFrame) -> DataFrame:
+    """``counts`` (source_key, n): sources of more posts than the upper median source are damped, to 0.7 at least."""
     median = F.element_at(F.sort_array(F.collect_list("n")), (F.floor(F.count("*") / 2) + 1).cast("int"))
     # one row per source
     total = counts.agg(median.alias("median"))
@@ -155,6 +154,10 @@ def volume_dampening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select("source_key", "n", "median", F.round(damped, 6).alias("dampening"))
 
 
+def volume_dampening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dampening(posts(spark, sf_dir).groupBy("source_key").agg(F.count("*").alias("n")))
+
+
 def cluster_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(1 + .3 log2 n)(1 + .1 min(categories - 1, 3)), for 3 news sources or more another 15 % each, 3 at most."""
     df = posts(spark, sf_dir).where(normalize_title(F.col("title")) != "").groupBy(title_hash(F.col("title")).alias("title_hash")).agg(
