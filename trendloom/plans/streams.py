@@ -10,15 +10,15 @@ from ..streaming import jobs
 
 
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_to_table(jobs.closed_windows(jobs.arrivals(spark, sf_dir), "1 hour"), "hourly")
+    return jobs.closed_windows(jobs.arrivals(spark, sf_dir), "1 hour")
 
 
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_to_table(jobs.closed_windows(jobs.arrivals(spark, sf_dir), "12 hours", "6 hours"), "sliding")
+    return jobs.closed_windows(jobs.arrivals(spark, sf_dir), "12 hours", "6 hours")
 
 
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.run_to_table(jobs.sessions(jobs.arrivals(spark, sf_dir)), "sessions")
+    return jobs.sessions(jobs.arrivals(spark, sf_dir))
 
 
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:

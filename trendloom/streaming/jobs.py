@@ -47,19 +47,48 @@ def run_upserts(stream: DataFrame, name: str, empty: DataFrame, merge) -> DataFr
     return spark.read.schema(empty.schema).parquet(f"{path}/v{versions[-1]}")
 
 
+def run_partials(stream: DataFrame, name: str, partial) -> DataFrame:
+    """``partial(batch)`` of all batches, for one merge at the end: rows count in whatever order files come.
+
+    Each batch has a folder of its own, so a batch that is repeated writes the same one again.
+    """
+    spark = stream.sparkSession
+    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+    empty = partial(spark.createDataFrame([], stream.schema))
+    empty.write.parquet(f"{path}/table/none")
+
+    def step(batch: DataFrame, n: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{path}/table/b{n}")
+
+    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(empty.schema).option("recursiveFileLookup", "true").parquet(f"{path}/table")
+
+
+def passed(table: DataFrame, late: str) -> DataFrame:
+    """Rows of ``table`` (end, latest) that end ``late`` before the latest of all events."""
+    mark = table.agg((F.max("latest") - F.expr(f"INTERVAL {late}")).alias("mark"))
+    return table.join(F.broadcast(mark), F.col("end") <= F.col("mark"))
+
+
 def closed_windows(events: DataFrame, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Counts and sums by kind in the windows that the watermark has passed."""
+    """Counts and sums by kind in the windows that end ``late`` before the latest event."""
     at = F.window("ts", size, slide) if slide else F.window("ts", size)
-    out = events.withWatermark("ts", late).groupBy(at.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "total")
+    aggs = lambda n, value, ts: (n.alias("n"), F.sum(value).alias("total"), F.max(ts).alias("latest"))
+    part = lambda batch: batch.groupBy(at.alias("w"), "event_type").agg(*aggs(F.count("*"), "value", "ts")).select("w.start", "w.end", "event_type", "n", "total", "latest")
+    out = run_partials(events, "windows", part).groupBy("start", "end", "event_type").agg(*aggs(F.sum("n"), "total", "latest"))
+    return passed(out, late).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Users' sessions that the watermark has passed."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
-    return out.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    """Users' sessions that end ``late`` before the latest event; a batch's sessions grow together with other batches'."""
+    part = lambda batch: batch.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"), F.max("ts").alias("latest")).select("user_id", "w.start", "w.end", "n", "latest")
+    length = F.concat((F.unix_micros("end") - F.unix_micros("start")).cast("string"), F.lit(" microseconds"))
+    out = run_partials(events, "sessions", part).groupBy(F.session_window("start", length).alias("w"), "user_id").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
+    out = out.select("user_id", "w.start", "w.end", "n", "latest")
+    return passed(out, late).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """Each key once; a key's state goes when the watermark has passed its rows."""
-    return events.withWatermark("ts", late).select(*keys, "ts").dropDuplicatesWithinWatermark(keys).select(*keys)
+def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key once; its state is kept, so a key that comes again later isn't new."""
+    return events.select(*keys).dropDuplicates(keys)
