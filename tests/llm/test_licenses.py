@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trendloom.llm import licenses
@@ -99,3 +100,43 @@ def test_empty_and_long(spark):
     long = "word " * 300_000 + "\n" + MIT + "\n" + "word " * 300_000
     (row,) = licenses.scan_licenses(spark.createDataFrame([("p", long)], schema)).collect()
     assert row.own_license == "MIT" and not row.is_license_file
+
+
+def test_notices_in_mid_line_and_wrapped(spark):
+    prose = "he said that day how all of them went down by the old river and saw nothing but rain "
+    wrapped = prose + "Licensed under the Apache\n * License, Version 2.0. " + prose
+    texts = {
+        "MIT": prose * 3 + MIT + " " + prose * 3,
+        "Apache-2.0": prose + "Licensed under the Apache License, Version 2.0. " + prose * 40,
+        "wrapped": wrapped,
+        "apart": prose + "Licensed under the Apache\n\n" + prose,
+        "none": prose + "she had no license for it and asked no permission " + prose,
+    }
+    rows = spark.createDataFrame(list(texts.items()), "path string, text string")
+    got = {r.path: r for r in licenses.scan_licenses(rows).collect()}
+    assert {k: r.own_license for k, r in got.items()} == {"MIT": "MIT", "Apache-2.0": "Apache-2.0", "wrapped": "Apache-2.0", "apart": None, "none": None}
+    assert [got[k].own_words for k in ("MIT", "Apache-2.0", "wrapped")] == [5, 8, 8]
+    assert not any(r.is_license_file for r in got.values())
+
+
+def test_slid_windows_against_each_window():
+    """Each cue's best window, by cosines of all windows; with words that repeat."""
+    table = licenses.Templates().fit(np.arange(len(licenses.Templates().terms) + 1) % 7 + np.eye(1, len(licenses.Templates().terms) + 1, len(licenses.Templates().terms))[0] * 50)
+    random = np.random.default_rng(5)
+    pool = "the license the under released mit apache version 2 0 the river permission is hereby granted free of of charge any".split()
+    for n in (3, 40, 90):
+        words = licenses._hashes(" ".join([*random.choice(pool, n), "released under the mit license", *random.choice(pool, n)]))
+        at = np.flatnonzero(np.isin(words, table.cues))
+        want = {}
+        for size in set(table.lengths.tolist()):
+            unit = table.unit[table.lengths == size]
+            for a in range(len(words) - size + 1):
+                grams, counts = np.unique(licenses._grams(words[a : a + size]), return_counts=True)
+                place = np.minimum(np.searchsorted(table.terms, grams), len(table.terms) - 1)
+                own = table.terms[place] == grams
+                v = counts * np.where(own, table.idf[place], table.unknown)
+                cosine = round(float((unit[:, place[own]] @ v[own]).max() / np.sqrt((v * v).sum())), 9)
+                for p in at[(at >= a) & (at < a + size)] if cosine >= licenses.NEAR else ():
+                    want[p] = min(want.get(p, (0.0, 0, 0)), (-cosine, a, a + size))
+        assert want
+        assert set(table.slid(words, np.zeros(len(words), int), at, licenses.NEAR)) == {x[1:] for x in want.values()}

@@ -1,7 +1,7 @@
 """License scans: TF-IDF cosine of passages to license templates, then inheritance by directory.
 
-Passages around words of license talk, headers and whole license files alike, are compared with
-templates as sparse TF-IDF vectors. A file without a license of its own takes that of the nearest
+Passages around words of license talk, headers, notices within prose and whole license files alike,
+are compared with templates as sparse TF-IDF vectors. A file without a license of its own takes that of the nearest
 directory above it which holds a license file; joins on paths find it.
 """
 
@@ -66,6 +66,8 @@ CUES = ("license", "licence", "licensed", "licenced", "licensing", "unlicense",
 NEAR = 0.6
 #: Words that a window has on either side of a cue.
 AROUND = 12
+#: Words whose windows are compared at once, at most.
+SLICE = 4096
 #: A text is a license file if its passages that are near hold this share of its words.
 WHOLE = 0.5
 #: Names of license files.
@@ -89,6 +91,7 @@ class Templates:
         self.names = [name for name, _ in pairs]
         self.terms = np.unique(np.concatenate([g for _, g in pairs])) if pairs else np.zeros(0, np.uint64)
         self.counts = np.array([np.bincount(np.searchsorted(self.terms, g), minlength=len(self.terms)) for _, g in pairs]).reshape(len(pairs), len(self.terms))
+        self.lengths = np.array([len(_hashes(t)) for name in sorted(templates) for t in templates[name]], np.int64)
         self.cues = np.sort(np.array([_hashes(c)[0] for c in CUES]))
         self.fit(np.zeros(len(self.terms) + 1))
 
@@ -100,6 +103,68 @@ class Templates:
         self.unit = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
         return self
 
+    def slid(self, words: np.ndarray, block: np.ndarray, at: np.ndarray, near: float) -> list[tuple[int, int]]:
+        """Windows (from, to) of the templates' numbers of words, in one ``block``, that are nearest to a template.
+
+        Each cue (``at``) has one of those that hold it, if any is at least near; cosines are exact.
+        """
+        most, found = int(self.lengths.max(initial=0)), []
+        if not most:
+            return found
+        ends = np.searchsorted(block, block[at], "right")
+        low = np.maximum(np.searchsorted(block, block[at], "left"), at - most + 1)
+        high = np.minimum(ends, at + most)
+        k = 0
+        while k < len(at):  # runs of cues whose surroundings overlap, in slices
+            m = k + 1
+            while m < len(at) and low[m] < high[m - 1] and block[at[m]] == block[at[k]] and high[m] - low[k] < SLICE:
+                m += 1
+            found += [(a + int(low[k]), z + int(low[k])) for a, z in self._slid(words[low[k] : high[m - 1]], at[k:m] - low[k], near)]
+            k = m
+        return found
+
+    def _slid(self, words: np.ndarray, at: np.ndarray, least: float) -> list[tuple[int, int]]:
+        n, most = len(words), int(self.lengths.max())
+        dots, squares, twice = [], [], []
+        for grams in (words, shingles(words, 2) if n > 1 else words[:0]):
+            place = np.minimum(np.searchsorted(self.terms, grams), len(self.terms) - 1)
+            own = self.terms[place] == grams
+            idf = np.where(own, self.idf[place], self.unknown)
+            value = np.where(own, self.unit[:, place] * idf, 0.0)
+            dots.append(np.concatenate([np.zeros((len(value), 1)), np.cumsum(value, axis=1)], axis=1))
+            squares.append(np.concatenate([[0.0], np.cumsum(idf * idf)]))
+            # places of equal terms: a term of count c has c * c in the norm, not c
+            same = [(np.flatnonzero(grams[d:] == grams[:-d]), d) for d in range(1, min(most, len(grams)))]
+            first = np.concatenate([x for x, _ in same] + [np.zeros(0, np.int64)])
+            twice.append((first, first + np.repeat([d for _, d in same], [len(x) for x, _ in same]).astype(np.int64), 2 * idf[first] ** 2))
+        cues = np.zeros(n + 1, np.int64)
+        cues[at + 1] = 1
+        cues = np.cumsum(cues)
+        near = []
+        for size in np.unique(self.lengths):
+            starts = np.arange(n - size + 1)
+            if not len(starts):
+                continue
+            dot, norm = 0.0, 0.0
+            for d, q, (i, j, w), wide in zip(dots, squares, twice, (size, size - 1), strict=True):
+                dot = dot + d[self.lengths == size][:, starts + wide] - d[self.lengths == size][:, starts]
+                norm = norm + q[starts + wide] - q[starts]
+                held = j - i < wide
+                change = np.zeros(n + 2)
+                np.add.at(change, np.clip(j[held] - wide + 1, 0, n), w[held])
+                np.add.at(change, i[held] + 1, -w[held])
+                norm = norm + np.cumsum(change)[: len(starts)]
+            cosine = dot.max(axis=0) / np.sqrt(norm)
+            good = starts[(cosine >= least - 1e-9) & (cues[starts + size] > cues[starts])]
+            near += [(-round(float(cosine[a]), 9), int(a), int(a + size)) for a in good]
+        settled, out = np.zeros(n, bool), []
+        for _, a, z in sorted(near):
+            mine = at[np.searchsorted(at, a) : np.searchsorted(at, z)]
+            if not settled[mine].all():
+                settled[mine] = True
+                out.append((a, z))
+        return out
+
     def known(self, grams: np.ndarray) -> np.ndarray:
         """Places of the grams that templates have."""
         at = np.minimum(np.searchsorted(self.terms, grams), len(self.terms) - 1)
@@ -117,9 +182,9 @@ class Templates:
         return float(cosines[k]), self.names[k]
 
 
-def passages(words: np.ndarray, data: np.ndarray, start: np.ndarray, cues: np.ndarray) -> np.ndarray:
-    """Word ranges (from, to) around cues: the line, the block between blank lines, and a window."""
-    at = np.flatnonzero(np.isin(words, cues))
+def passages(words: np.ndarray, data: np.ndarray, start: np.ndarray, templates: Templates, near: float = NEAR) -> np.ndarray:
+    """Word ranges (from, to) around cues: the line, the block between blank lines, a window, and those slid over the block."""
+    at = np.flatnonzero(np.isin(words, templates.cues))
     if not len(at):
         return np.zeros((0, 2), np.int64)
     breaks = np.flatnonzero(data == 10)
@@ -131,7 +196,8 @@ def passages(words: np.ndarray, data: np.ndarray, start: np.ndarray, cues: np.nd
     window = np.stack([np.maximum(at - AROUND, 0), np.minimum(at + AROUND + 1, len(words))], axis=1)
     lines = ends(line)
     window = np.stack([np.maximum(window[:, 0], lines[:, 0]), np.minimum(window[:, 1], lines[:, 1])], axis=1)
-    return np.unique(np.concatenate([lines, ends(block), window]), axis=0)
+    slid = np.array(templates.slid(words, block, at, near), np.int64).reshape(-1, 2)
+    return np.unique(np.concatenate([lines, ends(block), window, slid]), axis=0)
 
 
 def frequencies(texts: DataFrame, templates: Templates) -> np.ndarray:
@@ -181,7 +247,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
             license, score, own, share = [], [], [], []
             for _, words, data, start, _ in ALNUM.texts(b.column(0)):
                 best, covered = (0.0, ""), np.zeros(len(words) + 1, np.int64)
-                for a, z in passages(words, data, start, table.cues):
+                for a, z in passages(words, data, start, table, near):
                     cosine, name = table.best(words[a:z])
                     if cosine >= near - 1e-9:
                         covered[a] += 1
