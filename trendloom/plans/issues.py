@@ -10,7 +10,7 @@ from ..functions.maths import clamp, lookup, ratio_or_zero, step_decay
 from ..functions.text import bigrams, fingerprint, normalize_title, title_hash
 from ..model import AS_OF, POSTS_SQL, as_of, posts, read
 from ..operators import similarity as sim
-from ..operators.scoring import authority, channel, score_posts, topic_importance
+from ..operators.scoring import authority, channel, score_posts, top_per, topic_importance
 from .posts import FINAL_SQL, NORMAL_SQL, SCORED_SQL, H
 
 #: Vectors of the test tables are far apart.
@@ -66,14 +66,40 @@ def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.groupBy(F.col("group").alias("cluster_id")).agg(F.count("*").alias("member_count"), F.max_by("id", F.struct("view_count", "scraped_at", -F.col("id"))).alias("canonical_id")).where("member_count > 1")
 
 
+def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, issue) of posts with vectors: connected by near ones. Equal vectors are compared once."""
+    v = vectors(spark, sf_dir)
+    same = sim.work_table(v.join(posts(spark, sf_dir).select("id").distinct(), "id", "left_semi").groupBy("v").agg(F.min("id").alias("head"), F.collect_set("id").alias("ids")), "vectors")
+    heads = same.select(F.col("head").alias("id"), "v")
+    linked = sim.groups(heads.select("id"), sim.cosine_pairs(heads, NEAR))
+    return same.select("head", F.explode("ids").alias("id")).join(linked.select(F.col("id").alias("head"), "group"), "head").groupBy("id").agg(F.min("group").alias("issue"))
+
+
+def label_topics(titled: DataFrame, most: int | None = None) -> DataFrame:
+    """Titles of each issue of ``titled`` (id, issue, title, view_count) grouped at word Jaccard 0.4.
+
+    Per issue: its different titles, labels, the largest one's share, pairs of titles across labels.
+    Only ``most`` posts of an issue count, those of most views, if it is given. Posts without title don't.
+    """
+    df = titled.where("title <> ''")
+    if most is not None:
+        df = top_per(df, "issue", most, F.desc("view_count"), F.col("id"))
+    df = df.select("issue", normalize_title(F.col("title")).alias("norm")).distinct()
+    words = F.array_sort(F.array_distinct(F.filter(F.split("norm", " "), lambda w: F.length(w) >= 2)))
+    # titles of the same words have one label
+    sets = df.groupBy("issue", words.alias("members")).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("issue", "members"))
+    sets = sim.work_table(sets, "topics")
+    pairs = sim.work_table(sim.jaccard_pairs(sets, 0.4, "issue"), "topic-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    labels = sets.join(sim.groups(ids, pairs), "id", "left").groupBy("issue", F.coalesce("group", "id").alias("label")).agg(F.sum("n").alias("n"))
+    cross = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
+    return labels.groupBy("issue").agg(F.sum("n").alias("titles"), F.count("*").alias("labels"), F.round(F.max("n") / F.sum("n"), 6).alias("largest"), cross.cast("long").alias("cross_pairs"))
+
+
 def topic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of the best hundred posts grouped at word Jaccard 0.4: labels, largest share, pairs across."""
-    top = posts(spark, sf_dir).orderBy(F.desc("view_count"), "id").limit(100)
-    sets = top.select("id", F.lit(1).alias("one"), F.array_distinct(F.filter(F.split(normalize_title(F.col("title")), " "), lambda w: F.length(w) >= 2)).alias("members"))
-    sets = sim.work_table(sets.where("size(members) > 0"), "topics")
-    # near sets share one of their rarest words; equal ones share all
-    labels = sim.groups(sets, sim.jaccard_pairs(sets, 0.4, "one")).groupBy("group").agg(F.count("*").alias("n"))
-    return labels.agg(F.count("*").alias("labels"), F.round(F.max("n") / F.sum("n"), 6).alias("largest"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).cast("long").alias("cross_pairs"))
+    """Labels of each issue, for all posts: issues are groups of near vectors, a post without one is alone."""
+    p = posts(spark, sf_dir).select("id", "title", "view_count").join(near_groups(spark, sf_dir), "id", "left")
+    return label_topics(p.withColumn("issue", F.coalesce("issue", "id")))
 
 
 def anchor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
