@@ -93,6 +93,67 @@ def test_copies_and_blocks(spark, monkeypatch):
     assert sorted(map(tuple, out), key=str) == plain_groups(rows)
 
 
+def boilerplate(rng, n, shared=150, own=60):
+    common = [f"c{i}" for i in range(shared)]
+    return [common + [f"w{rng.randrange(10**9)}" for _ in range(own)] for _ in range(n)]
+
+
+def test_recall_at_depth(spark, monkeypatch):
+    """Documents that shared text keeps together for 12 levels and more: links at the least similarity are still found."""
+    monkeypatch.setattr(neardup, "NODE", 16)
+    seen = []
+    add = neardup.Leaves.add
+
+    def watched(self, classes, trees):
+        add(self, classes, trees)
+        seen.append((self.levels, trees.stop))
+
+    monkeypatch.setattr(neardup.Leaves, "add", watched)
+    rng = random.Random(12)
+    texts = boilerplate(rng, 1200)
+    pairs = []
+    for i in range(80):  # the last 16 words differ, and so 16 of 206 shingles
+        copy = list(texts[i])
+        copy[-16:] = [f"v{rng.randrange(10**9)}" for _ in range(16)]
+        assert 85 <= 100 * (206 - 16) / (206 + 16) <= 86
+        pairs.append((i, len(texts)))
+        texts.append(copy)
+    out = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    component = {r.doc_id: r.component_id for r in out.collect()}
+    assert max(level for level, _ in seen) >= 12 and max(trees for _, trees in seen) > neardup.TREES
+    found = sum(component[b] == a for a, b in pairs)
+    assert found >= 0.9 * len(pairs)
+    assert len(set(component.values())) == len(texts) - found  # and nothing else is linked
+
+
+def test_boilerplate_makes_no_crossings(spark, monkeypatch):
+    """Documents that share most of their text but aren't linked are split, not compared all with all."""
+    rows = []
+    crossings = neardup.crossings
+
+    def watched(labelled):
+        out = crossings(labelled)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "crossings", watched)
+    monkeypatch.setattr(neardup, "NODE", 64)
+    monkeypatch.setattr(neardup, "TREES", 4)
+    for n in (400, 800):
+        docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(boilerplate(random.Random(n), n))], "doc_id long, text string")
+        assert neardup.near_duplicates(docs).where("kept").count() == n
+    assert len(rows) == 2 and rows[1] <= 2 * rows[0] <= 2 * 800
+
+
+def test_sketch_threshold_loses_next_to_nothing():
+    """The chance that a pair at 85 % agrees in fewer of the orders than candidates must."""
+    from math import comb
+
+    least = int(np.ceil(neardup.SKETCH * neardup.ORDERS))
+    assert sum(comb(neardup.ORDERS, i) * 0.85**i * 0.15 ** (neardup.ORDERS - i) for i in range(least)) < 1e-8
+    assert neardup.trees_for(8) <= neardup.TREES < neardup.trees_for(12)
+
+
 def test_empty_table(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 

@@ -61,6 +61,43 @@ def test_recall_and_scores(spark):
     assert hits / (5 * len(want)) >= 0.95
 
 
+def test_ties_go_to_the_least_ids(spark):
+    """Vectors of one direction and different lengths, and different vectors at one cosine."""
+    scaled = [(i, [float(1 + (i * 37) % 61), 2.0 * (1 + (i * 37) % 61), 0.0]) for i in range(60)]
+    got = as_dict(neighbours.nearest(table(spark, scaled)))
+    assert [j for _, j in got[50]] == [0, 1, 2, 3, 4] and [j for _, j in got[0]] == [1, 2, 3, 4, 5]
+    axes = [(i, [float(j == i % 300) for j in range(300)]) for i in range(299, -1, -1)]
+    for factor in (1.0, neighbours.FACTOR):
+        got = as_dict(neighbours.nearest(table(spark, axes), factor=factor, shard=60, block=2))
+        assert {q: [j for _, j in x] for q, x in got.items()} == {q: [j for j in range(6) if j != q][:5] for q in range(0, 300, 50)}
+
+
+def test_large_doubles(spark):
+    rows = [(0, [1e308, 1e308]), (1, [1e-300, 1e-300]), (2, [1e308, -1e308]), (3, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = as_dict(neighbours.nearest(df))
+    assert [j for _, j in got[0]] == [1, 3, 2] and [round(-s, 6) for s, _ in got[0]] == [1.0, 0.707107, 0.0]
+
+
+def test_recall_on_the_table(spark):
+    from trendloom.llm.common import read
+
+    df = read(spark, "/root/testdata/sf0.1", "embeddings")
+    want = plain([(r.vec_id, r.embedding) for r in df.select("vec_id", "embedding").collect()], 5, 50)
+    for shard in (16_000, 300):
+        got = as_dict(neighbours.nearest(df, shard=shard))
+        assert sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_one_hot_direction(spark):
+    """A third of all rows in one direction, more than a shard's worth; nobody loses a neighbour."""
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(size=6).tolist()) for i in range(600)] + [(1000 + i, [float(1 + i % 7)] * 6) for i in range(300)]
+    got = as_dict(neighbours.nearest(table(spark, data), factor=1.0, shard=40, block=3))
+    want = plain([(i, np.float32(v)) for i, v in data], 5, 50)
+    assert {q: [j for _, j in x] for q, x in got.items()} == {q: [j for _, j in x] for q, x in want.items()}
+
+
 def test_empty(spark):
     assert neighbours.nearest(table(spark, [])).count() == 0
     assert neighbours.nearest(table(spark, [(0, [1.0, 2.0])])).count() == 0

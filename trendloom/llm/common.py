@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -30,17 +32,55 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the innermost ``work_tables`` scope removes it."""
+    path = f"{work_root(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet work table in the shared folder and return the table.
 
     This cuts the lineage: what a lost executor held is read again from the shared folder.
     """
     spark = df.sparkSession
-    path = f"{work_root(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def work_tables(spark: SparkSession):
+    """Removes the work tables that were made within, also after an error; what was lazy must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.pop():
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+def tidy(query):
+    """A query (spark, sf_dir) whose result is one written table; its other work tables are removed."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with work_tables(spark):
+            out = query(spark, sf_dir)
+            path = f"{work_root(spark)}/trendloom/{query.__name__}-{uuid.uuid4().hex}"
+            out.write.parquet(path)
+        return spark.read.schema(out.schema).parquet(path)
+
+    return run
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

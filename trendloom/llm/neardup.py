@@ -1,44 +1,56 @@
 """MinHash near-duplicates by a chosen-path set similarity join.
 
-Each tree sends a document down one path: at every level it follows the least of its shingles under
+Each tree sends a document down a path: at every level it follows the least of its shingles under
 that level's random order. Nodes are split until few documents are left in them, and those are
-compared with each other. A large node that its next level hardly splits holds documents that are
-alike: it isn't split further, but compared with its most typical members, then piece by piece as
-far as its members aren't connected yet. Independent trees repeat this to reach the target recall.
-Candidates are confirmed on the full shingle sets, and confirmed links give the groups.
+compared with each other. A large node whose members agree with their typical member as linked ones
+do is a family: it isn't split further, but compared with its most typical members, then piece by
+piece as far as its members aren't connected yet. Independent trees repeat this to reach the target
+recall; documents that shared text keeps together for many levels get as many more trees as their
+depth needs. Candidates are confirmed on the full shingle sets, and confirmed links give the groups.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, Bloom, materialize, mix, read, shingles
+from .common import SPACED, Bloom, materialize, mix, read, shingles, tidy
 
 #: Words of a shingle; least similarity in per cent.
 SHINGLE, PERCENT = 5, 85
-#: Independent trees: a pair of similarity s meets in a node of depth d with chance 1 - (1 - s^d)^TREES.
-TREES = 16
+#: Independent trees that every document goes down, and the recall that a pair at exactly the least
+#: similarity is to have: it meets in a node of depth d with chance 1 - (1 - s^d)^trees.
+TREES, RECALL = 16, 0.95
 #: Random orders of the shingles; each tree takes its own sequence of them. They are the sketch too.
 ORDERS = 96
-#: A node of more documents than this is split, down to this depth, as long as no child keeps more
-#: than ALIKE of its parent; what is larger then is a family of documents that are alike.
-NODE, DEPTH, ALIKE = 256, 24, 0.5
+#: A node of more documents than this is split, down to this depth. A larger one whose members agree
+#: with its typical member in this share of the orders is a family: at the level of links, splitting
+#: would part what is linked. What is still larger at the last level is compared piece by piece too.
+NODE, DEPTH, ALIKE = 256, 20, 0.85
 #: Typical members that all members of a family are compared with.
 PIVOTS = 2
-#: Candidates whose sketches agree in a smaller share are no links: four standard deviations below.
-SKETCH = 0.70
+#: Candidates whose sketches agree in a smaller share are taken for no links: a pair at exactly the
+#: least similarity, 7 deviations above, falls below with a chance of under 1e-8, others with less.
+SKETCH = 0.60
 #: Bits of a set's parity map. Two maps differ in no more bits than their sets do in members, so a
 #: pair whose maps differ in more than a link allows is none: this loses no link.
 PARITY = 2048
 
 _MULTIPLIERS = (mix(np.arange(1, ORDERS + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ADDENDS = mix(np.arange(1001, ORDERS + 1001, dtype=np.uint64)).astype(np.uint32)
-#: PATHS[tree, level]: the order that the tree follows there.
-PATHS = np.stack([np.concatenate([[t], np.random.default_rng(t).permutation(np.delete(np.arange(ORDERS), t))]) for t in range(TREES)])
+#: PATHS[tree, level]: the order that the tree follows there; each tree begins with another one.
+PATHS = np.stack([np.concatenate([[t], np.random.default_rng(t).permutation(np.delete(np.arange(ORDERS), t))]) for t in range(ORDERS)])
+
+
+def trees_for(depth: int, recall: float = RECALL) -> int:
+    """Trees by which a pair at the least similarity, which must meet at ``depth``, reaches ``recall``."""
+    meets = (PERCENT / 100) ** depth
+    return min(ORDERS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets))))
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -89,62 +101,93 @@ def _ints(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
-def _roots(batches):
-    """cid, low -> a row for each tree: the node that the class is in at the first level."""
-    for batch in batches:
-        if batch.num_rows:
-            cids, low = _ints(batch.column(0)), _matrix(batch.column(1), np.uint32, ORDERS)
-            node = mix(low[:, PATHS[:, 0]].astype(np.uint64) ^ mix(np.arange(TREES, dtype=np.uint64) + np.uint64(77))[None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64).ravel()), pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(cids))), pa.array(np.repeat(cids, TREES))], ["node", "tree", "cid"])
+def _roots(trees: range):
+    def step(batches):
+        """cid, low -> a row for each tree: the node that the class is in at the first level."""
+        number = np.arange(trees.start, trees.stop)
+        for batch in batches:
+            if batch.num_rows:
+                cids, low = _ints(batch.column(0)), _matrix(batch.column(1), np.uint32, ORDERS)
+                node = mix(low[:, PATHS[number, 0]].astype(np.uint64) ^ mix(number.astype(np.uint64) + np.uint64(77))[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64).ravel()), pa.array(np.tile(number.astype(np.int32), len(cids))), pa.array(np.repeat(cids, len(number)))], ["node", "tree", "cid"])
+
+    return step
 
 
 def _deeper(level: int):
     def step(batches):
-        """node, tree, cid, low, above -> the node one level below."""
+        """node, tree, cid, low -> the node one level below."""
         for batch in batches:
             if batch.num_rows:
                 node, tree = _ints(batch.column(0)).view(np.uint64), _ints(batch.column(1))
                 low = _matrix(batch.column(3), np.uint32, ORDERS)
                 chosen = low[np.arange(len(node)), PATHS[tree, level]].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(node) + chosen).view(np.int64)), batch.column(1), batch.column(2), batch.column(4)], ["node", "tree", "cid", "above"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(node) + chosen).view(np.int64)), batch.column(1), batch.column(2)], ["node", "tree", "cid"])
 
     return step
 
 
-def leaves(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(node, cid) of the nodes that hold 2 to NODE classes, and (node, cid, n) of the families."""
-    roots = classes.select("cid", "low").mapInArrow(_roots, "node long, tree int, cid long")
-    counts = materialize(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "dup-counts")
-    small, families = [], []
-    active = roots.withColumn("above", F.lit(None).cast("long"))
-    for level in range(1, DEPTH + 1):
-        sized = materialize(active.join(counts, "node"), f"dup-level{level}")
-        small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
-        large = sized.where(F.col("n") > NODE)
-        if large.isEmpty():
-            break
-        alike = F.coalesce(F.col("n") > ALIKE * F.col("above"), F.lit(False)) | F.lit(level == DEPTH)
-        families.append(large.where(alike).select("node", "cid", "n"))
-        below = large.where(~alike).select("node", "tree", "cid", F.col("n").alias("above")).join(classes.select("cid", "low"), "cid")
-        below = below.select("node", "tree", "cid", "low", "above").mapInArrow(_deeper(level), "node long, tree int, cid long, above long")
-        active = materialize(below, f"dup-below{level}")
-        counts = active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    return _union(small), _union(families) if families else None
+class Leaves:
+    """Where splitting ended, as tables: ``small`` (node, cid) with 2 to NODE classes a node, ``families``
+    (node, cid, n) and their typical members' least values ``centers`` (node, center), and ``levels``."""
+
+    def __init__(self):
+        self.small, self.families, self.centers, self.levels, self.split = [], [], [], 1, []
+
+    def add(self, classes: DataFrame, trees: range) -> None:
+        """Sends ``classes`` (cid, low) down the ``trees``; ``split`` gets what each level from the second on holds."""
+        roots = classes.select("cid", "low").mapInArrow(_roots(trees), "node long, tree int, cid long")
+        active, counts = roots, materialize(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "dup-counts")
+        for level in range(1, DEPTH + 1):
+            sized = materialize(active.join(counts, "node"), f"dup-level{level}")
+            self.small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
+            large = sized.where(F.col("n") > NODE)
+            if large.isEmpty():
+                return
+            some = large.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("n") / NODE)) == 0).join(classes.select("cid", "low"), "cid")
+            centers = some.select("node", "low").repartition("node").sortWithinPartitions("node").mapInArrow(_centers, "node long, center binary, agree double")
+            centers = materialize(centers, f"dup-centers{level}")
+            if level == DEPTH:
+                self.families.append(large.select("node", "cid", "n"))
+                self.centers.append(centers.select("node", "center"))
+                return
+            alike = centers.where(F.col("agree") >= ALIKE)
+            self.families.append(large.join(alike.select("node"), "node").select("node", "cid", "n"))
+            self.centers.append(alike.select("node", "center"))
+            # a node whose sample happened to be empty is split
+            below = large.join(alike.select("node"), "node", "left_anti").join(classes.select("cid", "low"), "cid")
+            active = materialize(below.select("node", "tree", "cid", "low").mapInArrow(_deeper(level), "node long, tree int, cid long"), f"dup-below{level}")
+            self.split.append(active)
+            self.levels = max(self.levels, level + 1)
+            counts = active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def leaves(classes: DataFrame) -> Leaves:
+    """The leaves of all trees: TREES for every class, and as many more as those that go deep need."""
+    out = Leaves()
+    out.add(classes, range(TREES))
+    enough = max((d for d in range(1, DEPTH + 1) if trees_for(d) <= TREES), default=0)
+    if out.levels > enough:
+        deep = classes.join(out.split[enough - 1].select("cid").distinct(), "cid") if enough else classes
+        out.add(materialize(deep.select("cid", "low"), "dup-deep"), range(TREES, trees_for(out.levels)))
+    return out
 
 
 def _centers(batches):
-    """node, low of some members, sorted by node -> the most frequent value of each order."""
+    """node, low of some members, sorted by node -> the most frequent value of each order, and how often
+    members agree with these on average."""
     for run in _by_node(batches):
         node, low = _ints(run.column(0)), _matrix(run.column(1), np.uint32, ORDERS)
         edge = np.concatenate([[0], np.flatnonzero(np.diff(node)) + 1, [len(node)]])
-        out = []
+        out, agree = [], []
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             part = np.sort(low[a:b], axis=0)
             # how often each value has come so far in its order: the last of the longest run is the mode
             place = np.broadcast_to(np.arange(b - a)[:, None], part.shape)
             start = np.maximum.accumulate(np.where(np.vstack([np.ones((1, ORDERS), bool), part[1:] != part[:-1]]), place, 0), axis=0)
             out.append(part[(place - start).argmax(axis=0), np.arange(ORDERS)].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(node[edge[:-1]]), pa.array(out, pa.binary())], ["node", "center"])
+            agree.append(float((place - start + 1).max(axis=0).mean() / (b - a)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[edge[:-1]]), pa.array(out, pa.binary()), pa.array(agree)], ["node", "center", "agree"])
 
 
 def _typical(batches):
@@ -166,11 +209,9 @@ def _star(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[ok]), pa.array(np.maximum(x, y)[ok])], ["a", "b"])
 
 
-def stars(families: DataFrame, sketches: DataFrame) -> DataFrame:
+def stars(families: DataFrame, centers: DataFrame, sketches: DataFrame) -> DataFrame:
     """Candidates (a, b) between the members of each family and its most typical ones."""
     members = families.join(sketches, "cid")
-    some = members.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("n") / NODE)) == 0)
-    centers = some.select("node", "low").repartition("node").sortWithinPartitions("node").mapInArrow(_centers, "node long, center binary")
     scored = members.join(centers, "node").select("node", "cid", "low", "center").mapInArrow(_typical, "node long, cid long, agree int")
     best = scored.groupBy("node", F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(PIVOTS)).alias("k")).agg(F.max(F.struct("agree", F.negate("cid").alias("minus"))).alias("best"))
     pivots = best.select("node", F.negate("best.minus").alias("cid")).join(sketches, "cid").select("node", F.col("cid").alias("p"), F.col("size").alias("p_size"), F.col("low").alias("p_low"), F.col("odd").alias("p_odd"))
@@ -372,7 +413,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "dup-classes")  # written once, so the ids stay
     sketches = classes.select("cid", "size", "low", "odd")
-    small, families = leaves(classes)
+    found = leaves(sketches)
+    small = _union(found.small)
+    families, centers = (_union(x) if x else None for x in (found.families, found.centers))
 
     def confirmed(labels: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         if labels is None:
@@ -388,7 +431,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sketched = at.join(sketches, "cid").select("node", "cid", "label", "size", "low", "odd")
         pairs = sketched.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_compare(labels is None), "a long, b long")
         if labels is None and families is not None:
-            pairs = pairs.unionByName(stars(families, sketches))
+            pairs = pairs.unionByName(stars(families, centers, sketches))
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -418,5 +461,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+@tidy
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
