@@ -24,6 +24,18 @@ def test_counts_match_the_tokenizer(spark, tokenizer):
     assert tokens.count_tokens(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_files_of_few_records(spark, tokenizer):
+    """Tasks that write several files each: a document's count stays its own."""
+    rows = [(i, "word " * i, 9) for i in range(40)]
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        out = tokens.count_tokens(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted((r.doc_id, r.n_tokens) for r in out) == [(i, len(tokenizer.encode_ordinary(t))) for i, t, _ in rows]
+    assert len({r.part for r in out}) == 4
+
+
 def test_long_spaces_are_encoded_alike(tokenizer):
     for text in ("a" + " " * 6000 + "b", " " * 5500, "\n" * 6000 + "x", "a" + " \n" * 3000):
         assert tokens.encode(tokenizer, text) == tokenizer.encode_ordinary(text)
@@ -41,7 +53,7 @@ def test_scan_of_foreign_files(spark, tmp_path, width):
         start = ordinal = 0
         for i, x in enumerate([*ids, None]):
             if x == 7 or (x is None and i > start):
-                want.append((k, ordinal, start, i - start))
+                want.append((f"part-{k:05}.bin", ordinal, start, i - start))
                 start, ordinal = i + 1, ordinal + 1
     out = tokens.scan_token_files(spark, str(tmp_path), end=7, width=width, block=4, run=2)
     assert sorted((r.part, r.ordinal, r.start, r.n_tokens) for r in out.collect()) == sorted(want)

@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import base64
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read, work_root
+from .common import materialize, read, tidy, work_path
 
 #: Where the public tokenizers' files are, and the end-of-document id, which that vocabulary leaves free.
 VOCABULARY, END = "/opt/tokenizers/byte_bpe_50k.tiktoken", 50256
@@ -62,13 +61,14 @@ def encode(tokenizer, text: str | None) -> list[int]:
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, width: int = WIDTH) -> None:
     """Writes the ``text`` of ``docs`` as flat token files below ``path``/kind=tokens.
 
-    Each task writes the file of its rows, and beside it, with the same number, ``kind=ids``: the
-    rows' doc_ids in order, 9 bytes each (1 if null, 8 of the number) and the separator. Spark's
+    Each task writes the file of its rows, and of the same name below ``kind=ids`` the rows' doc_ids
+    in order, 9 bytes each (1 if null, 8 of the number) and the separator. Where a setting limits
+    a file's records, both kinds go on in further files alike. Spark's
     writer commits both together, so they agree however often a task is tried. A null or empty text
     has no tokens, only its separator.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(bytes(spark.read.format("binaryFile").load(local(vocabulary)).first().content))
+    ranks = spark.sparkContext.broadcast(content_of(spark, vocabulary))
     kind = np.dtype(f"<u{width}")
 
     def step(batches):
@@ -88,21 +88,18 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     out.select("kind", F.col("value").cast("string").alias("value")).write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", separator).text(path)
 
 
-def local(path: str) -> str:
-    """Paths without a scheme are the machine's, as the tokenizers' are."""
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
-
-
-def _number(path: str) -> int:
-    found = re.search(r"part-(\d+)", path)
-    return int(found[1]) if found else -1
+def content_of(spark: SparkSession, path: str) -> bytes:
+    """A small file's content. A path without a scheme is the driver's own, as the tokenizers' are."""
+    if "://" not in path and not path.startswith("file:"):
+        with open(path, "rb") as f:
+            return f.read()
+    return bytes(spark.read.format("binaryFile").load(path).first().content)
 
 
 def scan_token_files(spark: SparkSession, path: str, end: int = END, width: int = WIDTH, block: int = BLOCK, run: int = RUN) -> DataFrame:
     """(file, part, ordinal, start, n_tokens) of each document of the token files at ``path``.
 
-    ``part`` is the number in a file's name (-1: none), ``ordinal`` the document's place in its file
-    from 0, ``start`` its first token's. The separator isn't counted. Tokens after a file's last
+    ``part`` is the file's name without its folder, ``ordinal`` the document's place in its file from 0, ``start`` its first token's. The separator isn't counted. Tokens after a file's last
     separator are a document; an empty file has none, and neighbouring separators enclose an empty
     one. A file whose length isn't a multiple of ``width`` is an error. Each file is read by one
     task, which sees it as blocks; so files should be no larger than a task's memory allows.
@@ -121,7 +118,7 @@ def scan_token_files(spark: SparkSession, path: str, end: int = END, width: int
                     own = tokens[at : at + block]
                     cuts = np.flatnonzero(own == end)
                     head = int(cuts[0]) if len(cuts) else len(own)
-                    out.append((name, _number(name.rsplit("/", 1)[-1]), k, at, len(own), head, len(cuts), at + int(cuts[-1]) + 1 if len(cuts) else None, (np.diff(cuts) - 1).tolist(), at + len(own) == len(tokens)))
+                    out.append((name, name.rsplit("/", 1)[-1], k, at, len(own), head, len(cuts), at + int(cuts[-1]) + 1 if len(cuts) else None, (np.diff(cuts) - 1).tolist(), at + len(own) == len(tokens)))
                     if len(out) == 64:
                         yield _batch(out)
                         out = []
@@ -155,11 +152,11 @@ def scan_token_files(spark: SparkSession, path: str, end: int = END, width: int
     return each.select("file", "part", (F.col("first") + F.col("i")).alias("ordinal"), start.alias("start"), "n_tokens")
 
 
-SCANNED = "file string, part int, block long, begin long, size long, head long, cuts long, last_cut long, inner array<bigint>, final boolean"
+SCANNED = "file string, part string, block long, begin long, size long, head long, cuts long, last_cut long, inner array<bigint>, final boolean"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int32(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.bool_()]
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 6, pa.list_(pa.int64()), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SCANNED.split(", ")])
 
 
@@ -173,9 +170,9 @@ def read_ids(spark: SparkSession, path: str, width: int = WIDTH) -> DataFrame:
                 x = np.frombuffer(content.as_buffer(), record)
                 for at in range(0, len(x), BLOCK):
                     own = x[at : at + BLOCK]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), _number(name.rsplit("/", 1)[-1])), pa.int32()), pa.array(np.arange(at, at + len(own))), pa.array(own["id"].copy(), mask=own["null"] > 0)], ["part", "ordinal", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array([name.rsplit("/", 1)[-1]] * len(own), pa.string()), pa.array(np.arange(at, at + len(own))), pa.array(own["id"].copy(), mask=own["null"] > 0)], ["part", "ordinal", "doc_id"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(step, "part int, ordinal long, doc_id long")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(step, "part string, ordinal long, doc_id long")
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, width: int = WIDTH) -> DataFrame:
@@ -186,13 +183,14 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END,
     table none. Texts of any length are tokenized whole. Other columns don't matter.
     """
     spark = docs.sparkSession
-    path = f"{work_root(spark)}/trendloom/token-files-{uuid.uuid4().hex}"
+    path = work_path(spark, "token-files")
     write_token_files(docs, path, vocabulary, end, width)
     if spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).isEmpty():
-        return spark.createDataFrame([], "doc_id long, part int, ordinal long, start long, n_tokens long")
+        return spark.createDataFrame([], "doc_id long, part string, ordinal long, start long, n_tokens long")
     ids, found = read_ids(spark, f"{path}/kind=ids", width), scan_token_files(spark, f"{path}/kind=tokens", end, width)
     return ids.join(found, ["part", "ordinal"], "left").select("doc_id", "part", "ordinal", "start", "n_tokens")
 
 
+@tidy
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
