@@ -29,7 +29,7 @@ FILES = [
 
 
 def plain_scores(texts):
-    """Best cosine of lines, blocks and windows, with dictionaries."""
+    """Best cosine of all lines, all blocks and all windows of templates' lengths in a block, with dictionaries."""
     words = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     grams = lambda w: Counter([(x,) for x in w] + list(zip(w, w[1:], strict=False)))
     df, n = Counter(), len(texts)
@@ -45,12 +45,12 @@ def plain_scores(texts):
         best = (0.0, None)
         parts = []
         for block in re.split(r"\n(?:[ \t\r]*\n)+", t or ""):
-            for part in [block, *block.split("\n")]:
-                if set(words(part)) & set(licenses.CUES):
-                    parts.append(words(part))
-            for line in block.split("\n"):
-                w = words(line)
-                parts += [w[max(0, i - licenses.AROUND) : i + licenses.AROUND + 1] for i, x in enumerate(w) if x in licenses.CUES]
+            parts += [words(part) for part in [block, *block.split("\n")]]
+            w = words(block)
+            known = np.concatenate([[0], np.cumsum([(x,) in vocabulary for x in w])])
+            for size in {len(words(x)) for ts in licenses.TEMPLATES.values() for x in ts}:
+                # of fewer known words, a window is far from all
+                parts += [w[i : i + size] for i in range(len(w) - size + 1) if 5 * (known[i + size] - known[i]) >= 2 * size]
         for w in parts:
             v = vector(w)
             for name, tv in templates:
@@ -94,6 +94,37 @@ def test_inheritance_against_walk(spark):
     assert (by["a/b/c/x.txt"], by["a/b/c/d/z"], by["ab/x.txt"], by["n/m/j.txt"]) == ("Apache-2.0", "GPL-3.0", None, "MIT")
 
 
+def test_templates_without_customary_words(spark):
+    """Cues come from the templates, so any text equal to one is found, whatever its words are."""
+    own = {"X": ("the quick brown fox jumps over a lazy dog",), "Y": ("sphinx of black quartz judge my vow",)}
+    texts = [("x.txt", "the quick brown fox jumps over a lazy dog"), ("y.txt", "so it goes\nsphinx of black quartz judge my vow\nand on"), ("z.txt", "nothing of the kind")]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(texts, "path string, text string"), own).collect()}
+    assert {k: r.own_license for k, r in got.items()} == {"x.txt": "X", "y.txt": "Y", "z.txt": None}
+    for name, many in licenses.TEMPLATES.items():
+        rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(many)], "path string, text string")
+        assert all(r.own_score > 0.999 for r in licenses.scan_licenses(rows, {name: many}).collect())
+
+
+def test_passages_without_cues_are_far():
+    """What a template is without its cues is shorter than the least cosine."""
+    table = licenses.Templates().fit(np.arange(len(licenses.Templates().terms) + 1) % 11 + 1.0)
+    for k, words in enumerate(table.words):
+        left = np.where(np.isin(words, table._cues(k)), np.uint64(0), words)
+        terms = {int(x) for x in left if x} | {int(x) for x, a, b in zip(licenses.shingles(words, 2), left[:-1], left[1:], strict=True) if a and b}
+        rest = sum(table.unit[k, np.searchsorted(table.terms, np.uint64(t))] ** 2 for t in terms)
+        assert rest < licenses.NEAR**2
+
+
+def test_hot_directory_and_names(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "SMALL", 0)
+    files = spark.range(300).selectExpr("concat('d/', id) AS path", "'plain' AS text", "1 AS dir", "2 AS __dir", "3 AS row", "4 AS part", "5 AS `a.b`")
+    more = spark.createDataFrame([("d/LICENSE", MIT, 1, 2, 3, 4, 5), ("e/x", "y", 1, 2, 3, 4, 5)], files.schema)
+    out = licenses.scan_licenses(files.unionByName(more))
+    rows = out.collect()
+    assert out.columns[:6] == ["path", "dir", "__dir", "row", "part", "a.b"] and {tuple(r)[1:6] for r in rows} == {(1, 2, 3, 4, 5)}
+    assert sorted(r.license == "MIT" for r in rows) == [False] + [True] * 301
+
+
 def test_empty_and_long(spark):
     schema = "path string, text string"
     assert licenses.scan_licenses(spark.createDataFrame([], schema)).count() == 0

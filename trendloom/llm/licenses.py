@@ -1,7 +1,8 @@
 """License scans: TF-IDF cosine of passages to license templates, then inheritance by directory.
 
-Passages around words of license talk, headers, notices within prose and whole license files alike,
-are compared with templates as sparse TF-IDF vectors. A file without a license of its own takes that of the nearest
+Passages, headers, notices within prose and whole license files alike, are compared with templates as
+sparse TF-IDF vectors. Each template's rarest words are cues: as many as a passage must have one of to
+be near enough, so passages without a cue needn't be compared. A file without a license of its own takes that of the nearest
 directory above it which holds a license file; joins on paths find it.
 """
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, materialize, read, shingles, summed
+from .common import ALNUM, materialize, read, shingles, summed, tidy
 
 # Customary notices and opening passages of public licenses.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -60,12 +61,10 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "SPDX-License-Identifier: CC-BY-SA-4.0"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 }
-#: Words that license talk doesn't go without.
-CUES = ("license", "licence", "licensed", "licenced", "licensing", "unlicense", "spdx", "permission", "redistribution", "warranty", "unencumbered", "cc0")
 #: A passage is this near to a template at least.
 NEAR = 0.6
-#: Words that a window has on either side of a cue.
-AROUND = 12
+#: Rows of directories that are broadcast at most, and the parts that larger ones are dealt into.
+SMALL, PARTS = 100_000, 32
 #: Words whose windows are compared at once, at most.
 SLICE = 4096
 #: A text is a license file if its passages that are near hold this share of its words.
@@ -87,12 +86,12 @@ class Templates:
     """Template vectors over their own terms; ``idf`` tells how rare these are in the corpus."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES):
-        pairs = [(name, _grams(_hashes(t))) for name in sorted(templates) for t in templates[name]]
+        self.words = [_hashes(t) for name in sorted(templates) for t in templates[name]]
+        pairs = [(name, _grams(w)) for name, w in zip((name for name in sorted(templates) for _ in templates[name]), self.words, strict=True)]
         self.names = [name for name, _ in pairs]
         self.terms = np.unique(np.concatenate([g for _, g in pairs])) if pairs else np.zeros(0, np.uint64)
         self.counts = np.array([np.bincount(np.searchsorted(self.terms, g), minlength=len(self.terms)) for _, g in pairs]).reshape(len(pairs), len(self.terms))
-        self.lengths = np.array([len(_hashes(t)) for name in sorted(templates) for t in templates[name]], np.int64)
-        self.cues = np.sort(np.array([_hashes(c)[0] for c in CUES]))
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.fit(np.zeros(len(self.terms) + 1))
 
     def fit(self, seen: np.ndarray) -> Templates:
@@ -101,8 +100,25 @@ class Templates:
         self.unknown = np.log(1 + seen[-1]) + 1
         rows = self.counts * self.idf
         self.unit = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-12)
+        self.cues = np.unique(np.concatenate([np.zeros(0, np.uint64), *[self._cues(k) for k in range(len(self.words))]]))
         return self
 
+    def _cues(self, k: int, near: float = NEAR) -> np.ndarray:
+        """The rarest words of template ``k``, until what is left of it without them has a length below ``near``:
+        the cosine of a passage that has none of them is at most that length."""
+        words, weight = self.words[k], self.unit[k] ** 2
+        of = lambda grams: weight[np.searchsorted(self.terms, grams)]
+        pairs = shingles(words, 2) if len(words) > 1 else words[:0]
+        own = np.unique(words)
+        cues: list[np.uint64] = []
+        for w in own[np.lexsort((own, -self.idf[np.searchsorted(self.terms, own)]))]:
+            left = ~np.isin(words, cues)
+            grams = np.unique(np.concatenate([words[left], pairs[left[:-1] & left[1:]]]))
+            if of(grams).sum() < (near - 1e-6) ** 2:
+                break
+            cues.append(w)
+        return np.array(cues, np.uint64)
+
     def slid(self, words: np.ndarray, block: np.ndarray, at: np.ndarray, near: float) -> list[tuple[int, int]]:
         """Windows (from, to) of the templates' numbers of words, in one ``block``, that are nearest to a template.
 
@@ -183,7 +199,7 @@ class Templates:
 
 
 def passages(words: np.ndarray, data: np.ndarray, start: np.ndarray, templates: Templates, near: float = NEAR) -> np.ndarray:
-    """Word ranges (from, to) around cues: the line, the block between blank lines, a window, and those slid over the block."""
+    """Word ranges (from, to) around cues: the line, the block between blank lines, and windows slid over the block."""
     at = np.flatnonzero(np.isin(words, templates.cues))
     if not len(at):
         return np.zeros((0, 2), np.int64)
@@ -193,11 +209,8 @@ def passages(words: np.ndarray, data: np.ndarray, start: np.ndarray, templates:
     of_solid = np.unique(np.searchsorted(breaks, solid))  # lines that aren't blank
     block = np.cumsum(np.diff(of_solid, prepend=of_solid[0] if len(of_solid) else 0) > 1)[np.searchsorted(of_solid, line)]
     ends = lambda x: np.stack([np.searchsorted(x, x[at], "left"), np.searchsorted(x, x[at], "right")], axis=1)
-    window = np.stack([np.maximum(at - AROUND, 0), np.minimum(at + AROUND + 1, len(words))], axis=1)
-    lines = ends(line)
-    window = np.stack([np.maximum(window[:, 0], lines[:, 0]), np.minimum(window[:, 1], lines[:, 1])], axis=1)
     slid = np.array(templates.slid(words, block, at, near), np.int64).reshape(-1, 2)
-    return np.unique(np.concatenate([lines, ends(block), window, slid]), axis=0)
+    return np.unique(np.concatenate([ends(line), ends(block), slid]), axis=0)
 
 
 def frequencies(texts: DataFrame, templates: Templates) -> np.ndarray:
@@ -231,15 +244,19 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
 
     Nulls: a null text is empty and has no license, but may inherit; a null path has no directory:
     it neither gives nor takes. Repeated rows each give a row. An empty table gives none. Input
-    columns named like the results are replaced. Texts are scanned whole, whatever their length.
+    columns named like the results are replaced, others may have any name. Texts are scanned whole,
+    whatever their length. A directory may hold any share of the files. ``near`` is ``NEAR`` or more.
     """
     spark = files.sparkSession
+    if near < NEAR:
+        raise ValueError(f"cues are those of passages at least {NEAR} near")
     table = Templates(templates)
     table.fit(frequencies(files, table))
     shared = spark.sparkContext.broadcast(table)
     results = ["own_license", "own_score", "own_words", "is_license_file", "license", "inherited_from"]
     kept = [c for c in files.columns if c not in (*results, "text")]
-    rows = files.select(F.col("text").cast("string").alias("__text"), *[files[f"`{c}`"] for c in kept])
+    row = F.struct(*[files[f"`{c}`"] for c in kept]) if kept else F.struct(F.lit(0).alias("none"))
+    rows = files.select(F.col("text").cast("string").alias("text"), row.alias("row"), F.col("path").cast("string").alias("path"))
 
     def step(batches):
         table = shared.value
@@ -262,24 +279,28 @@ def scan_licenses(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMP
 
     schema = type(rows.schema)(rows.schema.fields[1:]).add("own_license", "string").add("own_score", "double").add("own_words", "long").add("is_license_file", "boolean")
     found = rows.mapInArrow(step, schema)
-    path = F.col("path").cast("string")
-    named = F.coalesce(F.regexp_extract(path, r"[^/]*$", 0).rlike(NAMES), F.lit(False))
+    named = F.coalesce(F.regexp_extract("path", r"[^/]*$", 0).rlike(NAMES), F.lit(False))
     found = found.withColumn("is_license_file", F.col("own_license").isNotNull() & (F.col("is_license_file") | named))
     # small rows, read by three branches below: the texts are scanned once
-    found = materialize(found.withColumn("__dir", directory(path)), "license-found")
+    found = materialize(found.withColumn("dir", directory(F.col("path"))), "license-found")
 
-    holders = found.where("is_license_file AND __dir IS NOT NULL").groupBy(F.col("__dir").alias("above")).agg(F.min(F.struct(-F.col("own_score"), F.col("path").cast("string").alias("path"), "own_license")).alias("holder"))
+    holders = found.where("is_license_file AND dir IS NOT NULL").groupBy(F.col("dir").alias("above")).agg(F.min(F.struct(-F.col("own_score"), "path", "own_license")).alias("holder"))
     # Each directory is expanded into itself and those above it once, however many files it has.
-    parts = F.split("__dir", "/")
+    parts = F.split("dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    dirs = found.where("own_license IS NULL AND __dir IS NOT NULL").select("__dir").distinct().select("__dir", F.explode(F.array_distinct(above)).alias("above"))
-    nearest = dirs.join(holders, "above").groupBy("__dir").agg(F.max_by("holder", F.length("above")).alias("holder"))
-    nearest = nearest.select("__dir", F.col("holder.path").alias("__from"), F.col("holder.own_license").alias("__given"))
-    out = found.join(nearest, "__dir", "left")
+    dirs = found.where("own_license IS NULL AND dir IS NOT NULL").select("dir").distinct().select("dir", F.explode(F.array_distinct(above)).alias("above"))
+    nearest = dirs.join(holders, "above").groupBy("dir").agg(F.max_by("holder", F.length("above")).alias("holder"))
+    nearest = materialize(nearest.select("dir", F.col("holder.path").alias("from"), F.col("holder.own_license").alias("given")), "license-dirs")
+    if nearest.count() <= SMALL:
+        out = found.join(F.broadcast(nearest), "dir", "left")
+    else:  # the files of one directory are dealt into parts
+        part = F.pmod(F.xxhash64("path"), F.lit(PARTS)).cast("int").alias("part")
+        out = found.select("*", part).join(nearest.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")), ["dir", "part"], "left")
     inherits = F.col("own_license").isNull()
-    return out.select(*kept, *results[:4], F.coalesce("own_license", "__given").alias("license"), F.when(inherits, F.col("__from")).alias("inherited_from"))
+    return out.select(*[F.col(f"row.`{c}`") for c in kept], *results[:4], F.coalesce("own_license", "given").alias("license"), F.when(inherits, F.col("from")).alias("inherited_from"))
 
 
+@tidy
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of a tree: source, language, document."""
     docs = read(spark, sf_dir, "documents")
