@@ -11,18 +11,19 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_fold, materialize, read, summed
+from .common import id_fold, materialize, read, summed, tidy
 
 #: n-grams of 1 to ORDER characters are hashed into so many buckets.
 ORDER, BITS = 3, 15
 BUCKETS = 1 << BITS
 #: Follow the regularised leader: learning rate and its offset, L1 and L2 penalties, passes.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 1e-4, 2
-#: About so many labelled documents are learned from, those of the least hashed ids and texts.
-LABELLED = 6_000
+#: At most so many different labelled texts are learned from, those of the least hashes, shared out evenly
+#: among the languages; and at most so many languages, the commonest ones, as the state holds a column for each.
+LABELLED, LANGUAGES = 6_000, 100
 #: Every fifth of them sets the temperature.
 CALIBRATE = 5
 #: Shards that learn side by side in a pass; their states are averaged after it.
@@ -114,18 +115,19 @@ class Model:
         return self.langs[k], float(p[k])
 
 
-def train(docs: DataFrame, labelled: int = LABELLED) -> Model:
+def train(docs: DataFrame, labelled: int = LABELLED, languages: int = LANGUAGES) -> Model:
     """Learns from ``docs`` (text, lang) with a non-null lang and a letter in the text.
 
-    Document frequencies cover all of them. The classifier learns from about ``labelled``, chosen
-    by a hash of text and language, in ``SHARDS`` shards; what leaves a task is its state, whose
-    size the buckets and languages fix. Without such documents the model knows no language.
+    Document frequencies cover all of them. The classifier learns the ``languages`` commonest labels
+    from at most ``labelled`` different texts, an equal number of each language at most, in ``SHARDS``
+    shards; what leaves a task is its state, whose size the buckets and languages fix. Copies of a
+    text count once. Without such documents the model knows no language.
     """
     spark = docs.sparkSession
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    by_lang = rows.groupBy("lang").count().collect()
-    langs, total = sorted(r.lang for r in by_lang), sum(r["count"] for r in by_lang)
-    if not total:
+    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    langs = sorted(r.lang for r in by_lang)
+    if not langs:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
     size = len(langs)
 
@@ -142,9 +144,11 @@ def train(docs: DataFrame, labelled: int = LABELLED) -> Model:
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
     model = Model(langs, idf, np.zeros((BUCKETS, size)), 1.0)
 
-    share = min(1.0, labelled / total)
-    key = F.xxhash64("text", "lang")
-    chosen = rows.where((key / F.lit(2.0**64)) + 0.5 < share).withColumn("key", key)
+    keyed = rows.where(F.col("lang").isin(langs)).withColumn("key", F.xxhash64("text", "lang"))
+    # Spark limits each task's rows of a language before it sorts them
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    keys = keyed.select("lang", "key").distinct().withColumn("n", least).where(F.col("n") <= max(1, labelled // size)).select("key", "lang")
+    chosen = keyed.join(F.broadcast(keys), ["key", "lang"]).groupBy("key", "lang").agg(F.any_value("text").alias("text")).select("text", "lang", "key")
     place = {lang: i for i, lang in enumerate(langs)}
 
     def vectors(batches):
@@ -181,7 +185,7 @@ def train(docs: DataFrame, labelled: int = LABELLED) -> Model:
             if used:
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([z.ravel(), n.ravel(), [1.0]]).tobytes()])], ["part"])
 
-        shards = fit.repartition(SHARDS, "shard").sortWithinPartitions(F.xxhash64("key", F.lit(9)), "y").select("y", "at", "v")
+        shards = fit.repartitionByRange(SHARDS, "shard").sortWithinPartitions(F.xxhash64("key", F.lit(9)), "y").select("y", "at", "v")
         total = summed(shards.mapInArrow(learn, "part binary"), 2 * BUCKETS * size + 1)
         state.unpersist()
         if total[-1]:
@@ -226,6 +230,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return rest.mapInArrow(step, schema)
 
 
+@tidy
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(id_fold("doc_id", 3) != 1).select("text", "lang"))
