@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from trendloom.llm import mixing, secrets, urls
 
@@ -57,6 +58,62 @@ def test_secret_model(spark, model):
     assert not flagged & set(range(200, 200 + len(words)))
 
 
+def test_secret_ratio_and_spans(spark, model):
+    """Ratios and added spans in plain Python, from counts of neighbouring characters."""
+    import math
+
+    samples = [tuple(r) for r in secrets.default_samples(spark, 3000).collect()]
+    place = {c: i for i, c in enumerate(secrets.ALPHABET, 1)}
+    width = len(secrets.ALPHABET) + 1
+    counts = {0: defaultdict(int), 1: defaultdict(int)}
+    for text, label in samples:
+        for a, b in zip(text, text[1:], strict=False):
+            counts[label][place.get(a, 0), place.get(b, 0)] += 1
+    table = {}
+    for a in range(width):
+        n = {s: sum(counts[s][a, b] for b in range(width)) for s in (0, 1)}
+        pool = [counts[0][a, b] + counts[1][a, b] + 1 for b in range(width)]
+        for b in range(width):
+            q = pool[b] / sum(pool)
+            p = {s: (counts[s][a, b] + secrets.PRIOR * q) / (n[s] + secrets.PRIOR) for s in (0, 1)}
+            table[a, b] = math.log(p[1] / p[0]) if pool[b] > 1 else 0.0
+    assert model == pytest.approx([table[a, b] for a in range(width) for b in range(width)], abs=1e-6)
+
+    def ratio(token):
+        return sum(table[place.get(a, 0), place.get(b, 0)] for a, b in zip(token, token[1:], strict=False))
+
+    rng = random.Random(17)
+    texts = []
+    for i in range(120):
+        digest = hashlib.sha256(b"%d" % i).hexdigest()
+        token = rng.choice([digest[: rng.randrange(18, 40)], digest.upper()[:24], "get" + "UserAccountBalance" * rng.randrange(1, 3), "".join(rng.choices(secrets.ALPHABET, k=rng.randrange(15, 40)))])
+        texts.append(f"é {token} 😀 and_{token[:12]}({token})")
+    found = secrets.find_secrets(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS), model).collect()
+    added = 0
+    for r in found:
+        tokens = [(m.start(), m.end(), m[0]) for m in re.finditer(secrets.CANDIDATE, r.row.text)]
+        want = [(a, b) for a, b, t in tokens if ratio(t) >= max(secrets.TOTAL, secrets.EACH * len(t))]
+        close = [t for *_, t in tokens if abs(ratio(t) - max(secrets.TOTAL, secrets.EACH * len(t))) < 1e-3]
+        assert close or [(x.start, x.stop) for x in r.found if x.kind == secrets.RANDOM] == want
+        added += len(want)
+    assert added > 100
+
+
+def test_secret_query(spark, sf_dir):
+    out = secrets.op1_secret_scan(spark, sf_dir)
+    assert out.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"]
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in out.collect():
+        base = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(base.count(f"{k}:") for k in PATTERNS)
+        assert len(r.spans.split(",")) == r.n_assign + r.n_access + r.n_hex + r.n_random or r.spans == ""
+
+
+def test_secret_empty_table(spark, model):
+    assert secrets.find_secrets(spark.createDataFrame([], DOCS), model).count() == 0
+
+
 def test_secret_redaction(spark, model):
     rows = [(1, "a password=abcdefabcdefabcdef01 b", "en", "s", 33), (2, "clean é text", "en", "s", 12), (3, None, None, None, None), (4, "", "en", "s", 0)]
     out = {r.doc_id: r for r in secrets.redact(spark.createDataFrame(rows, DOCS), model).collect()}
@@ -103,6 +160,28 @@ def test_mix(spark):
     assert mixing.mix_sources(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_mix_sql(spark, sf_dir):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = duckdb.sql(mixing.SQL)
+    out = mixing.op2_mix_sources(spark, sf_dir)
+    assert want.columns == out.columns
+    plain = lambda rows: sorted(str((*r[:3], round(r[3], 6), *r[4:])) for r in map(tuple, rows))
+    assert plain(out.collect()) == plain(want.fetchall())
+
+
+def test_mix_repeated_rows(spark, monkeypatch):
+    """Rows without doc_id of one text, and one row many times: more than a range holds of one key."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
+    rows = [(None, "a b c", "s")] * 130 + [(5, "d e", "s")] * 90 + [(i, "w " * (i % 9), "s") for i in range(100)] + [(i, "x y", "t") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.col("doc_id"))
+    runs = [mixing.mix_sources(docs.repartition(n), share=0.7, carry=carry) for n, carry in ((2, None), (5, None), (3, "row"))]
+    assert runs[2].columns == [*runs[0].columns, "row"]
+    out = [sorted(map(str, map(tuple, r.drop("row").collect()))) for r in runs]
+    assert out[0] == out[1] == out[2] and len(out[0]) == len(rows)
+    for r in runs[0].groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 0.5 + 1e-6
+
+
 def test_mix_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 10)
     docs = spark.range(2000).selectExpr("id AS doc_id", "repeat('w ', int(id % 17)) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
@@ -129,7 +208,7 @@ def test_urls(spark):
     hosts = ["example.org", "A.Example.ORG", "org", "com", "x.com", "notexample.org", "example.org.", ".org", "example.org:80", "", "é.com", "a..org"]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/12/x", "/fr/1", "/de/", "/DE/", "?a=/de/", "/es/?q#f", "#/fr/", "/fr/é"]
     pages = [(i, rng.choice(["http://", "https://", "://", "a://b://", "http:/", ""]) + rng.choice(hosts) + rng.choice(paths)) for i in range(600)]
-    pages += [(600, None), (601, ""), (None, "http://example.org/es/"), (602, "http://" + "a." * 3000 + "org/" + "x" * 20000)] + [(603, "http://example.org/es/")] * 3
+    pages += [(600, None), (601, ""), (None, "http://example.org/es/"), (602, "http://" + "a." * 24_000 + "org/" + "x" * 20000)] + [(603, "http://example.org/es/")] * 3
     table = spark.createDataFrame(pages, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule", "3 AS short")
     out = urls.filter_urls(table, urls.rule_table(spark))
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(str((i, *plain_verdict(u, urls.RULES))) for i, u in pages)

@@ -117,3 +117,42 @@ def test_run_gives_the_stages_rows(spark, folder, steps):
     out = pipeline.run(spark, folder).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), "taken").collect()
     want = spark.read.parquet(f"{folder}/out4").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"), "taken").collect()
     assert sorted(out, key=str) == sorted(want, key=str)
+
+
+CLASHING = "size int, target int, source_size int, taken int, __key int, `a.b` int, row int, hash int, first int, lang_pred int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, folder):
+    """Columns of the stages' own names, repeated rows, one doc_id of two texts, rows without doc_id."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en' AND doc_id < 900000").collect() if len((r.text or "").split()) > 100}
+    a, b, c, d = [texts[k] for k in sorted(texts)[:4]]
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (1, b, "en", "s"), (None, c, None, "s"), (None, c, None, "s"), (None, d, None, None), (2, a + " more", "en", "t"), (3, None, None, None), (4, "", "en", "s")]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
+    return spark.createDataFrame([(*r, len(r[1] or ""), *range(10)) for r in rows], schema), (a, b, c, d)
+
+
+@pytest.mark.parametrize("name", [s[0] for s in pipeline.STAGES])
+def test_clashing_columns(spark, folder, odd, name):
+    docs, _ = odd
+    stage = dict(pipeline.STAGES)[name]
+    out, none = stage(spark, docs, folder), stage(spark, docs.where("false"), folder)
+    added = ["size", "source_size", "target", "taken"] if name == "mix" else []
+    assert out.columns == none.columns == [c for c in docs.columns if c not in added] + added
+    assert none.count() == 0
+    for r in out.collect():
+        assert (r["a.b"], r["__key"], r["row"], r["hash"], r["lang_pred"]) == (5, 4, 6, 7, 9)
+
+
+def test_documents_of_one_doc_id(spark, folder, odd):
+    docs, (a, b, c, d) = odd
+    kept = sorted((str(r.doc_id), r.text) for r in pipeline.drop_near_duplicates(spark, docs, folder).collect())
+    ones = [x for x in kept if x[1] in (a, a + " more")]
+    assert len(ones) == 1 and sorted(x for x in kept if x not in ones) == sorted([("1", b), ("None", c), ("None", d), ("3", None), ("4", "")], key=str)
+
+
+def test_mix_of_repeated_rows(spark, folder, odd):
+    docs, _ = odd
+    many = docs.unionByName(docs).unionByName(docs)
+    out = pipeline.mix_sources(spark, many, folder).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(out) == 3 and all(abs(r.taken - r.target) <= 0.5 + 1e-6 for r in out)

@@ -35,11 +35,11 @@ def work_root(spark: SparkSession) -> str:
 _scopes: list[list[str]] = []
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; the innermost ``work_tables`` scope removes it."""
+def work_path(spark: SparkSession, name: str, outer: bool = False) -> str:
+    """A new path in the shared folder; the innermost ``work_tables`` scope removes it, or the one around that."""
     path = f"{work_root(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if len(_scopes) > outer:
+        _scopes[-1 - outer].append(path)
     return path
 
 

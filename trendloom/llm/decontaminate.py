@@ -13,10 +13,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Bloom, materialize, read, shingles
+from .common import ALNUM, Bloom, materialize, read, shingles, tidy
 
 #: Words of a window and of a shingle; a document is contaminated from one hit word in so many.
 WINDOW, SHINGLE, SHARE = 13, 5, 20
+#: Rows of windows that a task gathers before it passes them on.
+SLICE = 20_000
 
 
 def _plain(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
@@ -31,20 +33,24 @@ def _plain(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> str:
 
 
 def _windows(batches):
-    """item_id, text -> a row for each shingle of each distinct window of the item."""
+    """item_id, text -> a row for each shingle of each distinct window of the item; an item's windows leave
+    in slices, so a long item isn't held whole."""
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()]
     for batch in batches:
-        out = []
         for row, words, data, start, end in ALNUM.texts(batch.column(1)):
             item = batch.column(0)[row].as_py()
-            size, seen = min(WINDOW, len(words)), set()
+            size, seen, out = min(WINDOW, len(words)), set(), []
             for at in range(len(words) - size + 1 if size else 0):
-                text = _plain(data, start[at : at + size], end[at : at + size])
-                if text not in seen:
-                    seen.add(text)
-                    own = shingles(words[at : at + size], SHINGLE).view(np.int64)
+                own = shingles(words[at : at + size], SHINGLE).view(np.int64)
+                if (key := own.tobytes()) not in seen:
+                    seen.add(key)
+                    text = _plain(data, start[at : at + size], end[at : at + size])
                     out += [(item, text, size, int(h), k) for k, h in enumerate(own)]
-        cols = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["item_id", "words", "size", "shingle", "place"])
+                if len(out) > SLICE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["item_id", "words", "size", "shingle", "place"])
+                    out, seen = [], set()  # windows that come again are made distinct before they are joined
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["item_id", "words", "size", "shingle", "place"])
 
 
 def _passages(bloom, sizes: list[int]):
@@ -111,7 +117,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Nulls: a null text has no words, as a document or an item; items of null item_id are matched,
     but not listed; a null doc_id stays. An item of fewer than 13 words is one window of all of them.
     Repeated items count once by id; repeated documents each give a row. Without items or documents
-    nothing is hit. Other columns don't matter.
+    nothing is hit. Texts and items of any length are compared whole. Other columns don't matter.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -159,5 +165,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+@tidy
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

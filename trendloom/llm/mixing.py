@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, read
+from .common import materialize, read, tidy
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -47,25 +47,27 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling:
     )
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: int = CEILING, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling: int = CEILING, seed: int = 7, carry: str | None = None) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source): how many of its words the mix takes.
 
     Each source is taken whole as often as its target holds it, then once more along the random
     order up to its exact budget; the document at the cut is taken in part. ``taken`` thus never
-    exceeds ``ceiling`` times ``size``.
+    exceeds ``ceiling`` times ``size``. A column named by ``carry`` comes along as the last one.
 
-    Nulls: a null text has size 0; null sources form one source, the last; a null doc_id gets the
-    key of the empty text. Repeated rows have one key; they are ordered by size and then split by
-    their place, so each counts. An empty table gives no rows. Other columns don't matter.
+    Nulls: a null text has size 0 and the key of the empty text; null sources form one source, the
+    last; a null doc_id stays. Keys are of doc_id and text, so only rows that repeat both share one;
+    of these each counts, and it doesn't matter which is taken. A key of very many rows is dealt into
+    ranges of its own. An empty table gives no rows. Other columns don't matter. Sources are few: one
+    row for each is ordered in one task.
     """
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))
-    sized = docs.select(
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    columns = [
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
-        key.alias("key"),
-    )
-    sized = materialize(sized, "mix-sizes")
+        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
+        F.md5(F.concat(part("doc_id"), F.lit(f":{seed}:"), part("text")).cast("binary")).alias("key"),
+    ]
+    sized = materialize(docs.select(*columns), "mix-sizes")
     stats = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     plan = (
         targets(stats, weights, share, ceiling)
@@ -74,23 +76,55 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling:
         .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
         .withColumn("ranges", F.ceil(F.col("rows") / RANGE_ROWS).cast("long"))
     )
-    plan = materialize(plan.select("source", "source_size", "target", "epochs", "rest", "ranges"), "mix-plan")
-    same = lambda a, b: a["source"].eqNullSafe(b["source"])
-    # The range of a key among equal ranges of the key's values; keys are uniform, so are ranges.
-    fraction = (F.col("key") / F.lit(2.0**64)) + 0.5
-    ranged = (
-        sized.join(plan, same(sized, plan), "left")
-        .select(sized["*"], "source_size", "target", "epochs", "rest", F.least(F.floor(fraction * F.col("ranges")), F.col("ranges") - 1).alias("range"))
-    )
-    sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("before_range"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.join(sums, ranged["source"].eqNullSafe(sums["s"]) & (ranged["range"] == sums["r"]), "left")
-    before = F.col("before_range") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    plan = materialize(plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "rest", "ranges"), "mix-plan")
+    # The range of a key among equal ranges of the keys' values; keys are uniform, so are ranges.
+    fraction = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    at = F.least(F.floor(fraction * F.col("ranges")), F.col("ranges") - 1).alias("range")
+    ranged = lambda df: df.join(plan, df["source"].eqNullSafe(plan["s"]), "left").select(*[df[c] for c in df.columns], "source_size", "target", "epochs", "rest", at)
+    placed = ranged(sized)
+
+    # only a key that repeats overfills its range; such keys come last in it, dealt into parts
+    full = placed.groupBy("source", "range").agg(F.count("*").alias("n")).where(F.col("n") > 4 * RANGE_ROWS)
+    full = full.select(F.col("source").alias("s"), F.col("range").alias("r"))
+    hot = placed.join(full, placed["source"].eqNullSafe(full["s"]) & (placed["range"] == full["r"])).groupBy("source", "key").agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS)
+    hot = materialize(hot.select(F.col("source").alias("s"), F.col("key").alias("hot"), F.ceil(F.col("n") / RANGE_ROWS).alias("parts")), "mix-hot")
+    some = not hot.isEmpty()
+
+    def dealt(df: DataFrame) -> DataFrame:
+        if not some:
+            return df.select("*", F.lit(None).cast("string").alias("hot"), F.lit(0).cast("long").alias("part"))
+        own = F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))
+        return df.join(hot, df["source"].eqNullSafe(hot["s"]) & (df["key"] == hot["hot"]), "left").select(*[df[c] for c in df.columns], "hot", own.alias("part"))
+
+    rows = dealt(placed if carry is None else ranged(docs.select(*columns, F.col(f"`{carry}`").alias("__carried"))))
+    rows = materialize(rows, "mix-rows") if some else rows  # the parts of a key are dealt once
+    slim = rows if some else dealt(placed)
+    sums = slim.groupBy("source", "range", "hot", "part").agg(F.sum("size").alias("part_size"))
+    earlier = Window.partitionBy("source").orderBy("range", F.col("hot").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.col("hot").alias("h"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("before_part"))
+    within = Window.partitionBy("source", "range", "hot", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["range"] == sums["r"]) & rows["hot"].eqNullSafe(sums["h"]) & (rows["part"] == sums["p"]), "left")
+    before = F.col("before_part") + F.coalesce(F.sum("size").over(within), F.lit(0))
     once_more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + once_more).cast("long").alias("taken"), "source")
+    taken = (F.col("epochs") * F.col("size") + once_more).cast("long").alias("taken")
+    return joined.select("doc_id", "size", "source_size", "target", taken, "source", *([] if carry is None else [F.col("__carried").alias(carry)]))
 
 
+@tidy
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(doc_id::VARCHAR, '') || ':7:' || coalesce(text, '')) AS key FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight FROM d GROUP BY source),
+-- each source's level if those of a lower ratio of ceiling to weight stop at their ceiling
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+f AS (SELECT arg_min(level, 2 * source_size / weight) AS final FROM l WHERE 2 * source_size / weight > level),
+t AS (SELECT source, source_size, CASE WHEN 2 * source_size / weight <= level THEN 2.0 * source_size ELSE weight * final END::DOUBLE AS target FROM l LEFT JOIN f ON true),
+b AS (SELECT *, floor(target + 0.5)::BIGINT AS budget FROM t),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS epochs FROM b),
+p AS (SELECT d.doc_id, d.size, e.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken, source FROM p
+"""

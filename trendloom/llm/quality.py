@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, id_fold, materialize, read, summed
+from .common import SPACED, id_fold, materialize, read, summed, tidy
 
 #: Random features; width of the Gaussian kernel over standardised statistics; ridge penalty.
 FEATURES, WIDTH, PENALTY = 384, 4.0, 1.0
@@ -169,6 +169,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(step, "doc_id long, score double")
 
 
+@tidy
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_token_counts": tokens.op9_token_counts,
     "op10_nearest": neighbours.op10_nearest,
 }
-ORACLE_SQL = {"op6_url_filters": urls.SQL}
+ORACLE_SQL = {"op2_mix_sources": mixing.SQL, "op6_url_filters": urls.SQL}

@@ -201,9 +201,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         F.col("row.doc_id").cast("long").alias("doc_id"),
-        *[count(kind).alias(f"n_{kind}") for kind in (*[k[0] for k in KINDS], RANDOM)],
+        *[count(k[0]).alias(f"n_{k[0]}") for k in KINDS],
         F.sha2(_joined(F.filter("found", lambda x: x["kind"] != RANDOM)).cast("binary"), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"),
+        count(RANDOM).alias(f"n_{RANDOM}"),
     )
 
 

@@ -22,7 +22,8 @@ SHORT = 8
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    return spark.range(1).select(F.inline(rows))
 
 
 def url_parts(url):
@@ -40,8 +41,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
 
     A rule fits its host and all subdomains if the path starts with the rule's path; the longest
     rule wins (longer host, then longer path; of rules with one host and path, ``block`` wins).
-    Each distinct host and path is expanded once into all its host suffixes and those path
-    prefixes whose length some rule has. Expressions and rules meet on a short digest prefix, then
+    Each distinct host and path is expanded once into those host suffixes whose number of labels and
+    those path prefixes whose length some rule has. Expressions and rules meet on a short digest prefix, then
     on the full digest, so rule lists of any size are joined, not broadcast by force.
 
     Nulls: a null url, or one without ``://``, has an empty host and path and gets the default; a
@@ -52,20 +53,21 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> D
     judged = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rules = (
         rules.where("verdict IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL AND host != ''")
-        .select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"), F.length("path").alias("path_length"))
+        .select(F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"), F.length("path").alias("path_length"), (F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))) + 1).alias("labels"))
         .withColumn("digest", F.sha2(F.concat(F.col("host_length").cast("string"), F.lit(":"), "rule"), 256))
         .withColumn("short", F.substring("digest", 1, SHORT))
     )
-    # The distinct path lengths: whole numbers, no more of them than the longest rule has characters.
-    lengths = F.array(*[F.lit(n) for (n,) in sorted(rules.select("path_length").distinct().collect())]).cast("array<int>")
-    labels = F.split("host", r"\.", -1)
-    suffix = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice("labels", i, F.size("labels")), "."))
+    # The distinct numbers of labels and path lengths: no more of them than the longest rule has characters.
+    distinct = lambda c: sorted(n for (n,) in rules.select(c).distinct().collect())
+    lengths = F.array(*[F.lit(n) for n in distinct("path_length")]).cast("array<int>")
+    labels = F.length("host") - F.length(F.replace(F.col("host"), F.lit("."))) + 1
+    suffix = F.array(*[F.when(F.col("labels") >= n, F.substring_index("host", ".", -n)) for n in distinct("labels")]).cast("array<string>")
     prefix = F.transform(F.filter(lengths, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     expressions = (
         judged.where("host != ''").select("host", "path").distinct()
         .withColumn("labels", labels)
         .select("host", "path", F.explode(suffix).alias("h"), prefix.alias("prefixes"))
-        .where("h != ''")
+        .where("h != ''")  # null: too few labels
         .select("host", "path", "h", F.explode("prefixes").alias("p"))
         .select("host", "path", F.sha2(F.concat(F.length("h").cast("string"), F.lit(":"), "h", "p"), 256).alias("full"))
         .withColumn("short", F.substring("full", 1, SHORT))
