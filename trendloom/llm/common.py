@@ -270,7 +270,8 @@ class Bloom:
 
         out = np.zeros(cls.BITS // 8, np.uint8)
         # At most BITS / 8 places exist, 5 bytes each: 20 MB however large the input is.
-        for row in merged.mapInArrow(pack, "place binary, bits binary").toLocalIterator():
+        # In few tasks, as the driver fetches one task's part after the other.
+        for row in merged.coalesce(4).mapInArrow(pack, "place binary, bits binary").toLocalIterator():
             out[np.frombuffer(row.place, "<i4")] = np.frombuffer(row.bits, "u1")
         return cls(out)
 

@@ -32,6 +32,8 @@ ORDERS = 96
 #: with its typical member in this share of the orders is a family: at the level of links, splitting
 #: would part what is linked. What is still larger at the last level is compared piece by piece too.
 NODE, DEPTH, ALIKE = 256, 20, 0.85
+#: Levels that are split at once below the first.
+AHEAD = 4
 #: Typical members that all members of a family are compared with.
 PIVOTS = 2
 #: Candidates whose sketches agree in a smaller share are taken for no links: a pair at exactly the
@@ -114,36 +116,41 @@ def _roots(trees: range):
     return step
 
 
-def _deeper(level: int):
+def _deeper(level: int, steps: int):
     def step(batches):
-        """node, tree, cid, low -> the node one level below."""
+        """node, tree, cid, low -> the nodes of the next ``steps`` levels, n1 and on."""
         for batch in batches:
             if batch.num_rows:
                 node, tree = _ints(batch.column(0)).view(np.uint64), _ints(batch.column(1))
-                low = _matrix(batch.column(3), np.uint32, ORDERS)
-                chosen = low[np.arange(len(node)), PATHS[tree, level]].astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(mix(node) + chosen).view(np.int64)), batch.column(1), batch.column(2)], ["node", "tree", "cid"])
+                low, out = _matrix(batch.column(3), np.uint32, ORDERS), []
+                for k in range(steps):
+                    node = mix(mix(node) + low[np.arange(len(node)), PATHS[tree, level + k]].astype(np.uint64))
+                    out.append(pa.array(node.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *out], ["tree", "cid", *[f"n{k + 1}" for k in range(steps)]])
 
     return step
 
 
 class Leaves:
     """Where splitting ended, as tables: ``small`` (node, cid) with 2 to NODE classes a node, ``families``
-    (node, cid, n) and their typical members' least values ``centers`` (node, center), and ``levels``."""
+    (node, cid, n) and their typical members' least values ``centers`` (node, center), and the deepest
+    level in use, ``levels``."""
 
     def __init__(self):
         self.small, self.families, self.centers, self.levels, self.split = [], [], [], 1, []
 
     def add(self, classes: DataFrame, trees: range) -> None:
-        """Sends ``classes`` (cid, low) down the ``trees``; ``split`` gets what each level from the second on holds."""
+        """Sends ``classes`` (cid, low) down the ``trees``; ``split`` gets (level, table of what is split from there on).
+
+        Levels are taken ``AHEAD`` at a time: all their nodes are counted together, and a document ends
+        at the first that isn't too large.
+        """
         roots = classes.select("cid", "low").mapInArrow(_roots(trees), "node long, tree int, cid long")
-        active, counts = roots, materialize(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "dup-counts")
-        for level in range(1, DEPTH + 1):
-            sized = materialize(active.join(counts, "node"), f"dup-level{level}")
-            self.small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
-            large = sized.where(F.col("n") > NODE)
-            if large.isEmpty():
-                return
+        counts = materialize(roots.groupBy("node").agg(F.count("*").alias("n")).where("n > 1"), "dup-counts")
+        sized = materialize(roots.join(counts, "node"), "dup-level1")
+        self.small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
+        large, level = sized.where(F.col("n") > NODE), 1
+        while not large.isEmpty():
             some = large.where(F.pmod(F.xxhash64("cid", F.lit(1)), F.ceil(F.col("n") / NODE)) == 0).join(classes.select("cid", "low"), "cid")
             centers = some.select("node", "low").repartition("node").sortWithinPartitions("node").mapInArrow(_centers, "node long, center binary, agree double")
             centers = materialize(centers, f"dup-centers{level}")
@@ -155,11 +162,22 @@ class Leaves:
             self.families.append(large.join(alike.select("node"), "node").select("node", "cid", "n"))
             self.centers.append(alike.select("node", "center"))
             # a node whose sample happened to be empty is split
-            below = large.join(alike.select("node"), "node", "left_anti").join(classes.select("cid", "low"), "cid")
-            active = materialize(below.select("node", "tree", "cid", "low").mapInArrow(_deeper(level), "node long, tree int, cid long"), f"dup-below{level}")
-            self.split.append(active)
-            self.levels = max(self.levels, level + 1)
-            counts = active.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+            steps = min(AHEAD, DEPTH - level)
+            nodes = [f"n{k + 1}" for k in range(steps)]
+            below = large.join(alike.select("node"), "node", "left_anti").join(classes.select("cid", "low"), "cid").select("node", "tree", "cid", "low")
+            below = materialize(below.mapInArrow(_deeper(level, steps), f"tree int, cid long, {', '.join(n + ' long' for n in nodes)}"), f"dup-below{level}")
+            counts = below.select(F.explode(F.array(*nodes)).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+            counts = materialize(counts, f"dup-counts{level}")
+            for k, n in enumerate(nodes):
+                below = below.join(counts.select(F.col("node").alias(n), F.col("n").alias(f"c{k + 1}")), n, "left")
+            ends, size, deep = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("int")
+            for k in reversed(range(steps)):  # the first level that isn't too large, else the last
+                here = F.lit(k == steps - 1) | (F.coalesce(f"c{k + 1}", F.lit(1)) <= NODE)
+                ends, size, deep = F.when(here, F.col(f"n{k + 1}")).otherwise(ends), F.when(here, F.col(f"c{k + 1}")).otherwise(size), F.when(here, level + k + 1).otherwise(deep)
+            sized = materialize(below.select(ends.alias("node"), "tree", "cid", size.alias("n"), deep.alias("level")).where("n > 1"), f"dup-level{level + steps}")
+            self.small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
+            self.split.append(sized.select("cid", "level"))
+            large, level = sized.where(F.col("n") > NODE), level + steps
 
 
 def leaves(classes: DataFrame) -> Leaves:
@@ -167,9 +185,12 @@ def leaves(classes: DataFrame) -> Leaves:
     out = Leaves()
     out.add(classes, range(TREES))
     enough = max((d for d in range(1, DEPTH + 1) if trees_for(d) <= TREES), default=0)
-    if out.levels > enough:
-        deep = classes.join(out.split[enough - 1].select("cid").distinct(), "cid") if enough else classes
-        out.add(materialize(deep.select("cid", "low"), "dup-deep"), range(TREES, trees_for(out.levels)))
+    if out.split:
+        ended = _union(out.split)
+        out.levels = ended.agg(F.max("level")).first()[0] or 1
+        if out.levels > enough:
+            cids = ended.where(F.col("level") > enough).select("cid").distinct()
+            out.add(materialize(classes.join(cids, "cid").select("cid", "low"), "dup-deep"), range(TREES, trees_for(out.levels)))
     return out
 
 
@@ -451,7 +472,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = materialize(components(links), "dup-labels")
     more, _ = confirmed(labels, known)
     if not more.isEmpty():
-        labels = materialize(components(links.unionByName(more)), "dup-labels")
+        # few links lie between groups: what they connect are the groups' labels
+        of = lambda side: more.select(F.col(side).alias("cid")).join(labels, "cid", "left").select(F.col("cid").alias(side), F.coalesce("label", "cid").alias(f"label_{side}")).distinct()
+        between = more.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+        joined = materialize(components(between), "dup-joined").select(F.col("cid").alias("label"), F.col("label").alias("whole"))
+        own = labels.join(joined, "label", "left").select("cid", F.coalesce("whole", "label").alias("label"))
+        alone = joined.join(labels.select(F.col("cid").alias("label")), "label", "left_anti").select(F.col("label").alias("cid"), F.col("whole").alias("label"))
+        labels = materialize(own.unionByName(alone), "dup-labels")
     groups = classes.select("cid", "digest", "least_id", "copies").join(labels, "cid", "left")
     ids = groups.where("label IS NOT NULL").groupBy("label").agg(F.min("least_id").alias("group_id"))
     # a text that occurs once and has no link is its own group: only the others are joined back
