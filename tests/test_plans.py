@@ -33,7 +33,7 @@ def test_text_functions(spark):
     lit = F.lit
     cases = [
         (text.normalize_title(lit("[속보] Hello,  World! 한글 ")), "hello world 한글"),
-        (text.tokens(lit("정부는 예산을 발표 the 2024")), ["정부", "예산", "발표"]),
+        (text.title_tokens(lit("정부는 예산을 발표 the 2024")), ["정부", "예산", "발표", "the"]),
         (text.bigrams(lit("abab")), ["ab", "ba"]),
         (text.bigrams(lit("a")), []),
         (text.strip_html(lit("<p>a &lt;b&gt; &amp;amp;</p>")), "a <b> &amp;"),

@@ -35,6 +35,22 @@ def step_decay(hours: Column) -> Column:
     return F.when(hours <= 1, 1.0).when(hours <= 3, 0.85).when(hours <= 6, 0.6).when(hours <= 12, 0.3).otherwise(0.0)
 
 
+def change_rate(before: Column, now: Column) -> Column:
+    """Jaccard distance of two id arrays as sets; 0 for two empty ones."""
+    return 1 - jaccard(before, now)
+
+
+def velocity_bonus(views: Column, comments: Column, likes: Column) -> Column:
+    """1 to 1.5 from growth per hour."""
+    return 1 + F.least((F.log1p(views) + 2.0 * F.log1p(comments) + 2.5 * F.log1p(likes)) / 10, F.lit(0.5))
+
+
+def community_velocity_bonus(views: Column, comments: Column, likes: Column, has_likes: Column) -> Column:
+    """1 to 1.6; where likes aren't known the other two make up for them."""
+    known = F.log1p(views) + 3.0 * F.log1p(comments)
+    return 1 + F.least(F.when(has_likes, known + 3.0 * F.log1p(likes)).otherwise(1.75 * known) / 8, F.lit(0.6))
+
+
 def squash(z: Column, gain: float = 0.75, width: float = 1.5, floor: float = 0.5) -> Column:
     return F.greatest(F.lit(floor), 1 + gain * F.tanh(z / width))
 

@@ -5,15 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Particles that the tokenizers strip, and their stopwords.
-PARTICLES = (
-    "에서는", "으로는", "에서도", "으로도", "이라고", "이라는", "에게서", "까지는", "부터는",
-    "에서", "으로", "에게", "한테", "까지", "부터", "처럼", "보다", "마다", "라고", "라는", "이나", "이며", "이고", "하고",
-    "은", "는", "이", "가", "을", "를", "의", "에", "로", "와", "과", "도", "만",
+# Particles and stopwords of the tokenizer for duplicate titles.
+TITLE_PARTICLES = (
+    "에서는", "으로서", "으로는", "에서도", "으로도",
+    "에서", "으로", "에게", "까지", "부터", "라는", "이라",
+    "처럼", "만큼", "에는", "에도", "와는", "과는",
+    "은", "는", "이", "가", "을", "를", "에", "의",
+    "도", "와", "과", "로", "며", "면", "고", "한",
+    "된", "할", "들",
 )
-STOPWORDS = (
-    "기자", "뉴스", "속보", "단독", "종합", "사진", "영상", "오늘", "내일", "어제", "이번", "지난", "관련", "대해",
-    "통해", "위해", "그리고", "하지만", "the", "and", "for", "with", "from", "that",
+TITLE_STOPWORDS = (
+    "관련", "대한", "이번", "통해", "위해", "따르면", "대해",
+    "오늘", "내일", "어제", "현재", "최근", "사실",
+    "것으로", "것이", "하는", "있는", "없는", "되는",
+    "그리고", "하지만", "그러나", "또한", "그래서",
+)
+# Particles and stopwords of the tokenizer for topics.
+TOPIC_PARTICLES = (
+    "으로", "에서", "에게", "한테", "까지", "부터", "마다", "조차", "마저",
+    "이나", "이라", "이라도", "이라면", "이지만",
+    "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "만",
+    "도", "나", "랑", "하고", "이며", "며", "며는", "여", "요", "죠",
+)
+TOPIC_STOPWORDS = (
+    "관련", "대한", "통해", "위해", "대해", "경우", "때문", "이번", "오늘",
+    "최근", "지난", "있다", "없다", "하다", "되다", "및", "또는", "그리고",
+    "하지만", "그러나", "따라서", "또한", "한편",
+)
+# Words of broadcasts that don't tell one event from another.
+BROADCAST_STOPWORDS = (
+    "속보", "뉴스", "단독", "영상", "라이브", "풀영상", "종합", "오늘", "내일", "어제",
+    "현장", "인터뷰", "브리핑", "공식", "한국", "미국", "일본", "중국", "북한",
+    "대통령", "정부", "국회", "지금", "직접", "발표", "기자", "특보", "아침", "저녁",
+    "이슈", "집중", "취재", "리포트", "전체", "하이라이트", "풀버전", "클립", "뉴스룸",
+    "정치", "사회", "경제", "국제", "문화", "연예", "스포츠", "날씨",
 )
 
 
@@ -39,20 +64,47 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
 
 
-def _any_of(items) -> str:
-    return "|".join(sorted(items, key=len, reverse=True))
+def suffix_pattern(particles: tuple, least: int) -> str:
+    """Matches a word of a stem of ``least`` characters or more and the first of ``particles`` that it ends in.
+
+    The stem is as short as can be, so of two particles that fit the longer is cut; one that comes after
+    its own ending in the list is never reached.
+    """
+    reached = [p for i, p in enumerate(particles) if not any(p.endswith(q) for q in particles[:i])]
+    return f"^({'.' * (least - 1)}.+?)(?:{'|'.join(reached)})$"
+
+
+def title_tokens(title: Column) -> Column:
+    """Distinct words of a normalised title for finding duplicates: one particle cut, unless one character
+    would be left; no stopwords, numbers and single characters."""
+    def cut(w: Column) -> Column:
+        stem = F.regexp_replace(w, suffix_pattern(TITLE_PARTICLES, 1), "$1")
+        return F.when(F.length(stem) <= 1, w).otherwise(stem)
+
+    stop = F.array(*[F.lit(w) for w in TITLE_STOPWORDS])
+    keep = lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w) & ~w.rlike("^[0-9]+$")
+    return F.array_distinct(F.filter(F.transform(words(normalize_title(title)), cut), keep))
+
+
+def topic_tokens(title: Column) -> Column:
+    """Distinct words of a title for topics: other characters part words; a particle is cut where two
+    characters are left; no stopwords and single characters, but numbers."""
+    plain = F.regexp_replace(F.regexp_replace(title, r"\[[^\]]*\]", ""), r"[^가-힣ㄱ-ㅎㅏ-ㅣa-zA-Z0-9 \t\n\r]", " ")
+    stems = F.transform(words(F.lower(plain)), lambda w: F.regexp_replace(w, suffix_pattern(TOPIC_PARTICLES, 2), "$1"))
+    stop = F.array(*[F.lit(w) for w in TOPIC_STOPWORDS])
+    return F.array_distinct(F.filter(stems, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)))
 
 
-def tokens(title: Column, particles=PARTICLES, stopwords=STOPWORDS, keep_numbers: bool = False) -> Column:
-    """Distinct words of a normalised title: one particle stripped if two characters stay, no stopwords."""
-    strip = F.transform(words(normalize_title(title)), lambda w: F.regexp_replace(w, rf"^(..+?)(?:{_any_of(particles)})$", "$1"))
+def hangul_tokens(title: Column, stopwords: tuple = BROADCAST_STOPWORDS) -> Column:
+    """Distinct Hangul words of two characters or more, whole, without stopwords."""
+    plain = F.regexp_replace(F.regexp_replace(title, r"\[[^\]]*\]", ""), r"[^가-힣 \t\n\r]", " ")
     stop = F.array(*[F.lit(w) for w in stopwords])
-    keep = lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w) & (F.lit(keep_numbers) | ~w.rlike("^[0-9]+$"))
-    return F.array_distinct(F.filter(strip, keep))
+    return F.array_distinct(F.filter(words(plain), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w)))
 
 
-def hangul_words(text: Column, least: int = 2) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"([가-힣]{{{least},}})"), F.lit(1))
+def probe_title(title: Column) -> Column:
+    """Lower case, without [...] parts, spaces, punctuation and symbols."""
+    return F.regexp_replace(F.regexp_replace(F.lower(title), r"\[[^\]]*\]", ""), r"[\s\p{P}\p{S}]+", "")
 
 
 def normalize_keyword(keyword: Column) -> Column:

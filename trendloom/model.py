@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 AS_OF = "2024-01-31 00:00:00"
 
 
+#: The test tables' sources src0, src1 and on stand for these, so that tables of weights are reached.
+SOURCES = (
+    "yna", "naver_news_ranking", "sbs", "khan", "daum_news", "google_news_kr", "bigkinds_issues", "nate_news", "zum_news", "newsis",
+    "ytn", "theqoo", "clien", "dcinside", "mlbpark", "inven", "youtube", "chosun", "mk", "unlisted",
+)
+#: Titles of the test tables get some of these, so that Hangul words are there to be compared.
+PHRASES = ("정부는 예산안을 발표", "국회에서 예산안 통과", "날씨가 추운 서울", "서울에서 열린 축제", "반도체 수출이 증가", "반도체 공장에서 화재", "축구 대표팀의 승리", "부동산 시장은 안정")
+_LIST = lambda items: ", ".join(f"'{x}'" for x in items)
+
+
 def as_of(at: str = AS_OF):
     return F.expr(f"TIMESTAMP_NTZ '{at}'")
 
@@ -20,10 +30,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts from documents: one row each."""
     return read(spark, sf_dir, "documents").selectExpr(
-        "doc_id AS id", "source AS source_key", "upper(source) AS source_name",
+        "doc_id AS id", f"coalesce(try_element_at(array({_LIST(SOURCES)}), try_cast(substring(source, 4) AS INT) + 1), source) AS source_key", "upper(source) AS source_name",
         "CASE lang WHEN 'en' THEN 'news' WHEN 'fr' THEN 'community' WHEN 'es' THEN 'video' ELSE 'portal' END AS category",
         "CASE WHEN doc_id % 4 <> 0 THEN concat('sub', doc_id % 6) END AS subcategory",
-        "substring(split_part(text, chr(10), 1), 1, 120) AS title",
+        f"""CASE WHEN doc_id % 31 = 0 THEN '' ELSE concat(CASE WHEN doc_id % 17 = 0 THEN '[속보] ' WHEN doc_id % 23 = 0 THEN '[사진] ' ELSE '' END,
+          substring(split_part(text, chr(10), 1), 1, 120), CASE WHEN doc_id % 5 = 1 THEN concat(' ', element_at(array({_LIST(PHRASES)}), cast((doc_id div 5) % 8 AS INT) + 1)) ELSE '' END) END AS title""",
         "concat('https://ex.test/', doc_id) AS url",
         "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id * 7919) % 5003 END AS view_count",
         "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id * 104729) % 97 END AS comment_count",
@@ -35,10 +46,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same relation for DuckDB, as the head of a WITH clause.
-POSTS_SQL = f"""posts AS (SELECT doc_id AS id, source AS source_key, upper(source) AS source_name,
+POSTS_SQL = f"""posts AS (SELECT doc_id AS id, coalesce([{_LIST(SOURCES)}][try_cast(substring(source, 4) AS INT) + 1], source) AS source_key, upper(source) AS source_name,
   CASE lang WHEN 'en' THEN 'news' WHEN 'fr' THEN 'community' WHEN 'es' THEN 'video' ELSE 'portal' END AS category,
   CASE WHEN doc_id % 4 <> 0 THEN 'sub' || (doc_id % 6) END AS subcategory,
-  substring(split_part(text, chr(10), 1), 1, 120) AS title, 'https://ex.test/' || doc_id AS url,
+  CASE WHEN doc_id % 31 = 0 THEN '' ELSE concat(CASE WHEN doc_id % 17 = 0 THEN '[속보] ' WHEN doc_id % 23 = 0 THEN '[사진] ' ELSE '' END, substring(split_part(text, chr(10), 1), 1, 120),
+    CASE WHEN doc_id % 5 = 1 THEN ' ' || [{_LIST(PHRASES)}][(doc_id // 5) % 8 + 1] ELSE '' END) END AS title, 'https://ex.test/' || doc_id AS url,
   CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id * 7919) % 5003 END AS view_count,
   CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id * 104729) % 97 END AS comment_count,
   CASE WHEN doc_id % 3 = 0 THEN 0 ELSE (doc_id * 1299709) % 53 END AS like_count,
@@ -48,6 +60,11 @@ POSTS_SQL = f"""posts AS (SELECT doc_id AS id, source AS source_key, upper(sourc
   FROM documents)"""
 
 
+def case_of(key: str, table: dict, default) -> str:
+    """``table[key]`` or the default as a SQL expression."""
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engagement snapshots from events: running counts of each post's views, comments and likes."""
     from pyspark.sql import Window
@@ -70,12 +87,12 @@ SNAPSHOTS_SQL = """snapshots AS (SELECT event_id AS id, user_id AS post_id, ts A
 
 def scraper_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").selectExpr(
-        "event_id AS id", "concat('src', user_id % 20) AS source_key", "ts AS started_at", "ts + INTERVAL 1 MINUTE AS finished_at",
+        "event_id AS id", f"element_at(array({_LIST(SOURCES)}), cast(user_id % 20 AS INT) + 1) AS source_key", "ts AS started_at", "ts + INTERVAL 1 MINUTE AS finished_at",
         "cast(floor(value) AS BIGINT) AS posts_saved", "CASE WHEN event_type = 'error' THEN concat('E', event_id % 3) END AS error_message",
     )
 
 
-RUNS_SQL = """runs AS (SELECT event_id AS id, 'src' || (user_id % 20) AS source_key, ts AS started_at, ts + INTERVAL 1 MINUTE AS finished_at,
+RUNS_SQL = f"""runs AS (SELECT event_id AS id, [{_LIST(SOURCES)}][user_id % 20 + 1] AS source_key, ts AS started_at, ts + INTERVAL 1 MINUTE AS finished_at,
   cast(floor(value) AS BIGINT) AS posts_saved, CASE WHEN event_type = 'error' THEN 'E' || (event_id % 3) END AS error_message FROM events)"""
 
 

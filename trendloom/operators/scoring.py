@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNEL_HALF_LIFE, COMMUNITY_HALF_LIFE, DEFAULT, DEFAULT_SOURCE_WEIGHT, NEWS_HALF_LIFE, Scoring
 from ..functions.maths import age_minutes, decay, lookup, squash
+from .work import work_table
 
 
 def channel(category: Column) -> Column:
@@ -66,14 +67,21 @@ def score_posts(posts: DataFrame, as_of: Column, topics: DataFrame | None = None
     return z_by(df, "channel", F.log1p("raw"), "__z").withColumn("trend_score", F.greatest(F.lit(0.0), c.score_offset + F.col("__z"))).drop("__z")
 
 
-def first_of(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key, pre-aggregated: ``order`` are ascending columns that tell rows apart."""
-    own = [c for c in df.columns]
-    least = F.min_by(F.struct(*[F.col(f"`{c}`") for c in own]), F.struct(*order)).alias("row")
-    return df.groupBy(*keys).agg(least).select("row.*")
-
-
 def top_per(df: DataFrame, key: str | list[str], n: int, *order: Column) -> DataFrame:
     """The first ``n`` rows of each key with their ``rn``; Spark limits each task's groups before it shuffles."""
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
+
+
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their ``rank`` (1, 2 and on) by ``order``, which tells rows apart.
+
+    Rows are dealt into ranges of the order and numbered there; a range's first number is the count of
+    the rows in ranges before it. So no task has them all.
+    """
+    parts = work_table(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range
+    counts = parts.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return parts.withColumn("__own", own).join(F.broadcast(counts), "__range").withColumn("rank", (F.col("__own") + F.col("__before")).cast("long")).drop("__range", "__own", "__before")

@@ -2,35 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import jaccard
-
-
-def work_root(spark: SparkSession) -> str:
-    """The folder for work tables, below the one that the cluster names."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="trendloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/trendloom"
-
-
-def work_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared work folder and read again: short lineage, safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .work import work_table
 
 
 def cosine_pairs(vectors: DataFrame, least: float, block: int = 2000) -> DataFrame:
@@ -153,24 +131,25 @@ def echo(posts: DataFrame, vectors: DataFrame, least: float, alpha: float = 0.25
     return posts.select("id").join(found, "id", "left").select("id", F.coalesce("echo", F.lit(1.0)).alias("echo"))
 
 
-def issue_cards(scored: DataFrame, members: DataFrame, top: int = 10, alpha: float = 0.25, sources: int = 2) -> DataFrame:
+def issue_cards(scored: DataFrame, top: int = 10, alpha: float = 0.25, sources: int = 2) -> DataFrame:
     """One card per cluster: the sum of its ``top`` scores times its breadth, with a title by channel.
 
-    ``scored`` has id, source_key, channel, title and trend_score; ``members`` id and cluster_id. Only
-    clusters of several sources with a news or portal post become cards.
+    ``scored`` has id, cluster_id, source_key, channel, title and trend_score. Only clusters of several
+    sources with a news or portal post become cards. The best scores are limited in each task before they
+    are sorted together, and all else is summed in parts, so a large cluster is no one task's work.
     """
-    df = scored.join(members, "id").select("id", "cluster_id", "source_key", "channel", "title", "trend_score")
+    df = work_table(scored.select("id", "cluster_id", "source_key", "channel", "title", "trend_score"), "cards")
     best = Window.partitionBy("cluster_id").orderBy(F.desc("trend_score"), "id")
     priority = F.when(F.col("channel") == "news", 0).when(F.col("channel") == "portal", 1).when(F.col("channel") == "video", 2).otherwise(3)
     count = lambda kind: F.count_if(F.col("channel").isin(*kind))
-    cards = df.withColumn("__rn", F.row_number().over(best)).groupBy("cluster_id").agg(
+    cards = df.groupBy("cluster_id").agg(
         F.count("*").alias("posts"), F.countDistinct("source_key").alias("n_sources"), F.countDistinct("channel").alias("n_channels"),
-        count(("news", "portal")).alias("news_posts"), count(("community",)).alias("community_posts"), count(("video",)).alias("video_posts"),
-        F.sum(F.when(F.col("__rn") <= top, F.col("trend_score"))).alias("sum_top"), F.min("id").alias("first_id"),
+        count(("news", "portal")).alias("news_posts"), count(("community",)).alias("community_posts"), count(("video",)).alias("video_posts"), F.min("id").alias("first_id"),
         F.min_by("title", F.struct(priority, -F.col("trend_score"), "id")).alias("title"),
     )
     cards = cards.where((F.col("n_sources") >= sources) & (F.col("news_posts") >= 1))
-    return cards.withColumn("issue_score", F.col("sum_top") * (1 + alpha * (F.col("n_channels") - 1))).drop("sum_top")
+    sums = df.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= top).groupBy("cluster_id").agg(F.sum("trend_score").alias("sum_top"))
+    return cards.join(sums, "cluster_id").withColumn("issue_score", F.col("sum_top") * (1 + alpha * (F.col("n_channels") - 1))).drop("sum_top")
 
 
 def rank_changes(current: DataFrame, before: DataFrame, overlap: float = 0.5) -> DataFrame:

@@ -35,8 +35,10 @@ def feed_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections are categories, places come from scrape time; a title stands for an address."""
     from pyspark.sql import Window
 
-    p = posts(spark, sf_dir).select(F.col("category").alias("section"), (F.row_number().over(Window.partitionBy("category").orderBy(F.desc("scraped_at"), "id")) - 1).cast("long").alias("place"), F.col("title").alias("url"), "id")
-    return feeds.sections(p, 120, 4).select("section", "place", "id")
+    p = posts(spark, sf_dir).select(F.col("category").alias("section"), F.row_number().over(Window.partitionBy("category").orderBy(F.desc("scraped_at"), "id")).alias("rn"), F.col("title").alias("url"), "id")
+    # a filter on the number itself lets each task limit its rows before they are sorted together
+    first = p.where(F.col("rn") <= 30).select("section", (F.col("rn") - 1).cast("long").alias("place"), "url", "id")
+    return feeds.sections(first, 120, 4).select("section", "place", "id")
 
 
 def _weather(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import floor_percentile
-from ..functions.text import normalize_title
+from ..functions.text import normalize_title, probe_title
 from ..model import AS_OF, POSTS_SQL, RUNS_SQL, SNAPSHOTS_SQL, as_of, comments, metrics, posts, read, scraper_runs, snapshots
 from .posts import NORMAL_SQL, H
 
@@ -38,7 +37,7 @@ def sources_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources with runs but without posts in the last day."""
-    recent = posts(spark, sf_dir).where(F.col("scraped_at") > as_of("2024-01-30 20:00:00")).select("source_key")
+    recent = posts(spark, sf_dir).where(F.col("scraped_at") > as_of("2024-01-30 23:00:00")).select("source_key")
     return scraper_runs(spark, sf_dir).select("source_key").distinct().join(recent, "source_key", "left_anti")
 
 
@@ -56,11 +55,19 @@ def metric_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("metric_name", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "avg_value", "n", F.sum("n").over(day).cast("long").alias("n_today"))
 
 
+def size_percentiles(sizes: DataFrame, key: str, n: str, shares: tuple = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Floor-index percentiles of ``n`` for each ``key``, and the most. Equal sizes are counted first, so that no
+    list of all values is made: the value at place floor(count p) is the first whose running count is beyond it."""
+    counts = sizes.groupBy(key, n).agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(key).orderBy(n).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = counts.withColumn("upto", F.sum("c").over(upto)).withColumn("total", F.sum("c").over(Window.partitionBy(key)))
+    at = lambda p: F.min(F.when(F.col("upto") > F.least(F.col("total") - 1, F.floor(F.col("total") * F.lit(p))), F.col(n)))
+    return ranked.groupBy(key).agg(*[at(p).alias(f"p{round(100 * p)}") for p in shares], F.max(n).alias("most"))
+
+
 def percentiles_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Floor-index percentiles of group sizes: users' events, one value a user."""
-    per_user = read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    sizes = F.collect_list("n")
-    return per_user.groupBy("event_type").agg(*[floor_percentile(sizes, p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)], F.max("n").alias("most"))
+    """Percentiles of users' events, one value a user."""
+    return size_percentiles(read(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n")), "event_type", "n")
 
 
 def cluster_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +104,7 @@ def watchdog(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
     age = F.timestamp_diff("MICROSECOND", F.max("scraped_at"), as_of()) / 6e7
     fresh = p.agg(F.round(age, 4).alias("value")).select(F.lit("max_age_min").alias("rule"), "value", (F.col("value") <= 15).alias("ok"))
-    top = p.orderBy(F.desc("view_count"), "id").limit(15).groupBy(normalize_title(F.col("title")).alias("t")).agg(F.count("*").alias("n"))
+    top = p.orderBy(F.desc("view_count"), "id").limit(15).groupBy(probe_title(F.col("title")).alias("t")).agg(F.count("*").alias("n"))
     twice = top.agg(F.count_if((F.col("n") > 1) & (F.length("t") >= 8)).cast("double").alias("value")).select(F.lit("duplicate_titles").alias("rule"), "value", (F.col("value") == 0).alias("ok"))
     null_part = p.agg(F.round(F.count_if(F.col("subcategory").isNull()) / F.count("*"), 6).alias("value")).select(F.lit("null_share").alias("rule"), "value", (F.col("value") < 0.5).alias("ok"))
     failing = source_health(spark, sf_dir).agg(F.count_if(F.col("success_pct") < 75).cast("double").alias("value")).select(F.lit("failing_sources").alias("rule"), "value", (F.col("value") < 5).alias("ok"))
@@ -162,7 +169,7 @@ ORACLE_SQL = {
       SELECT source_key, first(error_message ORDER BY n DESC, error_message) AS mode, sum(n)::BIGINT AS errors FROM c GROUP BY 1""",
     "sources_overview": f"""WITH {POSTS_SQL}, {RUNS_SQL}, p AS (SELECT source_key, count(*) AS posts, max(scraped_at) AS last_post FROM posts GROUP BY 1), r AS (SELECT source_key, count(*) AS runs, count(*) FILTER (WHERE error_message IS NULL) AS ok FROM runs GROUP BY 1)
       SELECT source_key, coalesce(posts, 0) AS posts, coalesce(runs, 0) AS runs, round(coalesce(100 * ok / nullif(runs, 0), 0.0), 4) AS success_pct, last_post FROM p FULL JOIN r USING (source_key)""",
-    "missing_sources": f"WITH {POSTS_SQL}, {RUNS_SQL} SELECT DISTINCT source_key FROM runs WHERE source_key NOT IN (SELECT source_key FROM posts WHERE scraped_at > TIMESTAMP '2024-01-30 20:00:00')",
+    "missing_sources": f"WITH {POSTS_SQL}, {RUNS_SQL} SELECT DISTINCT source_key FROM runs WHERE source_key NOT IN (SELECT source_key FROM posts WHERE scraped_at > TIMESTAMP '2024-01-30 23:00:00')",
     "metric_summary": """SELECT event_type AS metric_name, count(*) AS n, round(min(value), 6) AS min_value, round(max(value), 6) AS max_value, round(avg(value), 6) AS avg_value, round(first(value ORDER BY ts DESC, event_id DESC), 6) AS last_value FROM events GROUP BY 1""",
     "metric_series": """WITH m AS (SELECT event_type AS metric_name, date_trunc('hour', ts) AS h, round(avg(value), 6) AS avg_value, count(*) AS n FROM events GROUP BY 1, 2)
       SELECT metric_name, strftime(h, '%Y-%m-%d %H') AS hour, avg_value, n, (sum(n) OVER (PARTITION BY metric_name, h::DATE ORDER BY h))::BIGINT AS n_today FROM m""",
@@ -174,7 +181,7 @@ ORACLE_SQL = {
         count(*) FILTER (WHERE regexp_matches(title, '^[0-9]+$')) AS numeric_titles, count(*) FILTER (WHERE NOT regexp_matches(url, '^https?://')) AS bad_urls, count(*) FILTER (WHERE regexp_matches(title, '&[a-z]+;')) AS entities,
         count(*) FILTER (WHERE published_at > scraped_at) AS future FROM posts GROUP BY 1)
       SELECT *, greatest(CASE WHEN bad_urls > 0 THEN 3 ELSE 0 END, CASE WHEN no_date_pct > 15 THEN 2 ELSE 0 END, CASE WHEN no_views_pct > 30 THEN 2 ELSE 0 END, CASE WHEN entities > 0 THEN 1 ELSE 0 END, CASE WHEN numeric_titles > 0 THEN 1 ELSE 0 END)::BIGINT AS severity FROM a""",
-    "watchdog": f"""WITH {POSTS_SQL}, {_HEALTH}, top AS (SELECT * FROM posts ORDER BY view_count DESC, id LIMIT 15), t AS (SELECT {NORMAL_SQL} AS t, count(*) AS n FROM top GROUP BY 1),
+    "watchdog": f"""WITH {POSTS_SQL}, {_HEALTH}, top AS (SELECT * FROM posts ORDER BY view_count DESC, id LIMIT 15), t AS (SELECT regexp_replace(regexp_replace(lower(title), '\\[[^\\]]*\\]', '', 'g'), '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') AS t, count(*) AS n FROM top GROUP BY 1),
       v AS (SELECT 'max_age_min' AS rule, round(date_diff('microsecond', max(scraped_at), TIMESTAMP '{AS_OF}') / 6e7, 4)::DOUBLE AS value, 15 AS lim FROM posts
         UNION ALL SELECT 'duplicate_titles', (count(*) FILTER (WHERE n > 1 AND length(t) >= 8))::DOUBLE, 0 FROM t
         UNION ALL SELECT 'null_share', round(count(*) FILTER (WHERE subcategory IS NULL) / count(*), 6), 0 FROM posts UNION ALL SELECT 'failing_sources', (count(*) FILTER (WHERE success_pct < 75))::DOUBLE, 0 FROM h)

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import COMMENT_LIKE_WEIGHT, DEFAULT, SOURCE_TIER
-from ..functions.maths import clamp, lookup, ratio_or_zero, step_decay
-from ..functions.text import bigrams, fingerprint, normalize_title, title_hash
-from ..model import AS_OF, POSTS_SQL, as_of, posts, read
+from ..functions import text
+from ..functions.maths import change_rate, clamp, lookup, ratio_or_zero, step_decay
+from ..functions.text import bigrams, fingerprint, hangul_tokens, normalize_title, title_hash, title_tokens, topic_tokens
+from ..model import AS_OF, POSTS_SQL, as_of, case_of, posts, read
 from ..operators import similarity as sim
-from ..operators.scoring import authority, channel, score_posts, top_per, topic_importance
-from .posts import FINAL_SQL, NORMAL_SQL, SCORED_SQL, H
+from ..operators.scoring import authority, channel, ranked, score_posts, top_per, topic_importance
+from ..operators.work import work_table
+from .posts import AUTHORITY_SQL, FINAL_SQL, NORMAL_SQL, SCORED_SQL, H
 
 #: Vectors of the test tables are far apart.
 NEAR = 0.3
@@ -48,28 +50,67 @@ def bigram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _distinct_titles(spark, sf_dir).select("id", "category", F.array_distinct(F.split("norm", " ")).alias("members")).where("size(members) >= 2")
+    sets = _distinct_titles(spark, sf_dir).select("id", "category", title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2")
     return sim.jaccard_pairs(sets, 0.65, "category").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of posts linked by equal titles, or in one category by near ones; one cluster a post.
+def near_in_time(p: DataFrame, key: str, hours: int) -> DataFrame:
+    """Links (a, b) that connect what posts (id, at, ``key``) of one key not more than ``hours`` apart do.
 
-    The canonical post has most views, then is the latest. No two empty titles are linked.
+    Times are dealt into spans of ``hours``: all posts of a key and span are near its first one, and of two
+    neighbouring spans the last and the first post are the nearest. So nothing is sorted or paired.
     """
-    p = posts(spark, sf_dir).select("id", "category", "view_count", "scraped_at", normalize_title(F.col("title")).alias("norm"))
-    same = p.where("norm <> ''").groupBy("norm").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    links = p.join(same, "norm").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
-    for pairs in (bigram_jaccard_pairs(spark, sf_dir), word_jaccard_pairs(spark, sf_dir)):
-        links = links.unionByName(pairs.select("a", "b"))
-    grouped = sim.groups(p.select("id"), links).join(p, "id")
+    span = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (hours * 3_600_000_000)).alias("span")
+    rows = p.where(F.col(key).isNotNull()).select("id", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.col(key).alias("k"), span)
+    ends = rows.groupBy("k", "span").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"))
+    same = rows.join(ends.where("first < last"), ["k", "span"]).where("id <> first.id").select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    following = ends.select("k", (F.col("span") - 1).alias("span"), F.col("first").alias("next"))
+    return same.unionByName(ends.join(following, ["k", "span"]).where(F.col("next.t") - F.col("last.t") <= hours * 3_600_000_000).select(F.col("last.id").alias("a"), F.col("next.id").alias("b")))
+
+
+def alike_in_time(p: DataFrame, hours: int, c=DEFAULT) -> DataFrame:
+    """Links (a, b) between near titles of one category, not more than ``hours`` apart, of posts (id, at, category, norm)."""
+    span = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (hours * 3_600_000_000)).alias("span")
+    rows = p.where(F.length("norm") >= c.title_length).select("id", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "category", "norm", span)
+    # each title of a category and span once; spans meet the ones after them
+    ends = rows.groupBy("category", "norm", "span").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"))
+    ends = work_table(ends.withColumn("id", F.xxhash64("category", "norm", "span")), "titles")
+    met = ends.select("id", "norm", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("s"), "category").withColumn("within", F.concat_ws(" ", "category", "s"))
+    grams = sim.jaccard_pairs(met.select("id", "within", bigrams(F.col("norm")).alias("members")), c.bigram_jaccard, "within")
+    words = sim.jaccard_pairs(met.select("id", "within", title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2"), c.word_jaccard, "within")
+    pairs = grams.select("a", "b").unionByName(words.select("a", "b")).distinct()
+    of = lambda side: ends.select(F.col("id").alias(side), F.col("span").alias(f"span_{side}"), F.col("first").alias(f"first_{side}"), F.col("last").alias(f"last_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    gap = F.when(F.col("span_a") < F.col("span_b"), F.col("first_b.t") - F.col("last_a.t")).when(F.col("span_a") > F.col("span_b"), F.col("first_a.t") - F.col("last_b.t")).otherwise(0)
+    end = lambda x, y: F.when(F.col(f"span_{x}") < F.col(f"span_{y}"), F.col(f"last_{x}.id")).otherwise(F.col(f"first_{x}.id"))
+    return both.where(gap <= hours * 3_600_000_000).select(end("a", "b").alias("a"), end("b", "a").alias("b"))
+
+
+def cluster_duplicates(p: DataFrame, hours: int = int(DEFAULT.dedup_hours)) -> DataFrame:
+    """(id, group) of posts (id, at, category, norm, thumbnail): linked within ``hours`` by title, thumbnail or a near
+    title of one category. No two empty titles or thumbnails are linked; a post is in one group."""
+    keyed = p.withColumn("norm", F.nullif("norm", F.lit(""))).withColumn("thumbnail", F.nullif("thumbnail", F.lit("")))
+    keyed = work_table(keyed.select("id", "at", "category", "norm", "thumbnail"), "dedup")
+    links = near_in_time(keyed, "norm", hours).unionByName(near_in_time(keyed, "thumbnail", hours)).unionByName(alike_in_time(keyed, hours))
+    return sim.groups(keyed.select("id"), links)
+
+
+def _with_thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    thumbnail = F.when(F.col("id") % 10 < 2, F.concat(F.lit("https://img.test/"), F.floor(F.col("id") / 10).cast("string")))
+    return posts(spark, sf_dir).select("id", "category", "view_count", "scraped_at", normalize_title(F.col("title")).alias("norm"), thumbnail.alias("thumbnail"))
+
+
+def dedup_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of duplicates with their canonical post, that of most views, then the latest."""
+    p = _with_thumbnails(spark, sf_dir)
+    grouped = cluster_duplicates(p.withColumn("at", F.col("scraped_at"))).join(p.select("id", "view_count", "scraped_at"), "id")
     return grouped.groupBy(F.col("group").alias("cluster_id")).agg(F.count("*").alias("member_count"), F.max_by("id", F.struct("view_count", "scraped_at", -F.col("id"))).alias("canonical_id")).where("member_count > 1")
 
 
 def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, issue) of posts with vectors: connected by near ones. Equal vectors are compared once."""
     v = vectors(spark, sf_dir)
-    same = sim.work_table(v.join(posts(spark, sf_dir).select("id").distinct(), "id", "left_semi").groupBy("v").agg(F.min("id").alias("head"), F.collect_set("id").alias("ids")), "vectors")
+    same = work_table(v.join(posts(spark, sf_dir).select("id").distinct(), "id", "left_semi").groupBy("v").agg(F.min("id").alias("head"), F.collect_set("id").alias("ids")), "vectors")
     heads = same.select(F.col("head").alias("id"), "v")
     linked = sim.groups(heads.select("id"), sim.cosine_pairs(heads, NEAR))
     return same.select("head", F.explode("ids").alias("id")).join(linked.select(F.col("id").alias("head"), "group"), "head").groupBy("id").agg(F.min("group").alias("issue"))
@@ -85,11 +126,11 @@ def label_topics(titled: DataFrame, most: int | None = None) -> DataFrame:
     if most is not None:
         df = top_per(df, "issue", most, F.desc("view_count"), F.col("id"))
     df = df.select("issue", normalize_title(F.col("title")).alias("norm")).distinct()
-    words = F.array_sort(F.array_distinct(F.filter(F.split("norm", " "), lambda w: F.length(w) >= 2)))
+    words = F.array_sort(topic_tokens(F.col("norm")))
     # titles of the same words have one label
     sets = df.groupBy("issue", words.alias("members")).agg(F.count("*").alias("n")).withColumn("id", F.xxhash64("issue", "members"))
-    sets = sim.work_table(sets, "topics")
-    pairs = sim.work_table(sim.jaccard_pairs(sets, 0.4, "issue"), "topic-pairs")
+    sets = work_table(sets, "topics")
+    pairs = work_table(sim.jaccard_pairs(sets, 0.4, "issue"), "topic-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     labels = sets.join(sim.groups(ids, pairs), "id", "left").groupBy("issue", F.coalesce("group", "id").alias("label")).agg(F.sum("n").alias("n"))
     cross = (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2
@@ -123,25 +164,25 @@ def topics(p: DataFrame, members: DataFrame) -> DataFrame:
 def issue_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
     scored = score_posts(p, as_of()).withColumn("trend_score", F.round("trend_score", 6))
-    cards = sim.issue_cards(scored, title_members(spark, sf_dir))
+    titled = scored.where(normalize_title(F.col("title")) != "").withColumn("cluster_id", title_hash(F.col("title")))
+    cards = sim.issue_cards(titled)
     return cards.select("cluster_id", "posts", "n_sources", "n_channels", "news_posts", "community_posts", "video_posts", "first_id", "title", F.round("issue_score", 4).alias("issue_score"))
 
 
 def issue_cards_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole pipeline: greedy clusters of the newest posts, topic factor, echo, cards."""
     p = posts(spark, sf_dir)
-    members = sim.work_table(anchor_clusters(spark, sf_dir), "anchors")
+    members = work_table(anchor_clusters(spark, sf_dir), "anchors")
     scored = score_posts(p, as_of(), topics(p, members), echo(spark, sf_dir)).withColumn("trend_score", F.round("trend_score", 6))
-    return sim.issue_cards(scored, members).withColumn("issue_score", F.round("issue_score", 4))
+    return sim.issue_cards(scored.join(members, "id")).withColumn("issue_score", F.round("issue_score", 4))
 
 
 def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best hundred cards as pages of 20, each a JSON array, in order of rank."""
-    cards = issue_cards(spark, sf_dir).orderBy(F.desc("issue_score"), "cluster_id").limit(100)
-    ranked = cards.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("issue_score"), "cluster_id")).cast("long"))
+    """All cards as pages of 20, each a JSON array, in order of rank."""
+    cards = ranked(issue_cards(spark, sf_dir), F.desc("issue_score"), F.asc("cluster_id"))
     page = (F.floor((F.col("rank") - 1) / 20) + 1).cast("long")
     item = F.struct("rank", "first_id", "posts")
-    pages = ranked.groupBy(page.alias("page")).agg(F.count("*").alias("items"), F.sort_array(F.collect_list(item)).alias("list"))
+    pages = cards.groupBy(page.alias("page")).agg(F.count("*").alias("items"), F.sort_array(F.collect_list(item)).alias("list"))
     return pages.select("page", "items", F.to_json("list").alias("body"))
 
 
@@ -194,7 +235,7 @@ def cluster_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def video_news_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Videos' engagement, z-scored to [0, 10] and halved, reaches news posts of the same title;
-    large groups damp it. Videos without such posts reach news that shares two title words, at 0.6."""
+    large groups damp it. Videos without such posts reach news that shares two Hangul words, at 0.6."""
     p = posts(spark, sf_dir).select("id", "category", "title", "view_count", F.log(1 + F.col("view_count") + 3 * F.col("comment_count") + 2 * F.col("like_count")).alias("e"))
     videos, news = p.where("category = 'video' AND view_count > 0"), p.where("category IN ('news', 'portal', 'newsletter')")
     stats = videos.agg(F.avg("e").alias("m"), F.greatest(F.stddev_pop("e"), F.lit(0.1)).alias("s"))
@@ -208,10 +249,11 @@ def video_news_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = news_members.select("cluster_id").distinct()
     reach = news_members.join(best, "cluster_id").select("id", (F.col("best") * F.least(F.lit(1.0), 20 / F.col("size"))).alias("score"))
     rest = scored.join(in_cluster.join(held, "cluster_id").select("id"), "id", "left_anti")
-    words = F.array_distinct(F.filter(F.split(normalize_title(F.col("title")), " "), lambda w: F.length(w) >= 6))
-    v = rest.select(F.col("id").alias("video"), "score", F.explode(words).alias("w"))
-    n = news.select("id", F.explode(words).alias("w"))
-    near = v.join(n, "w").groupBy("video", "id").agg(F.count("*").alias("shared"), F.first("score").alias("score")).where("shared >= 2")
+    # titles meet on pairs of their words, whose best video is found first: a hot word makes no pairs of posts
+    pairs = F.explode(F.flatten(F.transform("ws", lambda x, i: F.transform(F.slice(F.col("ws"), i + 2, F.size("ws")), lambda y: F.concat_ws(" ", x, y)))))
+    worded = lambda df, *cols: df.select(*cols, F.array_sort(hangul_tokens(F.col("title"))).alias("ws")).where("size(ws) >= 2").select(*cols, pairs.alias("pair"))
+    best_of_pair = worded(rest, "score").groupBy("pair").agg(F.max("score").alias("score"))
+    near = worded(news, "id").join(best_of_pair, "pair").groupBy("id").agg(F.max("score").alias("score"))
     both = reach.unionByName(near.select("id", (0.6 * F.col("score")).alias("score"))).where("score > 0")
     return both.groupBy("id").agg(F.round(0.5 * F.max("score"), 6).alias("signal"))
 
@@ -224,19 +266,36 @@ def trend_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("source_key", "keyword", F.least(F.col("n") / 10, F.lit(1.0)).alias("strength"), "at")
 
 
-def trend_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts' bonus for trending words: one match a source, the strongest; base by their number.
+def match_trends(p: DataFrame, keywords: DataFrame, at: Column, c=DEFAULT) -> DataFrame:
+    """(id, sources, best, decay) of posts (id, norm) that trending keywords match.
 
-    At most 500 keywords are broadcast; posts stay where they are until one row per source is left.
+    ``keywords`` (source_key, keyword, strength, at) are few (500, as the index has) and broadcast. A title
+    matches one that it contains, with or without its spaces, of two Hangul or three other characters, or
+    of which it has 70 % of the pairs of characters, if there are four characters. Each source counts once,
+    by its strongest match, of equals the least keyword, and decays by that one's age.
     """
-    k = F.broadcast(trend_keywords(spark, sf_dir))
+    k = F.broadcast(keywords.withColumn("bare", F.replace("keyword", F.lit(" "))).withColumn("least", F.when(F.col("keyword").rlike("^[가-힯㄰-㆏]"), 2).otherwise(3)))
+    within = (F.length("keyword") >= F.col("least")) & (F.contains(F.col("norm"), F.col("keyword")) | F.contains(F.col("spaceless"), F.col("bare")))
+    found = p.withColumn("spaceless", F.replace("norm", F.lit(" "))).join(k, within).select("id", "source_key", "keyword", "strength", "at")
+    grams = keywords.where(F.length("keyword") >= 4).withColumn("grams", bigrams(F.col("keyword")))
+    grams = F.broadcast(grams.select("source_key", "keyword", "strength", "at", F.size("grams").alias("n"), F.explode("grams").alias("gram")))
+    shared = p.select("id", F.explode(bigrams(F.col("norm"))).alias("gram")).join(grams, "gram").groupBy("id", "source_key", "keyword", "strength", "at", "n").agg(F.count("*").alias("k"))
+    found = found.unionByName(shared.where(F.col("k") >= 0.7 * F.col("n")).select(*found.columns))
+    one = found.groupBy("id", "source_key").agg(F.min_by(F.struct("strength", "at"), F.struct(-F.col("strength"), "keyword")).alias("m"))
+    hours = F.timestamp_diff("MICROSECOND", F.col("m.at"), at) / 3.6e9
+    return one.groupBy("id").agg(F.count("*").alias("sources"), F.max("m.strength").alias("best"), F.avg(step_decay(hours)).alias("decay"))
+
+
+def trend_bonus(sources: Column, best: Column, decay: Column, c=DEFAULT) -> Column:
+    base = F.array(*[F.lit(x) for x in c.trend_base])
+    return clamp(F.element_at(base, (F.least(sources, F.lit(len(c.trend_base) - 1)) + 1).cast("int")) * (0.6 + 0.4 * best) * decay, 1.0, c.trend_cap)
+
+
+def trend_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts' bonus for trending words."""
     p = posts(spark, sf_dir).select("id", normalize_title(F.col("title")).alias("norm"))
-    hours = F.timestamp_diff("MICROSECOND", F.col("at"), as_of()) / 3.6e9
-    hits = p.join(k, F.contains(F.col("norm"), F.col("keyword"))).groupBy("id", "source_key").agg(F.max("strength").alias("strength"), F.max(step_decay(hours / 24)).alias("decay"))
-    base = F.array(*[F.lit(x) for x in DEFAULT.trend_base])
-    found = hits.groupBy("id").agg(F.count("*").alias("sources"), F.max("strength").alias("best"), F.avg("decay").alias("decay"))
-    bonus = F.element_at(base, (F.least(F.col("sources"), F.lit(3)) + 1).cast("int")) * (0.6 + 0.4 * F.col("best")) * F.col("decay")
-    return found.select("id", "sources", F.round(clamp(bonus, 1.0, DEFAULT.trend_cap), 6).alias("bonus"))
+    found = match_trends(p, trend_keywords(spark, sf_dir), as_of())
+    return found.select("id", "sources", F.round(trend_bonus(F.col("sources"), F.col("best"), F.col("decay")), 6).alias("bonus"))
 
 
 def charts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,19 +332,32 @@ def chart_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' ranks by month's orders against the month before, by the same identity."""
     o = read(spark, sf_dir, "orders").groupBy(F.date_trunc("month", "o_orderdate").alias("month"), F.col("o_custkey").alias("cust")).agg(F.sum(F.round("o_totalprice", 2).cast("decimal(18,2)")).alias("total"))
-    ranked = o.withColumn("rank", F.row_number().over(Window.partitionBy("month").orderBy(F.desc("total"), "cust")).cast("long"))
-    before = ranked.select("cust", F.add_months("month", 1).alias("next"), F.col("rank").alias("was"))
-    out = ranked.alias("a").join(before.alias("b"), (F.col("a.cust") == F.col("b.cust")) & (F.to_date("a.month") == F.col("b.next")), "left")
+    # one numbering of all months; a month's ranks begin after the months before it
+    everyone = work_table(ranked(o, F.asc("month"), F.desc("total"), F.asc("cust")), "ranks")
+    first = everyone.groupBy("month").agg((F.min("rank") - 1).alias("before"))
+    monthly = everyone.join(F.broadcast(first), "month").withColumn("rank", F.col("rank") - F.col("before")).drop("before")
+    before = monthly.select("cust", F.add_months("month", 1).alias("next"), F.col("rank").alias("was"))
+    out = monthly.alias("a").join(before.alias("b"), (F.col("a.cust") == F.col("b.cust")) & (F.to_date("a.month") == F.col("b.next")), "left")
     return out.select(F.col("a.cust").alias("cust"), F.date_format("month", "yyyy-MM").alias("month"), "rank", (F.col("was") - F.col("rank")).alias("rank_change"))
 
 
+def priority_of(score: Column, hours: Column, summary: Column, before: Column, now: Column, half_life: float = 6.0, stale: float = 3.0, novelty: float = 0.3, factor: float = 1.2) -> Column:
+    """score 0.5^(hours / half_life), times ``stale`` without a summary of its own, times ``factor`` if ``novelty`` of
+    the top posts changed since the last tick; an issue that is new has no change."""
+    change = F.when(F.coalesce(F.size(before), F.lit(0)) > 0, change_rate(before, now)).otherwise(0.0)
+    own = F.when(summary.isNull() | (summary == "") | summary.startswith("[fallback]"), stale).otherwise(1.0)
+    return score * F.pow(F.lit(0.5), F.greatest(hours, F.lit(0.0)) / half_life) * own * F.when(change >= novelty, factor).otherwise(1.0)
+
+
 def summary_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """score 0.5^(hours / 6), trebled if stale, times 1.2 if a third of the members changed."""
-    p = posts(spark, sf_dir).where(normalize_title(F.col("title")) != "")
-    g = p.groupBy(title_hash(F.col("title")).alias("cluster_id")).agg(F.count("*").alias("n"), F.max("scraped_at").alias("at"), F.sum("view_count").cast("long").alias("views"), F.count_if(F.col("scraped_at") > as_of("2024-01-30 00:00:00")).alias("fresh"))
+    """Groups of titles as issues: top posts are the five least ids, before those of the last day and with them."""
+    p = posts(spark, sf_dir).where(normalize_title(F.col("title")) != "").withColumn("cluster_id", title_hash(F.col("title")))
+    g = p.groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("scraped_at").alias("at"), F.sum("view_count").cast("long").alias("views"), F.min("id").alias("first"))
+    top = lambda df, name: top_per(df, "cluster_id", 5, F.col("id")).groupBy("cluster_id").agg(F.collect_list("id").alias(name))
+    g = g.where("n > 1").join(top(p, "now"), "cluster_id").join(top(p.where(F.col("scraped_at") <= as_of("2024-01-30 00:00:00")), "before"), "cluster_id", "left")
+    summary = F.when(F.col("first") % 3 == 0, "[fallback] x").when(F.col("first") % 3 == 1, "a summary")
     hours = F.timestamp_diff("MICROSECOND", F.col("at"), as_of()) / 3.6e9
-    value = F.col("views") * F.pow(F.lit(0.5), hours / 6) * F.when(F.col("n") % 2 == 1, 3).otherwise(1) * F.when(F.col("fresh") / F.col("n") >= 0.3, 1.2).otherwise(1.0)
-    return g.where("n > 1").select("cluster_id", F.round(value, 6).alias("priority"))
+    return g.select("cluster_id", F.round(priority_of(F.col("views"), hours, summary, F.col("before"), F.col("now")), 6).alias("priority"))
 
 
 def summary_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,9 +375,29 @@ QUERIES = {f.__name__: f for f in (
 )}
 _V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
 _PAIRS = f"{_V}, pairs AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {NEAR})"
+_STOP = lambda items: "[" + ", ".join(f"'{w}'" for w in items) + "]"
+
+
+def title_tokens_sql(norm: str) -> str:
+    cut = f"regexp_replace(w, '{text.suffix_pattern(text.TITLE_PARTICLES, 1)}', '\\1')"
+    stems = f"list_transform(string_split({norm}, ' '), lambda w: CASE WHEN length({cut}) <= 1 THEN w ELSE {cut} END)"
+    return f"list_distinct(list_filter({stems}, lambda w: length(w) >= 2 AND NOT list_contains({_STOP(text.TITLE_STOPWORDS)}, w) AND NOT regexp_matches(w, '^[0-9]+$')))"
+
+
+def topic_tokens_sql(title: str) -> str:
+    plain = f"lower(regexp_replace(regexp_replace({title}, '\\[[^\\]]*\\]', '', 'g'), '[^가-힣ㄱ-ㅎㅏ-ㅣa-zA-Z0-9 \\t\\n\\r]', ' ', 'g'))"
+    stems = f"list_transform(string_split_regex({plain}, '[ \\t\\n\\r]+'), lambda w: regexp_replace(w, '{text.suffix_pattern(text.TOPIC_PARTICLES, 2)}', '\\1'))"
+    return f"list_distinct(list_filter({stems}, lambda w: length(w) >= 2 AND NOT list_contains({_STOP(text.TOPIC_STOPWORDS)}, w)))"
+
+
+def hangul_tokens_sql(title: str) -> str:
+    plain = f"regexp_replace(regexp_replace({title}, '\\[[^\\]]*\\]', '', 'g'), '[^가-힣 \\t\\n\\r]', ' ', 'g')"
+    return f"list_distinct(list_filter(string_split_regex({plain}, '[ \\t\\n\\r]+'), lambda w: length(w) >= 2 AND NOT list_contains({_STOP(text.BROADCAST_STOPWORDS)}, w)))"
+
+
 _TITLES = f"titles AS (SELECT category, {NORMAL_SQL} AS norm, min(id) AS id FROM posts WHERE length({NORMAL_SQL}) >= 8 GROUP BY 1, 2)"
 _ECHO = f"""{_PAIRS}, both_ways AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-  auth AS (SELECT id, category AS ch, CASE category WHEN 'community' THEN 1.5 ELSE 1.0 END AS au FROM posts),
+  auth AS (SELECT id, category AS ch, {AUTHORITY_SQL} AS au FROM posts),
   near AS (SELECT x.id, count(*) AS n, avg(y.au) AS au FROM both_ways JOIN auth x ON x.id = a JOIN auth y ON y.id = b WHERE x.ch <> y.ch GROUP BY 1),
   echo AS (SELECT auth.id, round(CASE WHEN n IS NULL THEN 1.0 ELSE 1 + least(0.25 * sqrt(n) * near.au, 1.0) END, 6) AS echo FROM auth LEFT JOIN near ON near.id = auth.id)"""
 _TOPICS = f"""g AS (SELECT {H} AS h, count(*) AS n, count(DISTINCT source_key) AS s, count(DISTINCT category) AS c FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1),
@@ -329,7 +421,7 @@ ORACLE_SQL = {
     "bigram_jaccard_pairs": f"""WITH {POSTS_SQL}, {_TITLES}, s AS (SELECT id, category, list_distinct(list_transform(range(1, length(norm)), lambda i: substring(norm, i, 2))) AS g FROM titles),
       j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) + len(b.g) AS n FROM s a JOIN s b ON a.category = b.category AND a.id < b.id AND len(a.g) >= 0.79 * len(b.g) AND len(b.g) >= 0.79 * len(a.g))
       SELECT a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= 0.8 - 1e-9""",
-    "word_jaccard_pairs": f"""WITH {POSTS_SQL}, {_TITLES}, s AS (SELECT id, category, list_distinct(string_split(norm, ' ')) AS g FROM titles),
+    "word_jaccard_pairs": f"""WITH {POSTS_SQL}, {_TITLES}, s AS (SELECT id, category, {title_tokens_sql('norm')} AS g FROM titles),
       j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) + len(b.g) AS n FROM s a JOIN s b ON a.category = b.category AND a.id < b.id AND len(a.g) >= 2 AND len(b.g) >= 2)
       SELECT a, b, round(k / (n - k), 6) AS jaccard FROM j WHERE k / (n - k) >= 0.65 - 1e-9""",
     "v8_scores": f"""WITH {POSTS_SQL}, {SCORED_SQL}, {_ECHO}, {_TOPICS},
@@ -338,7 +430,7 @@ ORACLE_SQL = {
       SELECT f.id, category AS channel, round(ti, 6) AS topic_importance, echo, round(greatest(0, 2.5 + (ln(1 + raw) - m2) / CASE WHEN sd2 > 0 THEN sd2 ELSE 1 END), 6) AS trend_score FROM f JOIN r ON category = k2""",
     "issue_cards": f"WITH {POSTS_SQL}, {SCORED_SQL}, {FINAL_SQL}, {_CARDS} SELECT * FROM cards",
     "issue_pages": f"""WITH {POSTS_SQL}, {SCORED_SQL}, {FINAL_SQL}, {_CARDS}, r AS (SELECT *, row_number() OVER (ORDER BY issue_score DESC, cluster_id) AS rank FROM cards)
-      SELECT (rank - 1) // 20 + 1 AS page, count(*) AS items, '[' || string_agg('{{"rank":' || rank || ',"first_id":' || first_id || ',"posts":' || posts || '}}', ',' ORDER BY rank) || ']' AS body FROM r WHERE rank <= 100 GROUP BY 1""",
+      SELECT (rank - 1) // 20 + 1 AS page, count(*) AS items, '[' || string_agg('{{"rank":' || rank || ',"first_id":' || first_id || ',"posts":' || posts || '}}', ',' ORDER BY rank) || ']' AS body FROM r GROUP BY 1""",
     "normalized_engagement": f"""WITH {POSTS_SQL}, p AS (SELECT *, CASE WHEN category = 'portal' THEN 'news' ELSE category END AS ch FROM posts),
       base AS (SELECT category AS bk, percentile_cont(0.5) WITHIN GROUP (ORDER BY ln(1 + view_count)) AS baseline FROM posts GROUP BY 1), {_engagement_stats("source_key", "src")}, {_engagement_stats("ch", "cha")},
       j AS (SELECT *, coalesce(src_n >= CASE WHEN ch = 'news' THEN 5 ELSE 10 END, false) AS own, CASE ch WHEN 'community' THEN 1.5 WHEN 'news' THEN 0.5 ELSE 1.0 END AS wc, CASE ch WHEN 'community' THEN 2.0 WHEN 'news' THEN 0.3 ELSE 1.2 END AS wl,
@@ -346,33 +438,46 @@ ORACLE_SQL = {
       k AS (SELECT *, CASE WHEN own THEN src_n ELSE cha_n END AS n, {", ".join(f"CASE WHEN own THEN src_{x}_{c} ELSE cha_{x}_{c} END AS {x}_{c}" for x in "ms" for c in ("view", "comment", "like"))}, CASE WHEN has_likes THEN 1.0 ELSE (1 + wc + wl) / (1 + wc) END AS sc FROM j)
       SELECT id, round(CASE WHEN view_count = 0 AND comment_count = 0 AND like_count = 0 THEN baseline * CASE WHEN ch = 'news' THEN 1.2 ELSE 1.0 END
         WHEN n >= 10 THEN least(20.0, greatest(0.5, 2 + {_Z})) ELSE greatest(0.5, ln(1 + view_count) + ln(1 + comment_count) * wc + ln(1 + like_count) * wl) END, 6) AS engagement FROM k""",
-    "cluster_importance": f"""WITH {POSTS_SQL}, g AS (SELECT {H} AS cluster_id, count(DISTINCT CASE WHEN category IN ('news', 'portal') THEN source_key END) AS n FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1)
-      SELECT cluster_id, n, round(least(10.0, 3 * log2(n)), 6) AS importance FROM g WHERE n > 1""",
+    "cluster_importance": f"""WITH {POSTS_SQL}, g AS (SELECT {H} AS cluster_id, count(DISTINCT CASE WHEN category IN ('news', 'portal') THEN source_key END) AS n, count(DISTINCT {case_of("source_key", SOURCE_TIER, 5)}) AS t FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1)
+      SELECT cluster_id, n, round(least(10.0, least(10.0, 3 * log2(n)) * (1 + 0.1 * least(t - 1, 3))), 6) AS importance FROM g WHERE n > 1""",
     "cluster_spread": """WITH f AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), c AS (SELECT label, i, avg(x) AS c FROM f GROUP BY 1, 2),
       s AS (SELECT label, vec_id, sum(x * c) / (sqrt(sum(x * x)) * sqrt(sum(c * c))) AS cosine FROM f JOIN c USING (label, i) GROUP BY 1, 2), d AS (SELECT label, count(*) AS n, avg(1 - cosine) AS d FROM s GROUP BY 1)
       SELECT label, n, round(d, 6) AS distance, round(least(10.0, log2(1 + n) * (1 + least(2 * d, 3.0))), 6) AS importance FROM d""",
-    "video_news_signal": f"""WITH {POSTS_SQL}, p AS (SELECT id, category, view_count, {NORMAL_SQL} AS norm, ln(1 + view_count + 3 * comment_count + 2 * like_count) AS e FROM posts),
+    "video_news_signal": f"""WITH {POSTS_SQL}, p AS (SELECT id, category, view_count, {NORMAL_SQL} AS norm, {hangul_tokens_sql("title")} AS ws, ln(1 + view_count + 3 * comment_count + 2 * like_count) AS e FROM posts),
       v0 AS (SELECT * FROM p WHERE category = 'video' AND view_count > 0), st AS (SELECT avg(e) AS m, greatest(stddev_pop(e), 0.1) AS s FROM v0),
-      v AS (SELECT id, norm, least(10.0, greatest(0.0, ((e - m) / s + 2) * 2.5)) AS score FROM v0, st), n AS (SELECT * FROM p WHERE category IN ('news', 'portal')),
+      v AS (SELECT id, norm, ws, least(10.0, greatest(0.0, ((e - m) / s + 2) * 2.5)) AS score FROM v0, st), n AS (SELECT * FROM p WHERE category IN ('news', 'portal')),
       sz AS (SELECT norm, count(*) AS size FROM p WHERE norm <> '' GROUP BY 1),
-      a AS (SELECT v.id AS vid, n.id, score * least(1.0, 20 / size) AS score FROM v JOIN n ON v.norm = n.norm JOIN sz ON sz.norm = v.norm),
-      vw AS (SELECT DISTINCT id AS vid, score, unnest(string_split(norm, ' ')) AS w FROM v WHERE id NOT IN (SELECT vid FROM a)), nw AS (SELECT DISTINCT id, unnest(string_split(norm, ' ')) AS w FROM n),
-      b AS (SELECT vid, id, 0.6 * min(score) AS score FROM vw JOIN nw USING (w) WHERE length(w) >= 6 GROUP BY 1, 2 HAVING count(*) >= 2)
+      a AS (SELECT v.id AS vid, n.id, score * least(1.0, 20 / size) AS score FROM v JOIN n ON v.norm = n.norm AND v.norm <> '' JOIN sz ON sz.norm = v.norm),
+      b AS (SELECT n.id, 0.6 * score AS score FROM v JOIN n ON len(list_intersect(v.ws, n.ws)) >= 2 WHERE v.id NOT IN (SELECT vid FROM a))
       SELECT id, round(0.5 * max(score), 6) AS signal FROM (SELECT id, score FROM a UNION ALL SELECT id, score FROM b) WHERE score > 0 GROUP BY 1""",
     "trend_match": f"""WITH {POSTS_SQL}, w AS (SELECT DISTINCT id, source_key, scraped_at, unnest(string_split({NORMAL_SQL}, ' ')) AS keyword FROM posts),
-      k AS (SELECT source_key, keyword, count(*) AS n, max(scraped_at) AS ts FROM w WHERE length(keyword) >= 6 GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY n DESC, source_key, keyword LIMIT 500),
-      h AS (SELECT *, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 3.6e9 / 24 AS d FROM k),
-      m AS (SELECT posts.id, h.source_key, max(least(n / 10, 1.0)) AS strength, max(CASE WHEN d <= 1 THEN 1.0 WHEN d <= 3 THEN 0.85 WHEN d <= 6 THEN 0.6 WHEN d <= 12 THEN 0.3 ELSE 0 END) AS decay FROM posts JOIN h ON contains({NORMAL_SQL}, keyword) GROUP BY 1, 2),
-      f AS (SELECT id, count(*) AS sources, max(strength) AS best, avg(decay) AS decay FROM m GROUP BY 1)
+      k AS (SELECT source_key, keyword, least(count(*) / 10, 1.0) AS strength, max(scraped_at) AS ts, list_distinct(list_transform(range(1, length(keyword)), lambda i: substring(keyword, i, 2))) AS kg
+        FROM w WHERE length(keyword) >= 6 GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY count(*) DESC, source_key, keyword LIMIT 500),
+      t AS (SELECT id, {NORMAL_SQL} AS norm FROM posts), g AS (SELECT *, list_distinct(list_transform(range(1, greatest(1, length(norm))), lambda i: substring(norm, i, 2))) AS tg FROM t),
+      m AS (SELECT g.id, k.source_key, first(strength ORDER BY strength DESC, keyword) AS strength, first(ts ORDER BY strength DESC, keyword) AS ts FROM g JOIN k
+        ON contains(norm, keyword) OR contains(replace(norm, ' ', ''), keyword) OR len(list_intersect(tg, kg)) >= 0.7 * len(kg) GROUP BY 1, 2),
+      d AS (SELECT *, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 3.6e9 AS h FROM m),
+      f AS (SELECT id, count(*) AS sources, max(strength) AS best, avg(CASE WHEN h <= 1 THEN 1.0 WHEN h <= 3 THEN 0.85 WHEN h <= 6 THEN 0.6 WHEN h <= 12 THEN 0.3 ELSE 0 END) AS decay FROM d GROUP BY 1)
       SELECT id, sources, round(least(1.8, greatest(1.0, CASE WHEN sources >= 3 THEN 1.6 WHEN sources = 2 THEN 1.35 ELSE 1.15 END * (0.6 + 0.4 * best) * decay)), 6) AS bonus FROM f""",
+    "dedup_clusters": f"""WITH RECURSIVE {POSTS_SQL}, p AS MATERIALIZED (SELECT id, category, view_count, scraped_at AS ts, norm, img, list_distinct(list_transform(range(1, greatest(1, length(norm))), lambda i: substring(norm, i, 2))) AS g, {title_tokens_sql("norm")} AS w
+        FROM (SELECT *, {NORMAL_SQL} AS norm, CASE WHEN id % 10 < 2 THEN id // 10 END AS img FROM posts)),
+      j AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.id < b.id AND abs(date_diff('microsecond', a.ts, b.ts)) <= 6 * 3600000000 AND (a.norm = b.norm AND a.norm <> '' OR a.img = b.img
+        OR a.category = b.category AND length(a.norm) >= 8 AND length(b.norm) >= 8 AND (len(list_intersect(a.g, b.g)) >= 0.8 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) - 1e-9
+          OR len(a.w) >= 2 AND len(b.w) >= 2 AND len(list_intersect(a.w, b.w)) >= 0.65 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) - 1e-9))),
+      e AS MATERIALIZED (SELECT a, b FROM j UNION ALL SELECT b, a FROM j), r AS (SELECT id, id AS reached FROM p UNION SELECT r.id, e.b FROM r JOIN e ON r.reached = e.a),
+      c AS (SELECT id, min(reached) AS cluster_id FROM r GROUP BY 1)
+      SELECT cluster_id, count(*) AS member_count, first(id ORDER BY view_count DESC, ts DESC, id) AS canonical_id FROM c JOIN p USING (id) GROUP BY 1 HAVING count(*) > 1""",
     "borda_merge": f"WITH {CHARTS_SQL} SELECT item, round(sum((201 - rank) * CASE WHEN source % 5 = 0 THEN 1.2::DOUBLE WHEN source % 5 <= 2 THEN 1.0 ELSE 0.8 END), 6) AS points, count(*) AS charts, min(rank) AS best_rank FROM charts GROUP BY 1 ORDER BY points DESC, item LIMIT 50",
     "avg_rank_merge": f"WITH {CHARTS_SQL} SELECT item, round(avg(rank) + CASE WHEN count(*) = 1 THEN 5 ELSE 0 END, 6) AS rank_score, count(*) AS charts FROM charts GROUP BY 1 ORDER BY rank_score, item LIMIT 50",
     "chart_top5": f"WITH {CHARTS_SQL} SELECT source, item, rank FROM charts WHERE rank <= 5",
     "rank_change": """WITH o AS (SELECT date_trunc('month', o_orderdate) AS month, o_custkey AS cust, sum(round(o_totalprice, 2)::DECIMAL(18,2)) AS total FROM orders GROUP BY 1, 2),
       r AS (SELECT month, cust, row_number() OVER (PARTITION BY month ORDER BY total DESC, cust) AS rank FROM o)
       SELECT a.cust, strftime(a.month, '%Y-%m') AS month, a.rank, b.rank - a.rank AS rank_change FROM r a LEFT JOIN r b ON a.cust = b.cust AND a.month = b.month + INTERVAL 1 MONTH""",
-    "summary_priority": f"""WITH {POSTS_SQL}, g AS (SELECT {H} AS cluster_id, count(*) AS n, max(scraped_at) AS ts, sum(view_count)::BIGINT AS views, count(*) FILTER (WHERE scraped_at > TIMESTAMP '2024-01-30') AS fresh FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1)
-      SELECT cluster_id, round(views * pow(0.5, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 3.6e9 / 6) * CASE WHEN n % 2 = 1 THEN 3 ELSE 1 END * CASE WHEN fresh / n >= 0.3 THEN 1.2 ELSE 1.0 END, 6) AS priority FROM g WHERE n > 1""",
+    "summary_priority": f"""WITH {POSTS_SQL}, q AS (SELECT *, {H} AS cluster_id FROM posts WHERE {NORMAL_SQL} <> ''),
+      g AS (SELECT cluster_id, max(scraped_at) AS ts, sum(view_count)::BIGINT AS views, min(id) AS f, list_slice(list_sort(list(id)), 1, 5) AS now,
+        coalesce(list_slice(list_sort(list(id) FILTER (WHERE scraped_at <= TIMESTAMP '2024-01-30')), 1, 5), []) AS before FROM q GROUP BY 1 HAVING count(*) > 1)
+      SELECT cluster_id, round(views * pow(0.5, date_diff('microsecond', ts, TIMESTAMP '{AS_OF}') / 3.6e9 / 6) * CASE WHEN f % 3 = 1 THEN 1.0 ELSE 3.0 END
+        * CASE WHEN len(before) > 0 AND 1 - len(list_intersect(before, now)) / len(list_distinct(list_concat(before, now))) >= 0.3 THEN 1.2 ELSE 1.0 END, 6) AS priority FROM g""",
     "summary_fingerprints": f"""WITH {POSTS_SQL}, r AS (SELECT {H} AS h, id, row_number() OVER (PARTITION BY {H} ORDER BY id) AS rn FROM posts WHERE {NORMAL_SQL} <> '')
       SELECT h, md5(string_agg(id::VARCHAR, ',' ORDER BY id)) AS fingerprint FROM r WHERE rn <= 5 GROUP BY 1""",
 }

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.maths import clamp
+from ..config import COMMUNITY_HALF_LIFE, COMMUNITY_WEIGHT, DEFAULT_SOURCE_WEIGHT, NEWS_HALF_LIFE, PORTAL, SOURCE_WEIGHT
+from ..functions.maths import clamp, community_velocity_bonus, lookup, velocity_bonus
 from ..functions.text import normalize_title, title_hash
-from ..model import AS_OF, POSTS_SQL, RUNS_SQL, SNAPSHOTS_SQL, as_of, posts, read, scraper_runs, snapshots
-from ..operators.scoring import engagement_sum, score_posts, top_per
+from ..model import AS_OF, POSTS_SQL, RUNS_SQL, SNAPSHOTS_SQL, as_of, case_of, posts, read, scraper_runs, snapshots
+from ..operators.scoring import engagement_sum, ranked, score_posts, top_per
 
 NORMAL_SQL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(title, '\[[^\]]*\]', '', 'g'), '[^가-힣a-zA-Z0-9 \t\n\r]', '', 'g'), '[ \t\n\r]+', ' ', 'g')))"
+AUTHORITY_SQL = f"greatest(1.0, CASE category WHEN 'community' THEN 0.5 + {case_of('source_key', COMMUNITY_WEIGHT, 1.0)} ELSE {case_of('source_key', SOURCE_WEIGHT, DEFAULT_SOURCE_WEIGHT)} END)::DOUBLE"
 SCORED_SQL = f"""ages AS (SELECT *, greatest(0.0, date_diff('microsecond', coalesce(published_at, scraped_at), TIMESTAMP '{AS_OF}') / 6e7) AS age,
     ln(1 + view_count + 2 * comment_count + 3 * like_count) AS eng FROM posts),
   es AS (SELECT category AS k, avg(eng) AS m, stddev_pop(eng) AS sd FROM ages GROUP BY 1),
-  factors AS (SELECT ages.*, CASE category WHEN 'community' THEN 1.5 ELSE 1.0 END AS authority,
-    exp(-ln(2) * age / CASE category WHEN 'community' THEN 150 WHEN 'video' THEN 360 ELSE 240 END) AS freshness,
+  factors AS (SELECT ages.*, {AUTHORITY_SQL} AS authority,
+    exp(-ln(2) * age / CASE category WHEN 'community' THEN {case_of("source_key", COMMUNITY_HALF_LIFE, 150)} WHEN 'video' THEN 360 ELSE {case_of("source_key", NEWS_HALF_LIFE, 240)} END) AS freshness,
     greatest(0.5, 1 + 0.75 * tanh((eng - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END / 1.5)) AS engagement FROM ages JOIN es ON category = k)"""
 
 
@@ -34,11 +36,16 @@ def where_posts(df: DataFrame, source=None, category=None, subcategory=None, q:
     return df if since is None else df.where(F.col("scraped_at") > since)
 
 
+def title_key(title: str, post: str) -> Column:
+    """What duplicates share: the normalised title's hash; posts without a title are each their own."""
+    return F.when(normalize_title(F.col(title)) == "", F.concat(F.lit("post "), F.col(post).cast("string"))).otherwise(title_hash(F.col(title)))
+
+
 def trending(scored: DataFrame, first: int = 30, shown: int = 20) -> DataFrame:
     """The best ``first`` posts, one for each normalised title, of these the best ``shown``."""
     top = scored.orderBy(F.desc("trend_score"), F.desc("id")).limit(first)
     # at most `first` rows from here on
-    own = Window.partitionBy(title_hash(F.col("title"))).orderBy(F.desc("trend_score"), F.desc("id"))
+    own = Window.partitionBy(title_key("title", "id")).orderBy(F.desc("trend_score"), F.desc("id"))
     return top.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n").orderBy(F.desc("trend_score"), F.desc("id")).limit(shown)
 
 
@@ -76,10 +83,10 @@ def posts_keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts_latest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts of their source's last successful batch: not older than two weeks before its end here."""
+    """Posts of their source's last successful batch: not older than two hours before its end."""
     runs = scraper_runs(spark, sf_dir).where("error_message IS NULL").groupBy("source_key").agg(F.max("finished_at").alias("last"))
     df = posts(spark, sf_dir).join(runs, "source_key")
-    return df.where("scraped_at >= last - INTERVAL 14 DAY").groupBy("source_key").agg(F.count("*").alias("posts"), F.max("id").alias("newest"))
+    return df.where("scraped_at >= last - INTERVAL 2 HOUR").groupBy("source_key").agg(F.count("*").alias("posts"), F.max("id").alias("newest"))
 
 
 def source_engagement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +139,7 @@ def title_hash_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posts_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest post of each title: the first row of a key."""
     df = posts(spark, sf_dir)
-    return df.groupBy(normalize_title(F.col("title")).alias("norm")).agg(F.max_by("id", F.struct("scraped_at", "id")).alias("id"), F.count("*").alias("n"))
+    return df.groupBy(title_key("title", "id").alias("k")).agg(F.max_by("id", F.struct("scraped_at", "id")).alias("id"), F.count("*").alias("n")).select("id", "n")
 
 
 def community_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,35 +176,81 @@ def cluster_bonus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("id", "n", F.round(F.least(F.lit(3.0), bonus), 6).alias("bonus"))
 
 
+# Wire agencies whose own flashes count, and what marks a flash.
+WIRES = ("yna", "newsis", "ytn")
+FLASH = r"(?i)속보|긴급|flash|breaking"
+
+
+def breaking_boost(p: DataFrame, members: DataFrame, at: Column, hours: float = 2, spread: float = 30, half_life: float = 30, sources: int = 3) -> DataFrame:
+    """(id, bonus): 1 + 2 * 2^(-age / half_life) for a cluster's canonical post if news of ``sources`` or more tell
+    it within ``spread`` minutes; 1 + 2^(-age / half_life) for a wire's own flash, unless the first is 2 or more.
+
+    ``members`` has cluster_id and post id; clusters and flashes of the last ``hours`` count.
+    """
+    age = lambda c: F.timestamp_diff("MICROSECOND", F.col(c), at) / 6e7
+    recent = F.col("first") > at - F.make_dt_interval(mins=F.lit(int(hours * 60)))
+    g = p.join(members, "id").groupBy("cluster_id").agg(
+        F.countDistinct(F.when(F.col("category") == "news", F.col("source_key"))).alias("sources"), F.min("scraped_at").alias("first"),
+        F.min(F.when(F.col("category") == "news", F.col("scraped_at"))).alias("a"), F.max(F.when(F.col("category") == "news", F.col("scraped_at"))).alias("z"),
+        F.max_by("id", F.struct("view_count", "scraped_at", -F.col("id"))).alias("id"),
+    )
+    many = g.where(recent & (F.col("sources") >= sources) & (F.timestamp_diff("MICROSECOND", F.col("a"), F.col("z")) / 6e7 < spread))
+    many = many.select("id", F.least(F.lit(3.0), 1 + 2 * F.pow(F.lit(2.0), -age("a") / half_life)).alias("x"))
+    wire = p.where(F.col("source_key").isin(*WIRES) & F.col("category").isin("news", "portal") & F.col("title").rlike(FLASH))
+    wire = wire.withColumnRenamed("scraped_at", "first").where(recent).select("id", F.least(F.lit(2.0), 1 + F.pow(F.lit(2.0), -age("first") / half_life)).alias("y"))
+    both = many.join(wire, "id", "full_outer")
+    return both.select("id", F.when(F.col("x") >= 2, F.col("x")).otherwise(F.greatest("x", "y")).alias("bonus"))
+
+
+#: The test tables spread over two weeks, so this query looks back and lets stories spread further than the defaults.
+STRETCHED = {"hours": 24 * 7, "spread": 4000, "half_life": 3000}
+
+
 def breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Titles of 3 or more sources within 5 hours: 1 + 2 * 2^(-age / 30 min), from their first post."""
-    df = posts(spark, sf_dir).where(normalize_title(F.col("title")) != "").groupBy(title_hash(F.col("title")).alias("title_hash")).agg(
-        F.countDistinct("source_key").alias("sources"), F.min("scraped_at").alias("first"), F.max("scraped_at").alias("last"), F.min("id").alias("id"))
-    minutes = F.timestamp_diff("MICROSECOND", F.col("first"), as_of()) / 6e7
-    spread = F.timestamp_diff("MICROSECOND", F.col("first"), F.col("last")) / 6e7
-    return df.where((F.col("sources") >= 3) & (spread < 20160)).select("id", "sources", F.round(F.least(F.lit(3.0), 1 + 2 * F.pow(F.lit(2.0), -minutes / 3000)), 6).alias("bonus"))
+    p = posts(spark, sf_dir)
+    members = p.where(normalize_title(F.col("title")) != "").select("id", title_hash(F.col("title")).alias("cluster_id"))
+    return breaking_boost(p, members, as_of(), **STRETCHED, sources=2).select("id", F.round("bonus", 6).alias("bonus"))
+
+
+def portal_scores(p: DataFrame, members: DataFrame, at: Column, hours: int = 24, longest: int = 30, half_life: float = 6.0) -> DataFrame:
+    """(id, score): portal posts of the last ``hours`` by rank (1 to ``longest``) and age, times their source's
+    multiplier; news of one cluster take their source's share of it. The best counts.
+
+    ``members`` has cluster_id and post id. Each cluster is reached by its two best shares: a post isn't its own sibling.
+    """
+    rank = clamp(F.get_json_object("metadata", "$.rank").try_cast("int"), 1, longest)
+    age = F.timestamp_diff("MICROSECOND", F.col("scraped_at"), at) / 3.6e9
+    own = p.where(F.col("source_key").isin(*PORTAL) & (F.col("scraped_at") > at - F.make_dt_interval(hours=F.lit(hours))) & F.get_json_object("metadata", "$.rank").try_cast("int").isNotNull())
+    score = 10 * (1 - (rank - 1) / longest) * F.pow(F.lit(2.0), -age / half_life) * lookup(F.col("source_key"), {k: v[0] for k, v in PORTAL.items()})
+    own = own.select("id", score.alias("score"), lookup(F.col("source_key"), {k: v[1] for k, v in PORTAL.items()}).alias("share"))
+    shared = own.join(members, "id").select("cluster_id", "id", (F.col("score") * F.col("share")).alias("passed"))
+    first = shared.groupBy("cluster_id").agg(F.max(F.struct("passed", "id")).alias("first"))
+    second = shared.join(first, "cluster_id").where("id <> first.id").groupBy("cluster_id").agg(F.max("passed").alias("second"))
+    best = first.join(second, "cluster_id", "left")
+    news = p.where("category IN ('news', 'newsletter', 'portal')").select("id").join(members, "id").join(best, "cluster_id")
+    passed = news.select("id", F.when(F.col("id") == F.col("first.id"), F.col("second")).otherwise(F.col("first.passed")).alias("score"))
+    return own.select("id", "score").unionByName(passed).where("score IS NOT NULL").groupBy("id").agg(F.max("score").alias("score"))
 
 
 def portal_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Portal posts score by rank and age and pass a share on to posts of the same title; the best counts."""
-    df = posts(spark, sf_dir).withColumn("rank", F.get_json_object("metadata", "$.rank").try_cast("int")).withColumn("h", title_hash(F.col("title")))
-    hours = F.timestamp_diff("MICROSECOND", F.col("scraped_at"), as_of()) / 3.6e9
-    own = df.where("rank IS NOT NULL").select("id", "h", (10 * (1 - (F.col("rank") - 1) / 30) * F.pow(F.lit(2.0), -hours / 6) * 0.9).alias("score")).where("score > 0")
-    top = own.groupBy("h").agg(F.max("score").alias("best"), F.max_by("id", F.struct("score", "id")).alias("from_id"))
-    siblings = df.select("id", "h").join(top, "h").where("id <> from_id").select("id", (0.75 * F.col("best")).alias("score"))
-    return own.select("id", "score").unionByName(siblings).groupBy("id").agg(F.round(F.max("score"), 6).alias("portal_score"))
+    p = posts(spark, sf_dir)
+    members = p.where(normalize_title(F.col("title")) != "").select("id", title_hash(F.col("title")).alias("cluster_id"))
+    return portal_scores(p, members, as_of(), hours=24 * 7).select("id", F.round("score", 6).alias("portal_score"))
 
 
 def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Growth per hour between the first and last snapshot of each post, if they span enough time."""
+    """Growth per hour between the first and last snapshot of each post, if they span enough time, and the bonus it gives."""
     s = snapshots(spark, sf_dir)
     at = F.struct("captured_at", "id")
     df = s.groupBy("post_id").agg(*[(F.max_by(c, at) - F.min_by(c, at)).alias(c) for c in ("view_count", "comment_count", "like_count")], F.min("captured_at").alias("a"), F.max("captured_at").alias("z"))
     hours = F.timestamp_diff("MICROSECOND", F.col("a"), F.col("z")) / 3.6e9
-    per = lambda c: F.round(F.col(c) / F.greatest(F.col("hours"), F.lit(0.17)), 6)
     df = df.withColumn("hours", hours).where("hours > 0.15")
-    growth = F.log1p(F.col("view_count") / F.col("hours") + 2 * F.col("comment_count") / F.col("hours"))
-    return df.select("post_id", per("view_count").alias("views"), per("comment_count").alias("comments"), per("like_count").alias("likes"), F.round(clamp(1 + growth / 10, 1.0, 1.5), 6).alias("bonus"))
+    rates = [F.col(c) / F.greatest(F.col("hours"), F.lit(0.17)) for c in ("view_count", "comment_count", "like_count")]
+    has_likes = F.col("post_id") % 2 == 0
+    return df.select(
+        "post_id", *[F.round(r, 6).alias(n) for r, n in zip(rates, ("views", "comments", "likes"), strict=True)],
+        F.round(velocity_bonus(*rates), 6).alias("bonus"), F.round(community_velocity_bonus(*rates, has_likes), 6).alias("community_bonus"),
+    )
 
 
 def first_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,9 +275,9 @@ def keyword_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def history_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of the best hundred posts: a limit before the numbering, so one small partition is numbered."""
-    top = posts(spark, sf_dir).orderBy(F.desc("view_count"), "id").limit(100)
-    return top.withColumn("rank_position", F.row_number().over(Window.orderBy(F.desc("view_count"), "id")).cast("long")).select("id", "rank_position", F.col("view_count").cast("long").alias("view_count"))
+    """Ranks of all posts by trend score."""
+    scored = score_posts(posts(spark, sf_dir), as_of()).select("id", F.round("trend_score", 6).alias("score"))
+    return ranked(scored, F.desc("score"), F.asc("id")).select("id", F.col("rank").alias("rank_position"), "score")
 
 
 def news_engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,9 +298,10 @@ QUERIES = {f.__name__: f for f in (
     portal_rank, velocity, first_snapshots, token_df_burst, keyword_mining, history_rank, news_engagement, best_per_channel,
 )}
 H = f"md5({NORMAL_SQL})"
+KEY_SQL = f"CASE WHEN {NORMAL_SQL} = '' THEN 'post ' || id ELSE {H} END"
 ORACLE_SQL = {
     "trending_top20": f"""WITH {POSTS_SQL}, {SCORED_SQL}, {FINAL_SQL}, top AS (SELECT * FROM scored ORDER BY trend_score DESC, id DESC LIMIT 30),
-      one AS (SELECT *, row_number() OVER (PARTITION BY {H} ORDER BY trend_score DESC, id DESC) AS n FROM top)
+      one AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY trend_score DESC, id DESC) AS n FROM top)
       SELECT id, source_key, category, title, trend_score FROM one WHERE n = 1 ORDER BY trend_score DESC, id DESC LIMIT 20""",
     "v8_base_scores": f"WITH {POSTS_SQL}, {SCORED_SQL}, {FINAL_SQL} SELECT id, category, round(authority::DOUBLE, 6) AS authority, round(freshness, 6) AS freshness, round(engagement, 6) AS engagement, trend_score FROM scored",
     "posts_filtered_page": f"""WITH {POSTS_SQL} SELECT id, source_key, category, subcategory, title FROM posts WHERE category IN ('news', 'portal') AND (subcategory IS NULL OR subcategory NOT IN ('sub1'))
@@ -255,7 +309,7 @@ ORACLE_SQL = {
     "posts_ranked": f"WITH {POSTS_SQL} SELECT id, try_cast(json_extract_string(metadata, '$.rank') AS BIGINT) AS rank, title FROM posts WHERE try_cast(json_extract_string(metadata, '$.rank') AS BIGINT) IS NOT NULL ORDER BY rank, id LIMIT 100",
     "posts_keyset_page": f"WITH {POSTS_SQL} SELECT id, view_count::BIGINT AS view_count FROM posts WHERE view_count < 4000 OR (view_count = 4000 AND id < 500) ORDER BY view_count DESC, id DESC LIMIT 25",
     "posts_latest_batch": f"""WITH {POSTS_SQL}, {RUNS_SQL} SELECT source_key, count(*) AS posts, max(id) AS newest FROM posts p
-      WHERE scraped_at >= (SELECT max(finished_at) FROM runs r WHERE r.source_key = p.source_key AND error_message IS NULL) - INTERVAL 14 DAY GROUP BY 1""",
+      WHERE scraped_at >= (SELECT max(finished_at) FROM runs r WHERE r.source_key = p.source_key AND error_message IS NULL) - INTERVAL 2 HOUR GROUP BY 1""",
     "source_engagement_stats": _stats_sql("source_key"),
     "channel_engagement_stats": _stats_sql("category"),
     "category_median_engagement": f"WITH {POSTS_SQL} SELECT category, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY ln(1 + view_count)), 6) AS median_views FROM posts GROUP BY 1",
@@ -263,35 +317,42 @@ ORACLE_SQL = {
       SELECT id, subcategory, round(p, 6) AS percentile, round(0.8 + 0.6 * p, 6) AS weight FROM r""",
     "title_hash_clusters": f"""WITH {POSTS_SQL} SELECT {H} AS title_hash, count(*) AS members, count(DISTINCT source_key) AS sources, first(id ORDER BY view_count DESC, scraped_at DESC, id) AS canonical_id
       FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY 1 HAVING count(*) > 1""",
-    "posts_deduplicated": f"WITH {POSTS_SQL}, r AS (SELECT {NORMAL_SQL} AS norm, id, row_number() OVER (PARTITION BY {NORMAL_SQL} ORDER BY scraped_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY {NORMAL_SQL}) AS n FROM posts) SELECT norm, id, n FROM r WHERE k = 1",
+    "posts_deduplicated": f"WITH {POSTS_SQL}, r AS (SELECT id, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY scraped_at DESC, id DESC) AS k, count(*) OVER (PARTITION BY {KEY_SQL}) AS n FROM posts) SELECT id, n FROM r WHERE k = 1",
     "community_ranking": f"""WITH {POSTS_SQL} SELECT source_key, source_name, count(*) AS post_count, sum(view_count)::BIGINT AS total_views, sum(comment_count)::BIGINT AS total_comments, round(avg(nullif(view_count, 0)), 4) AS avg_views,
       round(0.4 * coalesce(avg(nullif(view_count, 0)), 0) + 35 * coalesce(avg(nullif(comment_count, 0)), 0) + 12.5 * coalesce(avg(nullif(like_count, 0)), 0), 4) AS score
       FROM posts WHERE category IN ('community', 'portal') AND scraped_at > TIMESTAMP '2024-01-24' GROUP BY 1, 2 ORDER BY score DESC, source_key""",
-    "volume_dampening": f"""WITH {POSTS_SQL}, c AS (SELECT source_key, count(*) AS n FROM posts WHERE id % 3 <> 0 OR source_key < 'src15' GROUP BY 1),
+    "volume_dampening": f"""WITH {POSTS_SQL}, c AS (SELECT source_key, count(*) AS n FROM posts GROUP BY 1),
       m AS (SELECT list_sort(list(n))[(count(*) // 2) + 1] AS median FROM c)
       SELECT source_key, n, median, round(CASE WHEN n > median THEN greatest(0.7, 1 - 0.15 * ln(n / median)) ELSE 1.0 END, 6) AS dampening FROM c, m""",
     "cluster_bonus": f"""WITH {POSTS_SQL}, g AS (SELECT first(id ORDER BY view_count DESC, scraped_at DESC, id) AS id, count(*) AS n, count(DISTINCT category) AS c, count(DISTINCT CASE WHEN category = 'news' THEN source_key END) AS w
       FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY {H} HAVING count(*) > 1)
       SELECT id, n, round(least(3.0, (1 + 0.3 * log2(n)) * (1 + 0.1 * least(c - 1, 3)) * CASE WHEN w >= 3 THEN 1 + 0.15 * least(w - 2, 5) ELSE 1 END), 6) AS bonus FROM g""",
-    "breaking": f"""WITH {POSTS_SQL}, g AS (SELECT count(DISTINCT source_key) AS sources, min(scraped_at) AS a, max(scraped_at) AS z, min(id) AS id FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY {H})
-      SELECT id, sources, round(least(3.0, 1 + 2 * pow(2.0, -(date_diff('microsecond', a, TIMESTAMP '{AS_OF}') / 6e7) / 3000)), 6) AS bonus FROM g WHERE sources >= 3 AND date_diff('microsecond', a, z) / 6e7 < 20160""",
-    "portal_rank": f"""WITH {POSTS_SQL}, p AS (SELECT id, {H} AS h, try_cast(json_extract_string(metadata, '$.rank') AS INT) AS rank, date_diff('microsecond', scraped_at, TIMESTAMP '{AS_OF}') / 3.6e9 AS hours FROM posts),
-      own AS (SELECT id, h, 10 * (1 - (rank - 1) / 30) * pow(2.0, -hours / 6) * 0.9 AS score FROM p WHERE rank IS NOT NULL AND 10 * (1 - (rank - 1) / 30) * pow(2.0, -hours / 6) * 0.9 > 0),
-      top AS (SELECT h, max(score) AS best, first(id ORDER BY score DESC, id DESC) AS f FROM own GROUP BY h),
-      u AS (SELECT id, score FROM own UNION ALL SELECT p.id, 0.75 * best FROM p JOIN top ON p.h = top.h WHERE p.id <> f)
+    "breaking": f"""WITH {POSTS_SQL}, g AS (SELECT count(DISTINCT source_key) FILTER (WHERE category = 'news') AS s, min(scraped_at) AS f, min(scraped_at) FILTER (WHERE category = 'news') AS a, max(scraped_at) FILTER (WHERE category = 'news') AS z,
+        first(id ORDER BY view_count DESC, scraped_at DESC, id) AS id FROM posts WHERE {NORMAL_SQL} <> '' GROUP BY {H}),
+      m AS (SELECT id, least(3.0, 1 + 2 * pow(2.0, -(date_diff('microsecond', a, TIMESTAMP '{AS_OF}') / 6e7) / {STRETCHED["half_life"]})) AS x FROM g
+        WHERE s >= 2 AND f > TIMESTAMP '{AS_OF}' - INTERVAL {STRETCHED["hours"]} HOUR AND date_diff('microsecond', a, z) / 6e7 < {STRETCHED["spread"]}),
+      w AS (SELECT id, least(2.0, 1 + pow(2.0, -(date_diff('microsecond', scraped_at, TIMESTAMP '{AS_OF}') / 6e7) / {STRETCHED["half_life"]})) AS y FROM posts
+        WHERE source_key IN ('yna', 'newsis', 'ytn') AND category IN ('news', 'portal') AND regexp_matches(title, '(?i)속보|긴급|flash|breaking') AND scraped_at > TIMESTAMP '{AS_OF}' - INTERVAL {STRETCHED["hours"]} HOUR)
+      SELECT id, round(CASE WHEN x >= 2 THEN x ELSE greatest(x, y) END, 6) AS bonus FROM m FULL JOIN w USING (id)""",
+    "portal_rank": f"""WITH {POSTS_SQL}, r AS (SELECT *, greatest(1, least(30, try_cast(json_extract_string(metadata, '$.rank') AS INT))) AS rank, date_diff('microsecond', scraped_at, TIMESTAMP '{AS_OF}') / 3.6e9 AS hours FROM posts
+        WHERE try_cast(json_extract_string(metadata, '$.rank') AS INT) IS NOT NULL AND scraped_at > TIMESTAMP '{AS_OF}' - INTERVAL 168 HOUR AND source_key IN ({", ".join(f"'{k}'" for k in PORTAL)})),
+      own AS (SELECT id, title, 10 * (1 - (rank - 1) / 30) * pow(2.0, -hours / 6) * {case_of("source_key", {k: v[0] for k, v in PORTAL.items()}, 0.5)}::DOUBLE AS score, {case_of("source_key", {k: v[1] for k, v in PORTAL.items()}, 0.5)}::DOUBLE AS share FROM r),
+      o AS (SELECT *, {H} AS h FROM own), p AS (SELECT *, {H} AS h FROM posts WHERE {NORMAL_SQL} <> '' AND category IN ('news', 'portal')),
+      u AS (SELECT id, score FROM own UNION ALL SELECT p.id, o.score * o.share FROM p JOIN o ON p.h = o.h AND p.id <> o.id)
       SELECT id, round(max(score), 6) AS portal_score FROM u GROUP BY 1""",
     "velocity": f"""WITH {SNAPSHOTS_SQL}, v AS (SELECT DISTINCT post_id, last_value(view_count) OVER w - first_value(view_count) OVER w AS vc, last_value(comment_count) OVER w - first_value(comment_count) OVER w AS cc,
         last_value(like_count) OVER w - first_value(like_count) OVER w AS lc, date_diff('microsecond', min(captured_at) OVER w, max(captured_at) OVER w) / 3.6e9 AS hours FROM snapshots
-        WINDOW w AS (PARTITION BY post_id ORDER BY captured_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-      SELECT post_id, round(vc / greatest(hours, 0.17), 6) AS views, round(cc / greatest(hours, 0.17), 6) AS comments, round(lc / greatest(hours, 0.17), 6) AS likes,
-        round(least(1.5, greatest(1.0, 1 + ln(1 + vc / hours + 2 * cc / hours) / 10)), 6) AS bonus FROM v WHERE hours > 0.15""",
+        WINDOW w AS (PARTITION BY post_id ORDER BY captured_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+      r AS (SELECT post_id, vc / greatest(hours, 0.17) AS v, cc / greatest(hours, 0.17) AS c, lc / greatest(hours, 0.17) AS l FROM v WHERE hours > 0.15)
+      SELECT post_id, round(v, 6) AS views, round(c, 6) AS comments, round(l, 6) AS likes, round(1 + least((ln(1 + v) + 2 * ln(1 + c) + 2.5 * ln(1 + l)) / 10, 0.5), 6) AS bonus,
+        round(1 + least(CASE WHEN post_id % 2 = 0 THEN ln(1 + v) + 3 * ln(1 + c) + 3 * ln(1 + l) ELSE 1.75 * (ln(1 + v) + 3 * ln(1 + c)) END / 8, 0.6), 6) AS community_bonus FROM r""",
     "first_snapshots": f"WITH {SNAPSHOTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY captured_at, id) AS rn FROM snapshots) SELECT post_id, rn, id, view_count::BIGINT AS view_count FROM r WHERE rn <= 20",
     "token_df_burst": f"""WITH {POSTS_SQL}, t AS (SELECT DISTINCT id, scraped_at > TIMESTAMP '2024-01-30' AS recent, unnest(string_split({NORMAL_SQL}, ' ')) AS token FROM posts),
       n AS (SELECT count(*) FILTER (WHERE scraped_at > TIMESTAMP '2024-01-30') AS n24, count(*) AS n FROM posts),
       c AS (SELECT token, count(*) FILTER (WHERE recent) AS df24, count(*) AS df FROM t WHERE length(token) >= 3 GROUP BY 1)
       SELECT token, df24, df, round((df24 / n24) / (df / n), 6) AS burst FROM c, n WHERE df24 / n24 >= 0.01 AND df24 / n24 >= 2 * (df / n)""",
     "keyword_mining": f"WITH {POSTS_SQL}, d AS (SELECT DISTINCT title FROM posts), t AS (SELECT unnest(string_split({NORMAL_SQL}, ' ')) AS keyword FROM d) SELECT keyword, count(*) AS n FROM t WHERE length(keyword) >= 4 GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, keyword LIMIT 10",
-    "history_rank": f"WITH {POSTS_SQL} SELECT id, row_number() OVER (ORDER BY view_count DESC, id) AS rank_position, view_count::BIGINT AS view_count FROM posts ORDER BY rank_position LIMIT 100",
+    "history_rank": f"WITH {POSTS_SQL}, {SCORED_SQL}, {FINAL_SQL} SELECT id, row_number() OVER (ORDER BY trend_score DESC, id) AS rank_position, trend_score AS score FROM scored",
     "news_engagement": f"""WITH {POSTS_SQL}, x AS (SELECT id, ln(1 + view_count + 3 * comment_count + 2 * like_count) AS x FROM posts WHERE category = 'news'), s AS (SELECT avg(x) AS m, greatest(stddev_samp(x), 0.1) AS s FROM x)
       SELECT id, round(least(10.0, greatest(0.0, ((x - m) / s + 2) * 2.5)), 6) AS news_engagement FROM x, s""",
     "best_per_channel": f"WITH {POSTS_SQL}, e AS (SELECT *, round(ln(1 + view_count + 2 * comment_count + 3 * like_count), 6) AS e FROM posts), r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY e DESC, id) AS rn FROM e) SELECT category, rn, id, e FROM r WHERE rn <= 10",

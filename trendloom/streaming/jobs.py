@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.similarity import work_root
+from ..operators.work import work_root
 
 
 def arrivals(spark: SparkSession, sf_dir: str, table: str = "events", files: int = 8) -> DataFrame:
