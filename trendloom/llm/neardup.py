@@ -118,7 +118,7 @@ def _roots(trees: range):
 
 def _deeper(level: int, steps: int):
     def step(batches):
-        """node, tree, cid, low -> the nodes of the next ``steps`` levels, n1 and on."""
+        """node, tree, cid, low -> the node, n0, and those of the next ``steps`` levels, n1 and on."""
         for batch in batches:
             if batch.num_rows:
                 node, tree = _ints(batch.column(0)).view(np.uint64), _ints(batch.column(1))
@@ -126,7 +126,7 @@ def _deeper(level: int, steps: int):
                 for k in range(steps):
                     node = mix(mix(node) + low[np.arange(len(node)), PATHS[tree, level + k]].astype(np.uint64))
                     out.append(pa.array(node.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *out], ["tree", "cid", *[f"n{k + 1}" for k in range(steps)]])
+                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(0), *out], ["tree", "cid", *[f"n{k}" for k in range(steps + 1)]])
 
     return step
 
@@ -165,16 +165,14 @@ class Leaves:
             steps = min(AHEAD, DEPTH - level)
             nodes = [f"n{k + 1}" for k in range(steps)]
             below = large.join(alike.select("node"), "node", "left_anti").join(classes.select("cid", "low"), "cid").select("node", "tree", "cid", "low")
-            below = materialize(below.mapInArrow(_deeper(level, steps), f"tree int, cid long, {', '.join(n + ' long' for n in nodes)}"), f"dup-below{level}")
-            counts = below.select(F.explode(F.array(*nodes)).alias("node")).groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-            counts = materialize(counts, f"dup-counts{level}")
-            for k, n in enumerate(nodes):
-                below = below.join(counts.select(F.col("node").alias(n), F.col("n").alias(f"c{k + 1}")), n, "left")
-            ends, size, deep = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("int")
-            for k in reversed(range(steps)):  # the first level that isn't too large, else the last
-                here = F.lit(k == steps - 1) | (F.coalesce(f"c{k + 1}", F.lit(1)) <= NODE)
-                ends, size, deep = F.when(here, F.col(f"n{k + 1}")).otherwise(ends), F.when(here, F.col(f"c{k + 1}")).otherwise(size), F.when(here, level + k + 1).otherwise(deep)
-            sized = materialize(below.select(ends.alias("node"), "tree", "cid", size.alias("n"), deep.alias("level")).where("n > 1"), f"dup-level{level + steps}")
+            below = materialize(below.mapInArrow(_deeper(level, steps), f"tree int, cid long, n0 long, {', '.join(n + ' long' for n in nodes)}"), f"dup-below{level}")
+            each = [F.struct(F.lit(level + k + 1).alias("level"), F.col(f"n{k}").alias("up"), F.col(f"n{k + 1}").alias("node")) for k in range(steps)]
+            flat = below.select("tree", "cid", F.explode(F.array(*each)).alias("x")).select("tree", "cid", "x.*")
+            counts = materialize(flat.groupBy("node").agg(F.count("*").alias("n"), F.first("up").alias("up"), F.first("level").alias("level")).where("n > 1"), f"dup-counts{level}")
+            # a document ends in the node that isn't too large, but below one that is, or at the last of these levels
+            above = counts.select(F.col("node").alias("up"), F.col("n").alias("up_n"))
+            ends = counts.join(above, "up", "left").where(((F.col("n") <= NODE) & (F.coalesce("up_n", F.lit(NODE + 1)) > NODE)) | ((F.col("n") > NODE) & (F.col("level") == level + steps)))
+            sized = materialize(flat.select("tree", "cid", "node").join(ends.select("node", "n", "level"), "node").select("node", "tree", "cid", "n", "level"), f"dup-level{level + steps}")
             self.small.append(sized.where(F.col("n") <= NODE).select("node", "cid"))
             self.split.append(sized.select("cid", "level"))
             large, level = sized.where(F.col("n") > NODE), level + steps
