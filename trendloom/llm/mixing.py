@@ -102,6 +102,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, ceiling:
     sums = slim.groupBy("source", "range", "hot", "part").agg(F.sum("size").alias("part_size"))
     earlier = Window.partitionBy("source").orderBy("range", F.col("hot").asc_nulls_first(), "part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("s"), F.col("range").alias("r"), F.col("hot").alias("h"), F.col("part").alias("p"), F.coalesce(F.sum("part_size").over(earlier), F.lit(0)).alias("before_part"))
+    sums = materialize(sums, "mix-sums")  # its size is known when the join is planned
     within = Window.partitionBy("source", "range", "hot", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     joined = rows.join(sums, rows["source"].eqNullSafe(sums["s"]) & (rows["range"] == sums["r"]) & rows["hot"].eqNullSafe(sums["h"]) & (rows["part"] == sums["p"]), "left")
     before = F.col("before_part") + F.coalesce(F.sum("size").over(within), F.lit(0))

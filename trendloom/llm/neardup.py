@@ -166,8 +166,8 @@ class Leaves:
             nodes = [f"n{k + 1}" for k in range(steps)]
             below = large.join(alike.select("node"), "node", "left_anti").join(classes.select("cid", "low"), "cid").select("node", "tree", "cid", "low")
             below = materialize(below.mapInArrow(_deeper(level, steps), f"tree int, cid long, n0 long, {', '.join(n + ' long' for n in nodes)}"), f"dup-below{level}")
-            each = [F.struct(F.lit(level + k + 1).alias("level"), F.col(f"n{k}").alias("up"), F.col(f"n{k + 1}").alias("node")) for k in range(steps)]
-            flat = below.select("tree", "cid", F.explode(F.array(*each)).alias("x")).select("tree", "cid", "x.*")
+            # a level reads only its two columns of nodes
+            flat = _union([below.select("tree", "cid", F.lit(level + k + 1).alias("level"), F.col(f"n{k}").alias("up"), F.col(f"n{k + 1}").alias("node")) for k in range(steps)])
             counts = materialize(flat.groupBy("node").agg(F.count("*").alias("n"), F.first("up").alias("up"), F.first("level").alias("level")).where("n > 1"), f"dup-counts{level}")
             # a document ends in the node that isn't too large, but below one that is, or at the last of these levels
             above = counts.select(F.col("node").alias("up"), F.col("n").alias("up_n"))
