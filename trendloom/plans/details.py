@@ -159,10 +159,10 @@ def cached_summaries(cache: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def summary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues whose five least ids changed little since all but the last two days."""
+    """Issues whose five least ids changed little in the last half day."""
     p = _clustered(spark, sf_dir).where("cluster IS NOT NULL").select("cluster", "id", "scraped_at")
     least = lambda df, name: top_per(df, "cluster", 5, F.col("id")).groupBy(F.col("cluster").alias("fingerprint")).agg(F.collect_list("id").alias(name))
-    cache = least(p.where(F.col("scraped_at") <= as_of("2024-01-29 00:00:00")), "cached_ids").withColumn("hit_count", F.lit(1).cast("long"))
+    cache = least(p.where(F.col("scraped_at") <= as_of("2024-01-30 12:00:00")), "cached_ids").withColumn("hit_count", F.lit(1).cast("long"))
     hits = cached_summaries(cache, least(p, "top_ids"))
     return hits.select(F.md5(F.encode("fingerprint", "UTF-8")).alias("fingerprint"), "change", "hit_count")
 
@@ -254,7 +254,7 @@ ORACLE_SQL = {
         ELSE title || ' — ' || substring(lead, 1, 80) || CASE WHEN length(lead) > 80 THEN '…' ELSE '' END END AS summary, n_news FROM i WHERE n_news > 0 OR (SELECT max(n_news) FROM i) = 0""",
     "summary_sources": f"""WITH {_HELD}, o AS (SELECT issue, title, max(source_key) AS source_key FROM j GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY title) AS rn FROM o)
       SELECT issue, title, source_key FROM r WHERE rn <= {TITLES}""",
-    "summary_hits": f"""WITH {POSTS_SQL}, {_NORM}, g AS (SELECT norm, list_slice(list_sort(list(id)), 1, 5) AS b, list_slice(list_sort(list(id) FILTER (WHERE scraped_at <= TIMESTAMP '2024-01-29')), 1, 5) AS a FROM n WHERE norm <> '' GROUP BY 1),
+    "summary_hits": f"""WITH {POSTS_SQL}, {_NORM}, g AS (SELECT norm, list_slice(list_sort(list(id)), 1, 5) AS b, list_slice(list_sort(list(id) FILTER (WHERE scraped_at <= TIMESTAMP '2024-01-30 12:00:00')), 1, 5) AS a FROM n WHERE norm <> '' GROUP BY 1),
       d AS (SELECT norm, 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS change FROM g WHERE a IS NOT NULL)
       SELECT md5(norm) AS fingerprint, round(change, 6) AS change, 2::BIGINT AS hit_count FROM d WHERE change < {CHANGED}""",
     "label_cohesion": """WITH v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.label, avg(list_cosine_similarity(a.v, b.v)) AS c FROM v a JOIN v b ON a.label = b.label AND a.id < b.id GROUP BY 1)
