@@ -11,17 +11,33 @@ from ..functions.maths import jaccard
 from .work import work_table
 
 
-def cosine_pairs(vectors: DataFrame, least: float, block: int = 2000) -> DataFrame:
+#: Blocks of one span of time are numbered below this.
+BLOCKS = 1 << 24
+
+
+def cosine_pairs(vectors: DataFrame, least: float, block: int = 2000, hours: float | None = None) -> DataFrame:
     """(a, b, cosine) of all pairs of ``vectors`` (id, v) with a < b and cosine >= ``least``.
 
-    Exact. Rows are dealt into blocks; each pair of blocks is one task's matrix product, and only
-    pairs that are near enough leave it. Vectors without length pair with none.
+    With ``hours``, of those whose ``at`` is not more than ``hours`` apart; rows without ``at`` pair with none.
+    Exact. Rows are dealt into spans of ``hours`` and these into blocks of about ``block`` rows; each pair of
+    blocks of one span or of neighbouring ones is one task's matrix product, and only pairs that are near
+    enough leave it. So the work grows with a span's rows. Vectors without length pair with none.
     """
-    n = max(1, -(-vectors.count() // block))
-    at = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    rows = vectors.select("id", "v", at.alias("own"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other")
-    dealt = rows.select("id", "v", "own", other).select("id", "v", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    if hours is None:
+        timed = vectors.select("id", "v", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("span"))
+    else:
+        t = F.unix_micros(F.col("at").cast("timestamp"))
+        timed = vectors.where("at IS NOT NULL").select("id", "v", t.alias("t"), F.floor(t / (hours * 3_600_000_000)).alias("span"))
+    # one row a span of time, so a small table however many vectors there are
+    spans = work_table(timed.groupBy("span").agg(F.ceil(F.count("*") / block).alias("n")), "spans")
+    at = lambda by: spans.select((F.col("span") + by).alias("span"), F.col("n").alias("before" if by > 0 else "after"))
+    sizes = spans.join(at(1), "span", "left").join(at(-1), "span", "left")
+    blocks = lambda n, by: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col(n) - 1), lambda i: (F.col("span") + by) * BLOCKS + i)).otherwise(F.array().cast("array<long>"))
+    rows = timed.join(F.broadcast(sizes), "span")
+    own = F.col("span") * BLOCKS + F.pmod(F.xxhash64("id"), F.col("n"))
+    other = F.explode(F.concat(blocks("before", -1), blocks("n", 0), blocks("after", 1))).alias("other")
+    dealt = rows.select("id", "v", "t", own.alias("own"), other).select("id", "v", "t", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    most = np.inf if hours is None else hours * 3_600_000_000
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
@@ -32,7 +48,8 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 2000) -> DataFra
         c = unit(left) @ unit(right).T
         i, j = np.nonzero(c >= least)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if x == y else np.ones(len(a), bool)
+        keep = np.abs(left["t"].to_numpy()[i] - right["t"].to_numpy()[j]) <= most
+        keep &= a < b if x == y else True
         return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": c[i, j][keep]})
 
     return dealt.groupBy("x", "y").applyInPandas(near, "a long, b long, cosine double")
@@ -118,12 +135,12 @@ def anchor_clusters(posts: DataFrame, least: float = 0.78, hours: float = 12.0,
     return top.groupBy().applyInPandas(walk, "id long, cluster_id string")
 
 
-def echo(posts: DataFrame, vectors: DataFrame, least: float, alpha: float = 0.25, cap: float = 1.0) -> DataFrame:
+def echo(posts: DataFrame, vectors: DataFrame, least: float, alpha: float = 0.25, cap: float = 1.0, hours: float | None = None) -> DataFrame:
     """(id, echo): 1 + min(alpha sqrt(n) mean authority, cap) over near posts of other channels.
 
-    ``posts`` has id, channel and authority, ``vectors`` id and v.
+    ``posts`` has id, channel and authority, ``vectors`` id and v, and at if posts must be within ``hours``.
     """
-    pairs = cosine_pairs(vectors, least).select("a", "b")
+    pairs = cosine_pairs(vectors, least, hours=hours).select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     of = lambda side: posts.select(F.col("id").alias(side), F.col("channel").alias(f"channel_{side}"), F.col("authority").alias(f"authority_{side}"))
     near = both.join(of("a"), "a").join(of("b"), "b").where("channel_a <> channel_b")

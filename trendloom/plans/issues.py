@@ -29,13 +29,19 @@ def title_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sim.cosine_pairs(vectors(spark, sf_dir), NEAR).select("a", "b", F.round("cosine", 6).alias("cosine"))
+    """Near posts of ``cluster_hours``."""
+    return sim.cosine_pairs(timed_vectors(spark, sf_dir), NEAR, hours=DEFAULT.cluster_hours).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+def timed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, v, at) of posts with vectors."""
+    return vectors(spark, sf_dir).join(posts(spark, sf_dir).select("id", F.col("scraped_at").alias("at")), "id")
 
 
 def echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir).withColumn("channel", channel(F.col("category")))
     p = p.select("id", "channel", authority(F.col("source_key"), F.col("channel")).alias("authority"))
-    return sim.echo(p, vectors(spark, sf_dir), NEAR).select("id", F.round("echo", 6).alias("echo"))
+    return sim.echo(p, timed_vectors(spark, sf_dir), NEAR, hours=DEFAULT.cluster_hours).select("id", F.round("echo", 6).alias("echo"))
 
 
 def _distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,8 +379,9 @@ QUERIES = {f.__name__: f for f in (
     cosine_pairs, echo, bigram_jaccard_pairs, word_jaccard_pairs, dedup_clusters, topic_labels, anchor_clusters, v8_scores, issue_cards, issue_cards_by_vector, issue_pages,
     normalized_engagement, cluster_importance, cluster_spread, video_news_signal, trend_match, borda_merge, avg_rank_merge, chart_top5, rank_change, summary_priority, summary_fingerprints,
 )}
-_V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings)"
-_PAIRS = f"{_V}, pairs AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= {NEAR})"
+_V = "v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, epoch_us(scraped_at) AS t FROM embeddings JOIN posts ON id = vec_id)"
+_PAIRS = f"""{_V}, pairs AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS c FROM v a JOIN v b ON a.id < b.id AND abs(a.t - b.t) <= {DEFAULT.cluster_hours} * 3600000000
+  WHERE list_cosine_similarity(a.v, b.v) >= {NEAR})"""
 _STOP = lambda items: "[" + ", ".join(f"'{w}'" for w in items) + "]"
 
 
@@ -416,7 +423,7 @@ def _engagement_stats(key: str, prefix: str) -> str:
 
 _Z = " + ".join(f"CASE WHEN s_{c} > 0.01 THEN (ln(1 + {c}_count) - m_{c}) / s_{c} ELSE 0 END * {w}" for c, w in (("view", "sc"), ("comment", "wc * sc"), ("like", "CASE WHEN has_likes THEN wl ELSE 0 END")))
 ORACLE_SQL = {
-    "cosine_pairs": f"WITH {_PAIRS} SELECT a, b, round(c, 6) AS cosine FROM pairs",
+    "cosine_pairs": f"WITH {POSTS_SQL}, {_PAIRS} SELECT a, b, round(c, 6) AS cosine FROM pairs",
     "echo": f"WITH {POSTS_SQL}, {_ECHO} SELECT id, echo FROM echo",
     "bigram_jaccard_pairs": f"""WITH {POSTS_SQL}, {_TITLES}, s AS (SELECT id, category, list_distinct(list_transform(range(1, length(norm)), lambda i: substring(norm, i, 2))) AS g FROM titles),
       j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS k, len(a.g) + len(b.g) AS n FROM s a JOIN s b ON a.category = b.category AND a.id < b.id AND len(a.g) >= 0.79 * len(b.g) AND len(b.g) >= 0.79 * len(a.g))
