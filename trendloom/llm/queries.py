@@ -1,6 +1,6 @@
 """The queries of the corpus operators, by name, and SQL for those that SQL can express."""
 
-from . import decontaminate, language, licenses, mixing, neardup, neighbours, quality, secrets, tokens, urls
+from . import centroids, decontaminate, language, licenses, mixing, neardup, neighbours, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_language_id": language.op8_language_id,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_nearest": neighbours.op10_nearest,
+    "op11_centroids": centroids.op11_centroids,
 }
-ORACLE_SQL = {"op2_mix_sources": mixing.SQL, "op6_url_filters": urls.SQL}
+ORACLE_SQL = {"op2_mix_sources": mixing.SQL, "op6_url_filters": urls.SQL, "op11_centroids": centroids.SQL}
