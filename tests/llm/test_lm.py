@@ -120,7 +120,7 @@ def test_against_loops():
         return x ^ (x >> 31)
 
     where = {int(h): i for i, h in enumerate(v.hashes)}
-    tables = [np.zeros(s) for s in lm.Weights.SHAPES]
+    tables = [np.zeros((lm.BUCKETS, w)) for w in lm.Weights.WIDTHS]
     squares = [np.zeros(lm.BUCKETS), np.zeros(lm.BUCKETS)]
 
     def token(t, i):
@@ -146,7 +146,7 @@ def test_against_loops():
 
     for t in tokens:
         e = lm.Events(t, v)
-        before = lm.Weights(w.flat())
+        before = lm.Weights(w)
         got = before.log10(e, v)
         gradients = [{}, {}]
         for i in range(len(t.hash)):
@@ -171,3 +171,20 @@ def test_against_loops():
                 squares[k][r] += (g * g).mean()
                 tables[k][r] -= lm.RATE / math.sqrt(squares[k][r] + 1e-8) * g
             assert np.allclose(w.tables[k], tables[k], atol=2e-3)
+
+
+def test_average_of_tasks(spark):
+    """One round over two partitions is the mean, by tokens, of what each learns alone."""
+    rows = texts(random.Random(9), 60)
+    df = spark.createDataFrame([(t,) for _, t in rows], "text string").repartition(2).cache()
+    model = lm.train(df, rounds=1)
+    v, total, used = model.vocabulary.value, [0, 0], 0
+    for part in df.rdd.glom().collect():
+        own = lm.Weights()
+        n = 0
+        for _, t in lm.tokens_of(pa.array([r.text for r in part]), lm.FLUSH // 8):
+            own.learn(lm.Events(t, v), v)
+            n += len(t.hash)
+        total, used = [a + n * b for a, b in zip(total, own.tables, strict=True)], used + n
+    for want, got in zip(total, model.weights.tables, strict=True):
+        assert np.abs(want).max() > 0 and np.allclose(want / used * (1 - lm.DECAY), got, atol=1e-5)

@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACED, id_fold, materialize, mix, read, summed, tidy
+from .common import SPACED, id_fold, materialize, mix, read, tidy
 
 #: Classes of frequent tokens, members of each, and classes of other words.
 CLASSES, MEMBERS, OTHERS = 16, 32, 16
@@ -34,7 +34,8 @@ STEP, RATE, DECAY = 4_096, 0.1, 1e-3
 FLUSH = 1 << 20
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 1 << 20
-FEATURES = 3
+#: Rows that are sent, and summed, together.
+CHUNK_ROWS = 1 << 10
 
 #: The end of a text, as a token; and what stands before its first.
 END, BEGIN = np.uint64(0x656E64206F662074), np.uint64(0x626567696E6E696E)
@@ -152,20 +153,28 @@ def _look_up(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
 
 
 class Weights:
-    """For each bucket a row of class weights and one of member weights, with their summed squared gradients."""
+    """For each bucket a row of class weights and one of member weights; a row's last number sums its squared gradients."""
 
-    SHAPES = ((BUCKETS, CLASSES + OTHERS), (BUCKETS, MEMBERS))
-    LENGTH = BUCKETS * (CLASSES + OTHERS + MEMBERS + 2)
+    WIDTHS = CLASSES + OTHERS, MEMBERS
 
-    def __init__(self, flat: np.ndarray | None = None):
-        flat = np.zeros(self.LENGTH, np.float32) if flat is None else flat.astype(np.float32)
-        cuts = np.cumsum([BUCKETS * (CLASSES + OTHERS), BUCKETS * MEMBERS, BUCKETS])
-        a, b, c, d = np.split(flat, cuts)
-        self.tables = a.reshape(self.SHAPES[0]).copy(), b.reshape(self.SHAPES[1]).copy()
-        self.squares = c.copy(), d.copy()
+    def __init__(self, start: Weights | None = None):
+        self.tables = tuple(np.zeros((BUCKETS, w), np.float32) if start is None else start.tables[k].copy() for k, w in enumerate(self.WIDTHS))
+        self.squares = tuple(np.zeros(BUCKETS, np.float32) if start is None else start.squares[k].copy() for k in (0, 1))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (*self.tables, *self.squares)])
+    def moved(self, start: Weights, times: float):
+        """Yields (chunk, rows, values): how far the rows that have changed since ``start`` moved, times a factor."""
+        for k in (0, 1):
+            rows = np.flatnonzero(self.squares[k] != start.squares[k])
+            values = np.column_stack([(self.tables[k] - start.tables[k])[rows], (self.squares[k] - start.squares[k])[rows]]) * np.float32(times)
+            cuts = np.searchsorted(rows, np.arange(0, BUCKETS + 1, CHUNK_ROWS))
+            for c in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[c], cuts[c + 1])
+                yield k * (BUCKETS // CHUNK_ROWS) + int(c), (rows[own] % CHUNK_ROWS).astype("<i4"), values[own].astype("<f4")
+
+    def move(self, chunk: int, rows: np.ndarray, values: np.ndarray) -> None:
+        k, c = divmod(chunk, BUCKETS // CHUNK_ROWS)
+        self.tables[k][rows + c * CHUNK_ROWS] += values[:, :-1]
+        self.squares[k][rows + c * CHUNK_ROWS] += values[:, -1]
 
     def shares(self, events: Events, v: Vocabulary, own: np.ndarray, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Softmax over classes of the tokens ``own``, and over members of the members ``mine`` among all members."""
@@ -262,16 +271,21 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def vocabulary_of(counts: DataFrame, common: int = COMMON) -> Vocabulary:
-    """Of the ``common`` most frequent tokens; ties go to the smaller hash."""
+    """Of at most ``common`` of the most frequent tokens: those of whole octaves' eighths of counts, as many as fit."""
     whole = counts.agg(F.sum("c").alias("total"), F.count("*").alias("distinct")).first()
-    top = counts.orderBy(F.desc("c"), "h").limit(common)
+    band = F.floor(F.log2("c") * 8).cast("int")
+    # counts have at most 64 octaves, so the bands are few
+    bands = sorted(counts.groupBy(band.alias("band")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.band)
+    sizes = np.cumsum([r.n for r in bands])
+    fit = int(np.searchsorted(sizes, common, "right"))
+    top = counts.where(band >= bands[fit - 1].band) if fit else counts.where("false")
 
     def packed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]).tobytes()])], ["part"])
 
     # bounded by `common`, whatever the corpus is
-    parts = [np.frombuffer(bytes(r.part), np.int64).reshape(3, -1) for r in top.select("h", "other", "c").mapInArrow(packed, "part binary").collect()]
+    parts = [np.frombuffer(bytes(r.part), np.int64).reshape(3, -1) for r in top.select("h", "other", "c").coalesce(8).mapInArrow(packed, "part binary").toLocalIterator()]
     h, other, c = np.concatenate(parts, axis=1) if parts else np.zeros((3, 0), np.int64)
     order = np.lexsort([h, -c])
     h, other, c = h[order], other[order], c[order]
@@ -283,6 +297,40 @@ def vocabulary_of(counts: DataFrame, common: int = COMMON) -> Vocabulary:
     return Vocabulary(h.view(np.uint64), c, other, sums, kinds, whole.total or 0, whole.distinct)
 
 
+MOVED = "chunk int, rows binary, sums binary"
+
+
+def _sent(parts: list[tuple]) -> pa.RecordBatch:
+    chunk, rows, values = zip(*parts, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(chunk, pa.int32()), pa.array([r.tobytes() for r in rows]), pa.array([v.tobytes() for v in values])], ["chunk", "rows", "sums"])
+
+
+def _added(parts: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The sums of all tasks' rows by chunk, added on the executors in two steps: first whatever chunks
+    meet in a task, then each chunk's. The driver gets each chunk once."""
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, rows, sums in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                rows = np.frombuffer(rows.as_buffer(), "<i4")
+                sums = np.frombuffer(sums.as_buffer(), "<f4").reshape(len(rows), -1)
+                if chunk not in total:
+                    total[chunk] = np.zeros((CHUNK_ROWS if chunk >= 0 else 1, sums.shape[1]))
+                total[chunk][rows] += sums
+        for chunk, sums in total.items():
+            rows = np.flatnonzero(sums.any(axis=1))
+            yield _sent([(chunk, rows.astype("<i4"), sums[rows].astype("<f4"))])
+
+    tasks = max(1, int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    once = parts.repartition(tasks).mapInArrow(add, MOVED)
+    out = {}
+    for r in once.repartition("chunk").mapInArrow(add, MOVED).collect():
+        rows = np.frombuffer(bytes(r.rows), "<i4")
+        out[r.chunk] = rows, np.frombuffer(bytes(r.sums), "<f4").reshape(len(rows), -1)
+    return out
+
+
 def train(docs: DataFrame, rounds: int = ROUNDS, common: int = COMMON) -> Model:
     """Learns from the ``text`` of all of ``docs``; a null text is an empty one.
 
@@ -299,20 +347,21 @@ def train(docs: DataFrame, rounds: int = ROUNDS, common: int = COMMON) -> Model:
         shared = spark.sparkContext.broadcast(weights)
 
         def learn(batches, shared=shared):
-            own, v = Weights(shared.value.flat()), vocabulary.value
+            own, v = Weights(shared.value), vocabulary.value
             used = 0
             for b in batches:
                 for _, t in tokens_of(b.column(0), FLUSH // 8):
                     own.learn(Events(t, v), v)
                     used += len(t.hash)
             if used:
-                part = np.append(own.flat().astype(np.float64) * used, used)
-                yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()])], ["part"])
+                yield _sent([(-1, np.zeros(1, "<i4"), np.full((1, 1), used, "<f4")), *own.moved(shared.value, used)])
 
         mine = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn)
-        total = summed(mine.mapInArrow(learn, "part binary"), Weights.LENGTH + 1)
-        if total[-1]:
-            weights = Weights(total[:-1] / total[-1])
+        moved = _added(mine.mapInArrow(learn, MOVED))
+        if moved:
+            used = float(moved.pop(-1)[1][0, 0])
+            for chunk, (rows, values) in moved.items():
+                weights.move(chunk, rows, values / np.float32(used))
             for table in weights.tables:
                 table *= 1 - DECAY
         shared.unpersist()
