@@ -55,23 +55,52 @@ def cosine_pairs(vectors: DataFrame, least: float, block: int = 2000, hours: flo
     return dealt.groupBy("x", "y").applyInPandas(near, "a long, b long, cosine double")
 
 
-def jaccard_pairs(sets: DataFrame, least: float, within: str) -> DataFrame:
+#: Longs of a set's sketch, which has a bit for each element.
+SKETCH = 4
+
+
+def sketch(members: Column, name: str) -> list[Column]:
+    """The sketch of an array: ``SKETCH`` longs with a bit for each element."""
+    def part(i: int) -> Column:
+        own = lambda x: F.when(F.pmod(F.xxhash64(x), F.lit(SKETCH)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.floor(F.xxhash64(x) / SKETCH), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        return F.aggregate(members, F.lit(0).cast("long"), lambda out, x: out.bitwiseOR(own(x)))
+
+    return [part(i).alias(f"{name}{i}") for i in range(SKETCH)]
+
+
+def missing(part: str, whole: str) -> Column:
+    """At most as many as the elements of ``part`` that ``whole`` lacks, by their sketches."""
+    bits = [F.bit_count(F.col(f"{part}{i}").bitwiseAND(F.bitwise_not(F.col(f"{whole}{i}")))) for i in range(SKETCH)]
+    return sum(bits[1:], bits[0])
+
+
+def jaccard_pairs(sets: DataFrame, least: float, within: str, fresh: str | None = None) -> DataFrame:
     """(a, b, jaccard) of pairs of ``sets`` (id, members, ``within``) of one ``within`` that are near enough.
 
     Exact, by prefix filter: elements are ordered by rarity, and near sets share one of the first
-    n - ceil(t n) + 1; only those are joined, then whole sets confirm. Give each different set once.
+    n - ceil(t n) + 1; only those are joined. The join drops pairs whose sketches differ in more bits
+    than near sets have different elements, so that what rare elements many sets have in common, as a
+    phrase, makes no rows; whole sets confirm the rest. Give each different set once. With
+    ``fresh``, a boolean column, pairs of two sets that aren't fresh are left out and never made.
     """
-    flat = sets.select("id", within, F.size("members").alias("n"), F.explode("members").alias("m"))
+    own = [within] if fresh is None else [within, fresh]
+    bit = F.xxhash64("m")
+    flat = sets.select("id", *own, F.size("members").alias("n"), F.explode("members").alias("m")).withColumn("h", bit)
     often = flat.groupBy(within, "m").agg(F.count("*").alias("often"))
-    ranked = flat.join(often, [within, "m"]).groupBy("id", within, "n").agg(F.array_sort(F.collect_list(F.struct("often", "m"))).alias("ms"))
+    sketch = [F.bit_or(F.when(F.pmod("h", F.lit(SKETCH)) == i, F.expr(f"shiftleft(1L, cast(pmod(h div {SKETCH}, 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
+    ranked = flat.join(often, [within, "m"]).groupBy("id", *own, "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("ms"), *sketch)
     length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
-    prefix = ranked.select("id", within, "n", F.posexplode(F.slice("ms", F.lit(1), length)).alias("i", "p")).select("id", within, "n", "i", "p.m")
-    a, b = prefix.alias("a"), prefix.alias("b")
+    bits = [f"s{i}" for i in range(SKETCH)]
+    prefix = ranked.select("id", *own, "n", *bits, F.posexplode(F.slice("ms", F.lit(1), length)).alias("i", "p")).withColumn("key", F.xxhash64(within, "p.h")).drop("p")
+    a, b = (prefix.where(fresh) if fresh else prefix).alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
     # the first element that near sets share leaves enough behind it in both
     enough = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) >= least / (1 + least) * (F.col("a.n") + F.col("b.n")) - 1e-9
-    pairs = a.join(b, (F.col(f"a.{within}") == F.col(f"b.{within}")) & (F.col("a.m") == F.col("b.m")) & (F.col("a.id") < F.col("b.id")) & sized & enough)
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in bits[1:]), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+    alike = apart <= (1 - least) / (1 + least) * (F.col("a.n") + F.col("b.n")) + 1e-9
+    once = (F.col("a.id") < F.col("b.id")) if fresh is None else (F.col("a.id") < F.col("b.id")) | (~F.col(f"b.{fresh}") & (F.col("a.id") != F.col("b.id")))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{within}") == F.col(f"b.{within}")) & once & sized & enough & alike)
+    pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     of = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"of_{side}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", jaccard(F.col("of_a"), F.col("of_b")).alias("jaccard"))
     return near.where(F.col("jaccard") >= least - 1e-9)
