@@ -14,6 +14,7 @@ def shuffled(spark, sf_dir, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("shuffled"))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.repartition(20, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(10, F.xxhash64("doc_id")).write.parquet(f"{folder}/documents.parquet")
     assert sum(x.endswith(".parquet") for x in os.listdir(f"{folder}/events.parquet")) > 8
     return folder
 

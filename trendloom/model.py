@@ -29,7 +29,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts from documents: one row each."""
-    return read(spark, sf_dir, "documents").selectExpr(
+    return posts_of(read(spark, sf_dir, "documents"))
+
+
+def posts_of(documents: DataFrame) -> DataFrame:
+    """The same of documents that come as a stream."""
+    return documents.selectExpr(
         "doc_id AS id", f"coalesce(try_element_at(array({_LIST(SOURCES)}), try_cast(substring(source, 4) AS INT) + 1), source) AS source_key", "upper(source) AS source_name",
         "CASE lang WHEN 'en' THEN 'news' WHEN 'fr' THEN 'community' WHEN 'es' THEN 'video' ELSE 'portal' END AS category",
         "CASE WHEN doc_id % 4 <> 0 THEN concat('sub', doc_id % 6) END AS subcategory",

@@ -74,16 +74,19 @@ def near_in_time(p: DataFrame, key: str, hours: int) -> DataFrame:
     return same.unionByName(ends.join(following, ["k", "span"]).where(F.col("next.t") - F.col("last.t") <= hours * 3_600_000_000).select(F.col("last.id").alias("a"), F.col("next.id").alias("b")))
 
 
-def alike_in_time(p: DataFrame, hours: int, c=DEFAULT) -> DataFrame:
-    """Links (a, b) between near titles of one category, not more than ``hours`` apart, of posts (id, at, category, norm)."""
+def alike_in_time(p: DataFrame, hours: int, c=DEFAULT, fresh: str | None = None) -> DataFrame:
+    """Links (a, b) between near titles of one category, not more than ``hours`` apart, of posts (id, at, category, norm).
+
+    With ``fresh``, a boolean column, only those that a fresh post's title has a part in.
+    """
     span = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (hours * 3_600_000_000)).alias("span")
-    rows = p.where(F.length("norm") >= c.title_length).select("id", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "category", "norm", span)
+    rows = p.where(F.length("norm") >= c.title_length).select("id", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "category", "norm", span, *([fresh] if fresh else []))
     # each title of a category and span once; spans meet the ones after them
-    ends = rows.groupBy("category", "norm", "span").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"))
+    ends = rows.groupBy("category", "norm", "span").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"), *([F.bool_or(fresh).alias(fresh)] if fresh else []))
     ends = work_table(ends.withColumn("id", F.xxhash64("category", "norm", "span")), "titles")
-    met = ends.select("id", "norm", F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("s"), "category").withColumn("within", F.concat_ws(" ", "category", "s"))
-    grams = sim.jaccard_pairs(met.select("id", "within", bigrams(F.col("norm")).alias("members")), c.bigram_jaccard, "within")
-    words = sim.jaccard_pairs(met.select("id", "within", title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2"), c.word_jaccard, "within")
+    met = ends.select("id", "norm", *([fresh] if fresh else []), F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("s"), "category").withColumn("within", F.concat_ws(" ", "category", "s"))
+    grams = sim.jaccard_pairs(met.select("id", "within", *([fresh] if fresh else []), bigrams(F.col("norm")).alias("members")), c.bigram_jaccard, "within", fresh)
+    words = sim.jaccard_pairs(met.select("id", "within", *([fresh] if fresh else []), title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2"), c.word_jaccard, "within", fresh)
     pairs = grams.select("a", "b").unionByName(words.select("a", "b")).distinct()
     of = lambda side: ends.select(F.col("id").alias(side), F.col("span").alias(f"span_{side}"), F.col("first").alias(f"first_{side}"), F.col("last").alias(f"last_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
