@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trendloom.model import as_of, posts
 from trendloom.operators import sinks
 from trendloom.plans.streams import last_events
-from trendloom.sources import feeds
+from trendloom.sources import feeds, selectors
 
 
 def rows(df):
@@ -61,7 +61,7 @@ def test_items_of_json_and_xml(spark):
 def test_articles(spark):
     long = "w" * 99 + "!"
     pages = [(f"<body><p>{'b' * 120}</p><article><script>'</p>'</script><p>short<p>{long}<!-- x --></article></body>",), (f"<article><p>tiny tiny tiny</p></article><main><p a>{long}</p></main>",), ("<p>none</p>",), (None,), ("",)]
-    got = [r.b for r in spark.createDataFrame(pages, "html string").coalesce(1).select(feeds.article_body(F.col("html")).alias("b")).collect()]
+    got = [r.b for r in spark.createDataFrame(pages, "html string").coalesce(1).select(selectors.article_bodies(F.col("html"), F.lit("https://ex.test/1")).alias("b")).collect()]
     assert got == [long, long, None, None, None]
 
 

@@ -179,13 +179,29 @@ def parse_korean_date(text: Column, as_of: Column) -> Column:
     return F.coalesce(relative, F.to_utc_timestamp(F.coalesce(full, month, clock), "Asia/Seoul"))
 
 
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
 def parse_feed_date(text: Column) -> Column:
-    """A UTC timestamp from the usual feed dates; without a zone, Korean time; else null."""
-    clean = F.trim(F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), r"\bGMT$|\bUTC$", "+0000"))
-    zoned = [F.try_to_timestamp(clean, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss'Z'")]
-    bare = F.regexp_replace(clean, r"[./]", "-")
+    """A UTC timestamp from the usual feed dates; without a zone, Korean time; else null.
+
+    Months may be names or numbers ("Sat, 11 04 2026 10:00:00 +0900"), dates dotted ("2024.10.29") or Korean
+    ("2024년 10월 29일 오후 3:05:00", without a time midnight).
+    """
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", ""), r"\b(?:GMT|UTC|Z)$", "+0000"))
+    month = F.regexp_extract(clean, r"^\d{1,2}\s+(\d{2})\s+\d{4}\s", 1).try_cast("int")
+    named = F.regexp_replace(clean, r"^(\d{1,2})\s+\d{2}\s+(\d{4}\s)", "$1 # $2")
+    clean = F.when(month.between(1, 12), F.replace(named, F.lit("#"), F.get(F.array(*[F.lit(m) for m in MONTHS]), month - 1))).otherwise(clean)
+    zoned = [F.try_to_timestamp(clean, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ssZ")]
+    bare = F.regexp_replace(F.regexp_replace(clean, r"[./]", "-"), r"^(\d{4}-\d{2}-\d{2})T", "$1 ")
     local = [F.try_to_timestamp(bare, F.lit(p)) for p in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")]
-    return F.coalesce(*zoned, F.to_utc_timestamp(F.coalesce(*local), "Asia/Seoul"))
+    day = F.regexp_extract(clean, r"^(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일", 0)
+    clock = F.regexp_extract(clean, r"(\d{1,2}):(\d{2}):(\d{2})", 0)
+    hour = F.coalesce(F.regexp_extract(clock, r"^(\d{1,2}):", 1).try_cast("int"), F.lit(0))
+    hour = F.when(F.contains(clean, F.lit("오후")) & (hour < 12), hour + 12).when(F.contains(clean, F.lit("오전")) & (hour == 12), 0).otherwise(hour)
+    rest = F.when(clock == "", ":00:00").otherwise(F.regexp_extract(clock, r"^\d{1,2}(:\d{2}:\d{2})$", 1))
+    korean = F.when(day != "", F.try_to_timestamp(F.concat(F.regexp_replace(F.regexp_replace(day, r"\s", ""), "[년월]", "-"), F.lit(" "), hour.cast("string"), rest), F.lit("yyyy-M-d일 H:mm:ss")))
+    return F.coalesce(*zoned, F.to_utc_timestamp(F.coalesce(*local, korean), "Asia/Seoul"))
 
 
 def not_future(at: Column, as_of: Column, hours: int = 1) -> Column:

@@ -9,15 +9,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.text import not_future, parse_feed_date, traffic
 
 RSS = "channel struct<item:array<struct<title:string,link:string,guid:string,pubDate:string,category:string,description:string>>>"
 TRENDS = "channel struct<item:array<struct<title:string,approx_traffic:string,picture:string>>>"
-#: Hosts' article elements, tried in order; a rule fits its host and all subdomains.
-ARTICLE_TAGS = ("article", "main", "body")
-LEAST_BODY, MOST_BODY, LEAST_PARAGRAPH = 100, 4000, 10
 
 
 class _Address(InputPartition):
@@ -26,7 +23,10 @@ class _Address(InputPartition):
 
 
 class PageSource(DataSource):
-    """``spark.read.format("pages").option("urls", "a b").load()``: url, body (null if it failed), error."""
+    """``spark.read.format("pages").option("urls", "a b").load()``: url, body (null if it failed), error.
+
+    ``spark.readStream`` polls the addresses: a page comes when it is first there and when it has changed.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -38,6 +38,9 @@ class PageSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _PageReader(self.options.get("urls", "").split(), float(self.options.get("timeout", 30)))
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _PagePoll(self.options.get("urls", "").split(), float(self.options.get("timeout", 30)))
+
 
 class _PageReader(DataSourceReader):
     def __init__(self, urls: list[str], timeout: float):
@@ -47,15 +50,54 @@ class _PageReader(DataSourceReader):
         return [_Address(u) for u in self.urls]
 
     def read(self, partition):
+        if partition is not None:
+            yield _fetched(partition.url, self.timeout)
+
+
+def _fetched(url: str, timeout: float) -> tuple:
+    import urllib.request
+
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:
+            return url, answer.read(), None
+    except (OSError, ValueError) as e:  # one source that fails must not stop the others
+        return url, None, str(e)[:500]
+
+
+class _PagePoll(DataSourceStreamReader):
+    """An offset is each address's state: the mark of the page that was there last. Spark logs it, so a stream
+    that is started anew knows which pages have come; only those whose mark differs are fetched, one task each."""
+
+    def __init__(self, urls: list[str], timeout: float):
+        self.urls, self.timeout = urls, timeout
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return {url: mark for url in self.urls if (mark := self._mark(url)) is not None}
+
+    def _mark(self, url: str) -> str | None:
+        """What tells a page's versions apart: its tag or date if the answer's head has one, else a hash of it; null if it fails."""
+        import hashlib
         import urllib.request
 
-        if partition is None:
-            return
         try:
-            with urllib.request.urlopen(partition.url, timeout=self.timeout) as answer:
-                yield partition.url, answer.read(), None
-        except (OSError, ValueError) as e:  # one source that fails must not stop the others
-            yield partition.url, None, str(e)[:500]
+            with urllib.request.urlopen(urllib.request.Request(url, method="HEAD"), timeout=self.timeout) as answer:
+                head = answer.headers.get("ETag") or answer.headers.get("Last-modified")
+                size = answer.headers.get("Content-length")
+            if head:
+                return f"{head} {size}"
+            with urllib.request.urlopen(url, timeout=self.timeout) as answer:
+                return hashlib.sha256(answer.read()).hexdigest()
+        except (OSError, ValueError):
+            return None
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Address(url) for url, mark in end.items() if start.get(url) != mark]
+
+    def read(self, partition):
+        yield _fetched(partition.url, self.timeout)
 
 
 def decode(body: Column, charset: str = "utf-8") -> Column:
@@ -85,6 +127,27 @@ def rss_posts(fetched: DataFrame, as_of: Column, most: int = 30) -> DataFrame:
     return out.where("url != ''")
 
 
+#: Atom entries with their media group, by local names.
+VIDEOS = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,id:string,published:string,updated:string,author:struct<name:string>,group:struct<thumbnail:array<struct<_url:string>>,description:string>>>"
+SNIPPET, NO_TITLE = 500, "(제목 없음)"
+
+
+def video_posts(fetched: DataFrame, as_of: Column, most: int = 30) -> DataFrame:
+    """(source_key, body) -> the first ``most`` entries of each Atom feed of videos: thumbnail and description are nested
+    in the entry's media group. One parse makes typed rows; a body that is no feed has none."""
+    feed = F.from_xml("body", VIDEOS, {"ignoreNamespace": "true"})
+    items = fetched.select("source_key", F.posexplode(feed.entry).alias("at", "i")).where(F.col("at") < most)
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    links = F.col("i.link")
+    own = F.coalesce(F.get(F.filter(links, lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate")), F.lit(0)), F.get(links, F.lit(0)))
+    out = items.select(
+        "source_key", F.coalesce(text(F.col("i.title")), F.lit(NO_TITLE)).alias("title"), F.trim(F.coalesce(own["_href"], F.col("i.id"))).alias("url"),
+        F.get(F.col("i.group.thumbnail"), F.lit(0))["_url"].alias("thumbnail"), text(F.substring(F.col("i.group.description"), 1, SNIPPET)).alias("content_snippet"),
+        text(F.col("i.author.name")).alias("author"), not_future(parse_feed_date(F.coalesce("i.published", "i.updated")), as_of).alias("published_at"),
+    )
+    return out.where("url != ''")
+
+
 def sections(items: DataFrame, most: int, n: int) -> DataFrame:
     """(section, place, url, ...) of ``n`` sections: each gives max(5, most / n) items; of a url the first section's stays."""
     quota = max(5, most // n)
@@ -130,22 +193,6 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(both).alias("place", "l")).select("page_id", F.col("place").cast("long").alias("place"), "l.href", F.trim("l.label").alias("label"))
 
 
-def article_body(html: Column) -> Column:
-    """A page's article text: the first of ``ARTICLE_TAGS`` whose paragraphs give enough, cut at 4,000 characters; else null.
-
-    Scripts, styles and comments go first; a paragraph ends at its end tag or at the next one's start.
-    """
-    clean = F.regexp_replace(html, r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->", "")
-
-    def within(tag: str) -> Column:
-        inner = F.regexp_extract(clean, rf"(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>", 1)
-        parts = F.transform(F.split(inner, r"</?p(?: [^>]*)?>"), lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"<[^>]*>", ""), r"[ \t\r\n]+", " ")))
-        body = F.concat_ws(" ", F.filter(parts, lambda p: F.length(p) >= LEAST_PARAGRAPH))
-        return F.when(F.length(body) >= LEAST_BODY, F.substring(body, 1, MOST_BODY))
-
-    return F.coalesce(*[within(t) for t in ARTICLE_TAGS])
-
-
 def forecast(items: DataFrame) -> DataFrame:
     """Long weather rows (city, hour, category, value) -> a row an hour, the first 48 of each city, defaults for what is missing."""
     value = lambda c: F.max(F.when(F.col("category") == c, F.col("value")))
