@@ -134,15 +134,25 @@ QUERIES = {f.__name__: f for f in (page_titles, page_links, page_articles, page_
 _LINK = '<a[^>]*href="([^"]*)"[^>]*>([^<]*)</a>'
 
 
+def _plain(html: str) -> str:
+    """Text of markup, as test pages have it."""
+    plain = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        plain = f"replace({plain}, '{a}', '{b}')"
+    return plain
+
+
+def _spaced(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '[\s\x{{A0}}]+', ' ', 'g'))"
+
+
 def _article(tag: str) -> str:
-    """Paragraphs within ``tag``, as test pages have them: one ends at its end tag or where the next begins."""
+    """Paragraphs within ``tag``, which end at their end tags or where the next block begins, and all text within."""
     inner = f"regexp_extract(clean, '(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1)"
-    plain = "regexp_replace(string_split_regex(p, '</p>|<(?:div|ul|ol|table|section|article|main|header|footer|form|h[1-6]|blockquote|figure|aside|pre)[ >]')[1], '<[^>]*>', '', 'g')"
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
-        plain = f"replace({plain}, '{a}', '{b}')"
-    # Python's strip and white space
-    parts = rf"list_transform(string_split_regex({inner}, '<p(?: [^>]*)?>')[2:], lambda p: regexp_replace({plain}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"
-    return rf"trim(regexp_replace(array_to_string(list_filter({parts}, lambda p: length(p) >= {selectors.LEAST_PARAGRAPH}), ' '), '[\s\x{{A0}}]+', ' ', 'g')) AS {tag}"
+    ended = "string_split_regex(p, '</p>|<(?:div|ul|ol|table|section|article|main|header|footer|form|h[1-6]|blockquote|figure|aside|pre)[ >]')[1]"
+    parts = rf"list_transform(string_split_regex({inner}, '<p(?: [^>]*)?>')[2:], lambda p: regexp_replace({_plain(ended)}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"
+    joined = f"array_to_string(list_filter({parts}, lambda p: length(p) >= {selectors.LEAST_PARAGRAPH}), ' ')"
+    return f"{_spaced(joined)} AS {tag}_p, {_spaced(_plain(inner))} AS {tag}"
 
 
 def _value(category: str, default: str) -> str:
@@ -157,7 +167,7 @@ ORACLE_SQL = {
       SELECT page_id, i - 1 AS place, h[i] AS href, trim(t[i]) AS label FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM l)""",
     "page_articles": f"""WITH c AS (SELECT page_id, regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS clean FROM pages),
       a AS (SELECT page_id, {", ".join(_article(t) for t in ("article", "main", "body"))} FROM c),
-      b AS (SELECT page_id, CASE {" ".join(f"WHEN length({t}) >= {selectors.LEAST_BODY} THEN substring({t}, 1, {selectors.MOST_BODY})" for t in ("article", "main", "body"))} END AS body FROM a) SELECT * FROM b WHERE body IS NOT NULL""",
+      b AS (SELECT page_id, CASE {" ".join(f"WHEN length({t}) >= {selectors.LEAST_BODY} THEN substring({t}, 1, {selectors.MOST_BODY})" for t in ("article_p", "article", "main_p", "main", "body_p", "body"))} END AS body FROM a) SELECT * FROM b WHERE body IS NOT NULL""",
     "page_rows": """WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1), '<li>(.*?)</li>', 1)) AS li, generate_subscripts(regexp_extract_all(regexp_extract(html, '(?s)<nav><ul>(.*?)</ul></nav>', 1), '<li>(.*?)</li>', 1), 1) - 1 AS place FROM pages)
       SELECT page_id, place, replace(regexp_extract(li, 'href="([^"]*)"', 1), '&amp;', '&') AS href, replace(regexp_extract(li, '>([^<]*)</a>', 1), '&amp;', '&') AS label FROM n""",
     "video_feeds": f"""WITH {POSTS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY scraped_at DESC, id) AS rn FROM posts WHERE length(trim(title)) > 0 AND source_key IS NOT NULL)
