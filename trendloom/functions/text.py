@@ -158,8 +158,8 @@ def traffic(text: Column) -> Column:
 def short_count(n: Column) -> Column:
     """12345 -> 12.3K, 1200000 -> 1.2M."""
     return (
-        F.when(n >= 1_000_000, F.concat(F.format_number(n / 1_000_000, "0.0"), F.lit("M")))
-        .when(n >= 1000, F.concat(F.format_number(n / 1000, "0.0"), F.lit("K")))
+        F.when(n >= 1_000_000, F.concat(F.call_function("format_number", n / 1_000_000, F.lit("0.0")), F.lit("M")))
+        .when(n >= 1000, F.concat(F.call_function("format_number", n / 1000, F.lit("0.0")), F.lit("K")))
         .otherwise(n.cast("string"))
     )
 

@@ -85,3 +85,17 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     counts = parts.groupBy("__range").agg(F.count("*").alias("__n")).select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     return parts.withColumn("__own", own).join(F.broadcast(counts), "__range").withColumn("rank", (F.col("__own") + F.col("__before")).cast("long")).drop("__range", "__own", "__before")
+
+
+def places(df: DataFrame, keys: list[str], *order: Column, name: str = "place") -> DataFrame:
+    """All rows with their place (1 and on) among those of one key, by ``order``, which tells a key's rows apart.
+
+    Rows are ranked over ranges of key and order, and a key's first rank is taken off; so a large key is no one task's work.
+    """
+    # rows are carried whole, as they may have a rank of their own
+    rows = df.withColumn("__row", F.struct(*df.columns))
+    at = work_table(ranked(rows, *[F.col(k) for k in keys], *order).select("__row", *keys, "rank"), "places")
+    first = at.groupBy(*keys).agg(F.min("rank").alias("first"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    joined = at.alias("r").join(first.alias("f"), same)
+    return joined.select(*[F.col(f"r.__row.{c}").alias(c) for c in df.columns], (F.col("r.rank") - F.col("f.first") + 1).alias(name))

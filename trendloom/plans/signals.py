@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CATEGORY_WEIGHT, DEFAULT, DEFAULT_SOURCE_WEIGHT, SOURCE_WEIGHT
 from ..functions.maths import age_minutes, decay, freshness_signal, lookup
 from ..functions.text import topic_tokens
 from ..model import AS_OF, POSTS_SQL, as_of, case_of, comments, posts
+from ..operators.scoring import places
 from .issues import topic_tokens_sql
 from .posts import FLASH
 
@@ -105,8 +106,8 @@ def gated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def masked_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments with deleted bodies masked, and their place among those of a post by votes, then age."""
     c = comments(spark, sf_dir).select("post_id", "id", "body", ((F.col("post_id") * 31 + F.col("id") * 17) % 23 - 5).cast("long").alias("score"), ((F.col("post_id") + F.col("id")) % 9 == 0).alias("deleted"))
-    best = Window.partitionBy("post_id").orderBy(F.desc("score"), "id")
-    return c.select("post_id", "id", F.when(F.col("deleted"), DELETED).otherwise(F.substring("body", 1, 40)).alias("body"), "score", F.row_number().over(best).cast("long").alias("place"))
+    masked = c.select("post_id", "id", F.when(F.col("deleted"), DELETED).otherwise(F.substring("body", 1, 40)).alias("body"), "score")
+    return places(masked, ["post_id"], F.desc("score"), F.col("id"))
 
 
 def older_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,7 @@ def older_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts by hour of each category, scaled to 0..1 between the least and the most of the category; 0.5 if all are alike."""
+    """Posts by day of each category, scaled to 0..1 between the least and the most of the category; 0.5 if all are alike."""
     h = posts(spark, sf_dir).groupBy("category", F.date_trunc("day", "scraped_at").alias("at")).agg(F.sum("view_count").cast("long").alias("views"))
     span = h.groupBy("category").agg(F.min("views").alias("low"), F.max("views").alias("high"))
     scaled = F.when(F.col("high") > F.col("low"), (F.col("views") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.5)

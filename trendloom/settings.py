@@ -102,3 +102,15 @@ def settings(spark: SparkSession, stored: DataFrame) -> DataFrame:
     """Every setting with its value, the stored one or its default, its bounds, and whether it was changed."""
     own = stored.select("group", "key", F.col("value").alias("set"))
     return bounds(spark).join(own, ["group", "key"], "left").select("group", "key", "kind", F.coalesce("set", "default").alias("value"), "least", "greatest", "step", F.col("set").isNotNull().alias("changed"))
+
+
+# Features that can be switched off and on, and their defaults.
+FLAGS = {"embeddings_enabled": True, "gemini_summary_enabled": True, "cross_validation_enabled": True, "scoring_track_b_enabled": False, "scoring_v8_enabled": True}
+
+
+def flags(stored: DataFrame) -> DataFrame:
+    """(flag, enabled): a default that is on goes off by the value ``false`` alone, one that is off goes on by ``true`` alone."""
+    default = stored.sparkSession.createDataFrame(list(FLAGS.items()), "flag string, usual boolean")
+    own = stored.where("group = 'feature_flags'").select(F.col("key").alias("flag"), F.trim("value").alias("value"))
+    enabled = F.when(F.col("usual"), ~F.col("value").eqNullSafe("false")).otherwise(F.col("value").eqNullSafe("true"))
+    return default.join(own, "flag", "left").select("flag", enabled.alias("enabled"))

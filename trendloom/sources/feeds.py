@@ -224,3 +224,34 @@ def visitor_trend(items: DataFrame, most: int = 10) -> DataFrame:
     ).where("days >= 2")
     change = F.when(F.col("before") > 0, F.floor((F.col("recent") - F.col("before")) / F.col("before") * 100 + 0.5)).otherwise(0)
     return out.select("region", F.round("recent", 4).alias("recent"), F.round(F.coalesce("before", F.lit(0.0)), 4).alias("before"), change.cast("long").alias("change_pct"), "latest").orderBy(F.desc(F.abs("change_pct")), "region").limit(most)
+
+
+# Page names that are no topics.
+NO_TOPICS = ("위키백과:", "특수:", "분류:", "틀:", "포털:", "사용자:", "모듈:")
+ALWAYS = "대한민국"
+
+
+def page_views(fetched: DataFrame, most: int = 30) -> DataFrame:
+    """(source_key, body: JSON of the day's most read pages) -> keywords: the first ``most`` that are topics, strength by views, 1 at 100,000."""
+    pages = F.from_json("body", "items array<struct<articles:array<struct<article:string,views:long,rank:long>>>>")
+    articles = F.get(pages["items"], F.lit(0))["articles"]
+    topic = lambda a: ~F.coalesce(a["article"].rlike("^(" + "|".join(NO_TOPICS) + ")"), F.lit(True)) & (a["article"] != ALWAYS)
+    items = fetched.select("source_key", F.explode(F.slice(F.filter(articles, topic), 1, most)).alias("a"))
+    return items.select("source_key", F.replace("a.article", F.lit("_"), F.lit(" ")).alias("keyword"), F.least(F.col("a.views") / 100_000, F.lit(1.0)).alias("signal_strength"), F.col("a.rank").alias("rank_position"), F.col("a.views").alias("views"))
+
+
+CITY = "CITYDATA struct<LIVE_PPLTN_STTS:struct<LIVE_PPLTN_STTS:struct<AREA_CONGEST_LVL:string,AREA_CONGEST_MSG:string,AREA_PPLTN_MIN:string,AREA_PPLTN_MAX:string,PPLTN_TIME:string>>>"
+
+
+def people(n: Column) -> Column:
+    """12345 -> 1.2만, 20000 -> 2만, 9876 -> 9,876."""
+    tens = F.call_function("format_number", F.floor(n / 1000 + 0.5) / 10, F.lit("0.0"))
+    return F.when(n >= 10_000, F.concat(F.regexp_replace(tens, r"\.0$", ""), F.lit("만"))).otherwise(F.call_function("format_number", n, F.lit("#,##0")))
+
+
+def city_records(fetched: DataFrame) -> DataFrame:
+    """(area, body: XML) -> how crowded an area is: level, message, least and most people, when; areas without a record are left out."""
+    r = F.from_xml("body", CITY)["CITYDATA"]["LIVE_PPLTN_STTS"]["LIVE_PPLTN_STTS"]
+    number = lambda c: F.coalesce(r[c].try_cast("long"), F.lit(0).cast("long"))
+    out = fetched.where(r.isNotNull()).select("area", F.coalesce(r["AREA_CONGEST_LVL"], F.lit("측정중")).alias("level"), F.coalesce(r["AREA_CONGEST_MSG"], F.lit("")).alias("message"), number("AREA_PPLTN_MIN").alias("least"), number("AREA_PPLTN_MAX").alias("most"), F.coalesce(r["PPLTN_TIME"], F.lit("")).alias("measured_at"))
+    return out.withColumn("title", F.concat("area", F.lit(": "), "level", F.lit(" (인구 약 "), people(F.col("least")), F.lit("~"), people(F.col("most")), F.lit("명)")))
