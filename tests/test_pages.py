@@ -1,11 +1,10 @@
-"""Views and pages beside their SQL, and single cases of what they are made of."""
+"""Single cases of what views and pages are made of; test_plans compares them with their SQL."""
 
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
-from compare import compare, duck_of
 from trendloom import settings
 from trendloom.functions.text import short_count
 from trendloom.operators.scoring import places
@@ -13,11 +12,6 @@ from trendloom.plans import pages
 from trendloom.sources import feeds
 
 
-@pytest.mark.parametrize("name", sorted(pages.QUERIES))
-def test_registered(spark, sf_dir, name):
-    assert compare(spark, duck_of(sf_dir), pages.QUERIES[name], pages.ORACLE_SQL[name], sf_dir) == ""
-
-
 def test_places_of_a_large_key(spark):
     """A third of all rows under one key, another null; columns named as those that places are made with."""
     rows = [(None if i % 5 == 0 else "hot" if i % 3 == 0 else f"k{i % 7}", (i * 37) % 101, i, i) for i in range(400)]

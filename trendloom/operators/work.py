@@ -26,3 +26,8 @@ def work_table(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to all shuffle partitions: for narrow rows whose next step is costly, which otherwise meet in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

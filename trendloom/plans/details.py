@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.maths import change_rate
-from ..functions.text import normalize_title
+from ..functions.text import normalize_title, video_id
 from ..model import AS_OF, POSTS_SQL, as_of, posts, read
 from ..operators.scoring import score_posts, top_per
 from ..operators.sinks import merge
@@ -202,12 +202,6 @@ def judge_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(read(spark, sf_dir, "labels").select(F.when(i % 7 != 0, i % 11).alias("coherence"), F.when(i % 5 != 0, F.col("quality") * 10).alias("title_quality"), (i % 3 - 1).alias("outliers"), (i % 10 / 1000).alias("cost")))
 
 
-def video_id(url: Column) -> Column:
-    """The id in a video's address: ``v=``, the short host, or an embedded player."""
-    shapes = (r"[?&]v=([a-zA-Z0-9_-]{11})", r"youtu\.be/([a-zA-Z0-9_-]{11})", r"/embed/([a-zA-Z0-9_-]{11})")
-    return F.coalesce(*[F.nullif(F.regexp_extract(url, s, 1), F.lit("")) for s in shapes])
-
-
 def video_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of video posts after a look-up by video: each only grows; whether a snapshot is taken."""
     i, p = F.col("id"), posts(spark, sf_dir).where("category = 'video'")

@@ -148,7 +148,7 @@ def _spaced(text: str) -> str:
 
 def _article(tag: str) -> str:
     """Paragraphs within ``tag``, which end at their end tags or where the next block begins, and all text within."""
-    inner = f"regexp_extract(clean, '(?s)<{tag}(?: [^>]*)?>(.*?)</{tag}>', 1)"
+    inner = f"regexp_extract(clean, '(?s)<{tag}(?: [^>]*)?>(.*?)(?:</{tag}>|$)', 1)"
     ended = "string_split_regex(p, '</p>|<(?:div|ul|ol|table|section|article|main|header|footer|form|h[1-6]|blockquote|figure|aside|pre)[ >]')[1]"
     parts = rf"list_transform(string_split_regex({inner}, '<p(?: [^>]*)?>')[2:], lambda p: regexp_replace({_plain(ended)}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g'))"
     joined = f"array_to_string(list_filter({parts}, lambda p: length(p) >= {selectors.LEAST_PARAGRAPH}), ' ')"

@@ -12,7 +12,7 @@ from ..functions.text import bigrams, fingerprint, hangul_tokens, normalize_titl
 from ..model import AS_OF, POSTS_SQL, as_of, case_of, posts, read
 from ..operators import similarity as sim
 from ..operators.scoring import authority, channel, ranked, score_posts, top_per, topic_importance
-from ..operators.work import work_table
+from ..operators.work import spread, work_table
 from .posts import AUTHORITY_SQL, FINAL_SQL, NORMAL_SQL, SCORED_SQL, H
 
 #: Vectors of the test tables are far apart.
@@ -47,16 +47,16 @@ def echo(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each different normalised title of a category once, with its least id."""
     df = posts(spark, sf_dir).select("id", "category", normalize_title(F.col("title")).alias("norm")).where("length(norm) >= 8")
-    return work_table(df.groupBy("category", "norm").agg(F.min("id").alias("id")), "titles")
+    return df.groupBy("category", "norm").agg(F.min("id").alias("id"))
 
 
 def bigram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _distinct_titles(spark, sf_dir).select("id", "category", bigrams(F.col("norm")).alias("members"))
+    sets = work_table(spread(_distinct_titles(spark, sf_dir), "id").select("id", "category", bigrams(F.col("norm")).alias("members")), "grams")
     return sim.jaccard_pairs(sets, 0.8, "category").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def word_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _distinct_titles(spark, sf_dir).select("id", "category", title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2")
+    sets = work_table(spread(_distinct_titles(spark, sf_dir), "id").select("id", "category", title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2"), "words")
     return sim.jaccard_pairs(sets, 0.65, "category").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -85,8 +85,9 @@ def alike_in_time(p: DataFrame, hours: int, c=DEFAULT, fresh: str | None = None)
     ends = rows.groupBy("category", "norm", "span").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"), *([F.bool_or(fresh).alias(fresh)] if fresh else []))
     ends = work_table(ends.withColumn("id", F.xxhash64("category", "norm", "span")), "titles")
     met = ends.select("id", "norm", *([fresh] if fresh else []), F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("s"), "category").withColumn("within", F.concat_ws(" ", "category", "s"))
-    grams = sim.jaccard_pairs(met.select("id", "within", *([fresh] if fresh else []), bigrams(F.col("norm")).alias("members")), c.bigram_jaccard, "within", fresh)
-    words = sim.jaccard_pairs(met.select("id", "within", *([fresh] if fresh else []), title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2"), c.word_jaccard, "within", fresh)
+    met = work_table(spread(met, "id").select("id", "within", *([fresh] if fresh else []), bigrams(F.col("norm")).alias("grams"), title_tokens(F.col("norm")).alias("words")), "met")
+    grams = sim.jaccard_pairs(met.drop("words").withColumnRenamed("grams", "members"), c.bigram_jaccard, "within", fresh)
+    words = sim.jaccard_pairs(met.drop("grams").withColumnRenamed("words", "members").where("size(members) >= 2"), c.word_jaccard, "within", fresh)
     pairs = grams.select("a", "b").unionByName(words.select("a", "b")).distinct()
     of = lambda side: ends.select(F.col("id").alias(side), F.col("span").alias(f"span_{side}"), F.col("first").alias(f"first_{side}"), F.col("last").alias(f"last_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -284,7 +285,7 @@ def match_trends(p: DataFrame, keywords: DataFrame, at: Column, c=DEFAULT) -> Da
     by its strongest match, of equals the least keyword, and decays by that one's age.
     """
     grams, bare = bigrams(F.col("norm")), bigrams(F.replace("norm", F.lit(" ")))
-    titled = work_table(p.select("id", "norm", grams.alias("grams"), bare.alias("bare_grams"), *sim.sketch(grams, "t"), *sim.sketch(bare, "u")), "titles")
+    titled = work_table(spread(p.select("id", "norm"), "id").select("id", "norm", grams.alias("grams"), bare.alias("bare_grams"), *sim.sketch(grams, "t"), *sim.sketch(bare, "u")), "titles")
     words = keywords.withColumn("bare", F.replace("keyword", F.lit(" "))).where(F.length("keyword") >= F.when(F.col("keyword").rlike("^[가-힯㄰-㆏]"), 2).otherwise(3))
     words = words.withColumn("grams", bigrams(F.col("keyword"))).withColumn("bare_grams", bigrams(F.col("bare")))
     # of a keyword in the title all pairs of characters are there, of one that is mostly there all but 30 %
