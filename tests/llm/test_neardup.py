@@ -145,6 +145,89 @@ def test_boilerplate_makes_no_crossings(spark, monkeypatch):
     assert len(rows) == 2 and rows[1] <= 2 * rows[0] <= 2 * 800
 
 
+def met(monkeypatch):
+    """Pairs that nodes of families have in the second round, one number for each call."""
+    seen = []
+    differences = neardup.differences
+
+    def watched(members, sets):
+        nodes, pairs = differences(members, sets)
+        sizes = [r.n for r in nodes.groupBy("node").agg({"cid": "count"}).selectExpr("`count(cid)` AS n").collect()]
+        seen.append(sum(n * (n - 1) // 2 for n in sizes) + pairs.count())
+        return nodes, pairs
+
+    monkeypatch.setattr(neardup, "differences", watched)
+    return seen
+
+
+@pytest.mark.parametrize("shared,own", [(100, 10), (100, 14), (300, 40), (60, 15)])
+def test_unlinked_families_are_linear(spark, monkeypatch, shared, own):
+    """Most text is shared, nothing is linked but planted pairs: no more pairs meet than there are documents, at either size."""
+    seen = met(monkeypatch)
+    monkeypatch.setattr(neardup, "NODE", 32)
+    for n in (300, 600):
+        texts = boilerplate(random.Random(n), n, shared, own)
+        planted = [(i, n + i) for i in range(n // 10)]
+        for i, _ in planted:
+            texts.append(texts[i][:-1] + [f"v{i}"])
+        out = neardup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+        assert {r.doc_id: r.component_id for r in out} == {i: i for i in range(n)} | {b: a for a, b in planted}
+    print("pairs", seen)
+    assert not seen or (len(seen) == 2 and seen[0] <= 300 and seen[1] <= 600)
+
+
+def test_families_within_families(spark, monkeypatch):
+    """Nested shared text, members that lack some of it, some linked, some not: as all pairs compared."""
+    seen = met(monkeypatch)
+    monkeypatch.setattr(neardup, "NODE", 8)
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(100)]
+    rows = []
+    for i in range(420):
+        text = common[: rng.choice([100, 100, 100, 94, 88])] + [f"s{i % 3}-{k}" for k in range(rng.choice([0, 4, 8]))] + [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([8, 10, 12]))]
+        rows.append((i, " ".join(text)))
+        if rng.random() < 0.2:
+            text[-rng.choice([1, 2, 5]) :] = [f"v{rng.randrange(10**9)}"]
+            rows.append((1000 + i, " ".join(text)))
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, out), key=str) == plain_groups(rows)
+    assert seen
+
+
+def test_differences_lose_no_link(spark):
+    """Sets around a common one: pairs and shared nodes connect what all pairs of sets connect."""
+    rng = np.random.default_rng(5)
+    base = np.arange(1, 61)
+    sets = []
+    for _ in range(150):
+        own = np.setdiff1d(base, rng.choice(base, rng.integers(0, 9), replace=False))
+        sets.append(np.union1d(own, rng.integers(100, 160, rng.integers(0, 14))).astype(np.uint64))
+    members = spark.createDataFrame([(7, i, i) for i in range(len(sets))], "node long, cid long, label long")
+    held = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sets)], "cid long, members binary")
+    nodes, pairs = neardup.differences(members, held)
+    meet, up = {}, list(range(len(sets)))
+    for r in nodes.collect():
+        meet.setdefault(r.node, set()).add(r.cid)
+    near = {(r.a, r.b) for r in pairs.collect()}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def linked(a, b):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        return 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+
+    assert near and all(linked(a, b) for a, b in near)
+    candidates = near | {(a, b) for c in meet.values() for a in c for b in c if a < b}
+    for a, b in candidates:
+        if linked(a, b):
+            up[top(a)] = top(b)
+    missed = [(a, b) for b in range(len(sets)) for a in range(b) if linked(a, b) and top(a) != top(b)]
+    assert not missed
+
+
 def test_sketch_threshold_loses_next_to_nothing():
     """The chance that a pair at 85 % agrees in fewer of the orders than candidates must."""
     from math import comb

@@ -7,6 +7,10 @@ do is a family: it isn't split further, but compared with its most typical membe
 piece as far as its members aren't connected yet. Independent trees repeat this to reach the target
 recall; documents that shared text keeps together for many levels get as many more trees as their
 depth needs. Candidates are confirmed on the full shingle sets, and confirmed links give the groups.
+
+Where many members of a family aren't connected, they are told apart by what they differ in from the
+family's common set: two members that differ in little are linked for certain, and any other linked
+pair shares a rare difference. So only members that share one are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACED, Bloom, materialize, mix, read, shingles, tidy
@@ -238,6 +242,14 @@ def stars(families: DataFrame, centers: DataFrame, sketches: DataFrame) -> DataF
     return members.join(pivots, "node").select("cid", "size", "low", "odd", "p", "p_size", "p_low", "p_odd").mapInArrow(_star, "a long, b long")
 
 
+def merged(families: DataFrame, centers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Families of different trees with one center as one family, so that a membership counts once."""
+    named = centers.select("node", F.xxhash64("center").alias("family"), "center")
+    members = materialize(families.join(named.select("node", "family"), "node").select(F.col("family").alias("node"), "cid").distinct(), "dup-families")
+    counts = members.groupBy("node").agg(F.count("*").alias("n"))
+    return members.join(counts, "node"), materialize(named.select(F.col("family").alias("node"), "center").dropDuplicates(["node"]), "dup-centers")
+
+
 def _blocks(n: Column, size: int = NODE // 2) -> Column:
     return F.ceil(n / size).cast("long")
 
@@ -247,16 +259,20 @@ def pieces(families: DataFrame) -> DataFrame:
     return families.select(F.xxhash64("node", F.pmod(F.xxhash64("cid", F.lit(3)), _blocks(F.col("n")))).alias("node"), "cid")
 
 
+def minorities(labelled: DataFrame) -> DataFrame:
+    """(node, n, common, others) of the families with several labels: the commonest, and how many members have another."""
+    counts = labelled.groupBy("node", "label").agg(F.count("*").alias("k"))
+    most = counts.groupBy("node").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"))
+    return most.select("node", "n", F.col("most.label").alias("common"), (F.col("n") - F.col("most.k")).alias("others")).where("others > 0")
+
+
 def crossings(labelled: DataFrame) -> DataFrame:
     """Nodes in which all members of a family with different labels meet: (node, cid, label).
 
     Most members share a family's commonest label. All others are dealt into blocks, which meet
     each block of the family, so that a node holds 2 NODE at most; the rows are as many as the family has, times blocks of the others.
     """
-    counts = labelled.groupBy("node", "label").agg(F.count("*").alias("k"))
-    most = counts.groupBy("node").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("n"))
-    most = most.select("node", "n", F.col("most.label").alias("common"), (F.col("n") - F.col("most.k")).alias("others")).where("others > 0")
-    rows = labelled.drop("n").join(most, "node")
+    rows = labelled.select("node", "cid", "label").join(minorities(labelled), "node")
     own = F.pmod(F.xxhash64("cid", F.lit(3)), _blocks(F.col("n"), NODE))
     other = F.pmod(F.xxhash64("cid", F.lit(4)), _blocks(F.col("others"), NODE))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), _blocks(F.col(n), NODE) - 1))
@@ -265,6 +281,68 @@ def crossings(labelled: DataFrame) -> DataFrame:
     return members.unionByName(others).select(F.xxhash64("node", "x", "y").alias("node"), "cid", "label")
 
 
+def _unpacked(batches):
+    """node, members -> a row for each member of the set."""
+    for batch in batches:
+        for node, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            tokens = np.frombuffer(members.as_buffer(), np.int64)
+            for at in range(0, len(tokens), 1 << 16):
+                part = tokens[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node, np.int64)), pa.array(part)], ["node", "token"])
+
+
+def _apart(batches):
+    """node, cid, label, members, common -> what each set differs in from the common one, and by how much
+    that exceeds what links allow for its size."""
+    for batch in batches:
+        excess, tokens = [], []
+        for members, common in zip(batch.column(3), batch.column(4), strict=True):
+            own = np.frombuffer(members.as_buffer(), np.int64)
+            differ = np.setxor1d(own, common.values.to_numpy(), assume_unique=True) if common.is_valid else own
+            excess.append((100 + PERCENT) * len(differ) - (100 - PERCENT) * len(own))
+            tokens.append(differ)
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(excess, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "cid", "label", "excess", "tokens"])
+
+
+def differences(members: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of families ``members`` (node, cid, label) with their ``sets`` (cid, members): nodes (node, cid, label) and pairs (a, b).
+
+    Let d be the size of what a set of n members differs in from any common set, and its excess
+    (100 + PERCENT) d - (100 - PERCENT) n. Two sets differ in d + d' - 2 k members if k of their
+    differences are shared, and are linked if 100 + PERCENT times that is at most (100 - PERCENT) (n + n').
+    So with a sum of excesses of 0 or less they are linked; the member of least excess is then linked
+    with both, and ``pairs`` has it with each. Any other linked pair shares at least the sum of its
+    excesses / 2 (100 + PERCENT) differences. Ordered by rarity, its members then share one among
+    the first d - k + 1 of each, and meet in the node of that. This loses no link, whatever the common set is.
+    """
+    counts = members.groupBy("node").agg(F.count("*").alias("n"))
+    some = members.join(counts, "node").where(F.pmod(F.xxhash64("cid", F.lit(5)), F.ceil(F.col("n") / NODE)) == 0).select("node", "cid")
+    held = some.join(sets, "cid").select("node", "members").mapInArrow(_unpacked, "node long, token long").groupBy("node", "token").agg(F.count("*").alias("k"))
+    common = held.join(some.groupBy("node").agg(F.count("*").alias("all")), "node").where("2 * k > all").groupBy("node").agg(F.collect_list("token").alias("common"))
+    apart = members.join(sets, "cid").join(common, "node", "left").select("node", "cid", "label", "members", "common")
+    apart = materialize(apart.mapInArrow(_apart, "node long, cid long, label long, excess long, tokens array<bigint>"), "dup-apart")
+    first = apart.groupBy("node").agg(F.min(F.struct("excess", "cid", "label")).alias("z")).select("node", F.col("z.excess").alias("low"), F.col("z.cid").alias("z"), F.col("z.label").alias("z_label"))
+    near = apart.select("node", "cid", "label", "excess").join(first, "node").where("excess + low <= 0 AND label != z_label")
+    pairs = near.select(F.least("cid", "z").alias("a"), F.greatest("cid", "z").alias("b"))
+    each = apart.select("node", "cid", "label", "excess", F.size("tokens").alias("d"), F.explode("tokens").alias("token"))
+    # what only one label has comes first in the order, and is met by nobody
+    shared = each.groupBy("node", "token").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node", "token", "df")
+    own = Window.partitionBy("node", "cid")
+    placed = each.join(shared, ["node", "token"]).select(
+        "*", (F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "token"))).alias("place")
+    ).join(first.select("node", "low"), "node")
+    # of two with an excess each shares more than half of its own; one without meets all that differ like it
+    least = lambda excess: F.greatest(F.lit(1), F.ceil(excess / (2 * (100 + PERCENT))))
+    far = placed.where((F.col("excess") > 0) & (F.col("place") <= F.col("d") - least(F.col("excess")) + 1)).withColumn("kind", F.lit(0))
+    mixed = placed.where((F.col("excess") <= 0) | (F.col("place") <= F.col("d") - least(F.col("excess") + F.col("low")) + 1)).withColumn("kind", F.lit(1))
+    keyed = far.unionByName(mixed).select(F.xxhash64("node", "token", "kind").alias("node"), "cid", "label", "kind", (F.col("excess") > 0).alias("far"))
+    sized = keyed.groupBy("node").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"), F.max("kind").alias("kind"), F.min("far").alias("f"), F.max("far").alias("g"))
+    sized = sized.where("x != y AND (kind = 0 OR f != g)").select("node", "n")
+    meeting = materialize(keyed.select("node", "cid", "label").join(sized, "node"), "dup-meeting")
+    large = meeting.where(F.col("n") > NODE)
+    return meeting.where(F.col("n") <= NODE).select("node", "cid", "label").unionByName(crossings(large)), pairs
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -434,9 +512,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = classes.select("cid", "size", "low", "odd")
     found = leaves(sketches)
     small = _union(found.small)
-    families, centers = (_union(x) if x else None for x in (found.families, found.centers))
+    families = centers = None
+    if found.families:
+        families, centers = merged(_union(found.families), _union(found.centers))
+
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """(cid, members): the full sets of some classes (cid)."""
+        needed = materialize(classes.join(ends, "cid").select("cid", "digest", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key")), "dup-needed")
+        bloom = spark.sparkContext.broadcast(Bloom.of(needed, "key"))
+        sets = texts.select("text").mapInArrow(_sets(bloom), "digest binary, members binary")
+        return materialize(sets.join(needed.select("cid", "digest"), "digest").select("cid", "members").dropDuplicates(["cid"]), "dup-sets")
 
     def confirmed(labels: DataFrame | None, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        near = None
         if labels is None:
             at = small if families is None else small.unionByName(pieces(families))
             at = at.withColumn("label", F.col("cid"))
@@ -446,11 +534,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             mixed = at.groupBy("node").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("node")
             at = at.join(mixed, "node").select("node", "cid", "label")
             if families is not None:
-                at = at.unionByName(crossings(label(families)))
+                members = materialize(label(families).select("node", "cid", "label"), "dup-members")
+                apart = materialize(minorities(members).where(F.col("others") > NODE).select("node"), "dup-minorities")
+                at = at.unionByName(crossings(members.join(apart, "node", "left_anti")))
+                many = members.join(apart, "node")
+                if not apart.isEmpty():
+                    meeting, near = differences(many, sets_of(many.select("cid").distinct()))
+                    at = at.unionByName(meeting)
         sketched = at.join(sketches, "cid").select("node", "cid", "label", "size", "low", "odd")
         pairs = sketched.repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_compare(labels is None), "a long, b long")
         if labels is None and families is not None:
             pairs = pairs.unionByName(stars(families, centers, sketches))
+        if near is not None:
+            pairs = pairs.unionByName(near)
         pairs = pairs.distinct()
         if known is not None:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
@@ -458,10 +554,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return pairs, pairs
         ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        needed = materialize(classes.join(ends, "cid").select("cid", "digest", F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long").alias("key")), "dup-needed")
-        bloom = spark.sparkContext.broadcast(Bloom.of(needed, "key"))
-        sets = texts.select("text").mapInArrow(_sets(bloom), "digest binary, members binary")
-        sets = materialize(sets.join(needed.select("cid", "digest"), "digest").select("cid", "members").dropDuplicates(["cid"]), "dup-sets")
+        sets = sets_of(ends)
         of = lambda side: sets.select(F.col("cid").alias(side), F.col("members").alias(f"of_{side}"))
         links = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_confirm, "a long, b long")
         return materialize(links, "dup-confirmed"), pairs
