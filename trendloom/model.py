@@ -72,13 +72,28 @@ def case_of(key: str, table: dict, default) -> str:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engagement snapshots from events: running counts of each post's views, comments and likes."""
+    return snapshots_of(read(spark, sf_dir, "events"))
+
+
+def snapshots_of(events: DataFrame) -> DataFrame:
+    """The same of given events.
+
+    Counts run in two steps, over a post's hours and within an hour, so that no task sorts all events
+    of a post. Events without a time come before all others; those without a post count as one post's.
+    """
     from pyspark.sql import Window
 
-    running = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = lambda kind: F.sum((F.col("event_type") == kind).cast("int")).over(running)
-    return read(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase")).select(
+    kinds = {"view_count": "view", "comment_count": "click", "like_count": "purchase"}
+    flags = [(F.col("event_type") == kind).cast("int").alias(name) for name, kind in kinds.items()]
+    rows = events.where(F.col("event_type").isin(*kinds.values())).select("event_id", "user_id", "ts", F.date_trunc("hour", "ts").alias("hour"), *flags)
+    hours = Window.partitionBy("user").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(F.col("user_id").alias("user"), F.col("hour").alias("at")).agg(*[F.sum(name).alias(name) for name in kinds])
+    before = before.select("user", "at", *[F.coalesce(F.sum(name).over(hours), F.lit(0)).alias(f"before_{name}") for name in kinds])
+    running = Window.partitionBy("user_id", "hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.join(before, F.col("user_id").eqNullSafe(F.col("user")) & F.col("hour").eqNullSafe(F.col("at")))
+    return placed.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("post_id"), F.col("ts").alias("captured_at"),
-        count("view").alias("view_count"), count("click").alias("comment_count"), count("purchase").alias("like_count"),
+        *[(F.sum(name).over(running) + F.col(f"before_{name}")).alias(name) for name in kinds],
     )
 
 
