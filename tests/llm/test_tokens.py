@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from trendloom.llm import tokens
+from trendloom.llm import common, tokens
 
 SCHEMA = "doc_id long, text string, n_tokens int"
 
@@ -63,3 +63,39 @@ def test_broken_file_is_an_error(spark, tmp_path):
     (tmp_path / "part-00000.bin").write_bytes(b"abc")
     with pytest.raises(Exception, match="no whole number"):
         tokens.scan_token_files(spark, str(tmp_path)).count()
+
+
+def test_scopes_of_threads_are_their_own(spark):
+    """Two threads with open scopes: each removes its own tables, whatever order they end in."""
+    import os
+    import threading
+
+    first, second = threading.Event(), threading.Event()
+    paths, left = {}, {}
+
+    def there(path):
+        return os.path.exists(path.removeprefix("file://"))
+
+    def early():
+        with common.work_tables(spark):
+            paths["early"] = common.work_path(spark, "scope")
+            spark.range(3).write.parquet(paths["early"])
+            first.set()
+            second.wait(60)
+        left["late"] = there(paths["late"])
+
+    def late():
+        first.wait(60)
+        with common.work_tables(spark):
+            paths["late"] = common.work_path(spark, "scope")
+            spark.range(3).write.parquet(paths["late"])
+            second.set()
+            one.join(60)
+
+    one, two = threading.Thread(target=early), threading.Thread(target=late)
+    one.start()
+    two.start()
+    one.join(60)
+    two.join(60)
+    assert left == {"late": True}
+    assert not there(paths["early"]) and not there(paths["late"])

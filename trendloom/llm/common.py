@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
@@ -32,14 +33,16 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+#: The work tables of each open ``work_tables`` scope, innermost last; each thread has its own scopes.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def work_path(spark: SparkSession, name: str, outer: bool = False) -> str:
     """A new path in the shared folder; the innermost ``work_tables`` scope removes it, or the one around that."""
     path = f"{work_root(spark)}/trendloom/{name}-{uuid.uuid4().hex}"
-    if len(_scopes) > outer:
-        _scopes[-1 - outer].append(path)
+    scopes = _scopes.get()
+    if len(scopes) > outer:
+        scopes[-1 - outer].append(path)
     return path
 
 
@@ -57,11 +60,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 @contextlib.contextmanager
 def work_tables(spark: SparkSession):
     """Removes the work tables that were made within, also after an error; what was lazy must be written by then."""
-    _scopes.append([])
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for path in _scopes.pop():
+        _scopes.reset(token)
+        for path in own:
             remove(spark, path)
 
 
