@@ -1,5 +1,7 @@
 """All registered queries with SQL against DuckDB, and the text functions on fixed cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,22 @@ def test_groups_and_rank_changes(spark):
     now = spark.createDataFrame([("a", 1, [1]), ("b", 2, [4, 5, 6]), ("c", 3, [9])], schema)
     old = spark.createDataFrame([("a", 3, [7]), ("x", 4, [4, 5]), ("y", 1, [4])], schema)
     assert {r.stable_id: r.rank_change for r in sim.rank_changes(now, old).collect()} == {"a": 2, "b": 2, "c": None}
+
+
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_groups_of_chains_and_odd_links(spark, monkeypatch, held):
+    """Long chains with shuffled names, tasks that hold few ends, links to themselves, twice, both ways and to nothing."""
+    rng = random.Random(5)
+    names = rng.sample(range(10_000), 1200)
+    chains = [names[:700], names[700:1100], names[1100:1110]]
+    pairs = [(x, y) if rng.random() < 0.5 else (y, x) for c in chains for x, y in zip(c, c[1:], strict=False)]
+    rng.shuffle(pairs)
+    links = spark.createDataFrame([*pairs, *pairs[:50], (names[1150], names[1150]), (names[1151], None), (None, names[3])], "a long, b long").repartition(6)
+    rounds, table = [], sim.work_table
+    monkeypatch.setattr(sim, "work_table", lambda df, name: (rounds.append(name), table(df, name))[1])
+    got = {r.id: r.group for r in sim.groups(spark.createDataFrame([(x,) for x in names], "id long"), links, held).collect()}
+    assert got == {x: min(c) for c in [*chains, *([x] for x in names[1110:])] for x in c}
+    assert rounds.count("steps") <= 9
+    nothing = spark.createDataFrame([], "a long, b long")
+    assert sim.groups(nothing.select(F.col("a").alias("id")), nothing).count() == 0
+    assert {(r.id, r.group) for r in sim.groups(spark.range(2), nothing).collect()} == {(0, 0), (1, 1)}

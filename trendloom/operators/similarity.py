@@ -106,23 +106,62 @@ def jaccard_pairs(sets: DataFrame, least: float, within: str, fresh: str | None
     return near.where(F.col("jaccard") >= least - 1e-9)
 
 
-def groups(ids: DataFrame, links: DataFrame) -> DataFrame:
+#: Links' ends that a task holds at once when it joins what its own links connect.
+HELD = 1 << 20
+
+
+def stars(links: DataFrame, held: int = HELD) -> DataFrame:
+    """Links (a, b) that connect what ``links`` (a, b) do: each task leads its own links' ends to the least they reach.
+
+    A task passes on what it has whenever it holds ``held`` ends, so its memory is bounded.
+    """
+    kind = links.schema["a"].dataType.simpleString()
+
+    def join(batches):
+        above: dict = {}
+
+        def top(x):
+            while above.setdefault(x, x) != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        def out():
+            ends = [x for x in above if top(x) != x]
+            return pd.DataFrame({"a": ends, "b": [top(x) for x in ends]})
+
+        for pdf in batches:
+            for x, y in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+                x, y = top(x), top(y)
+                above[max(x, y)] = min(x, y)
+            if len(above) >= held:
+                yield out()
+                above.clear()
+        yield out()
+
+    return links.select("a", "b").mapInPandas(join, f"a {kind}, b {kind}")
+
+
+def groups(ids: DataFrame, links: DataFrame, held: int = HELD) -> DataFrame:
     """(id, group): the least id that ``links`` (a, b) reach from each of ``ids`` (id).
 
-    Labels take the least of their neighbours' and then their label's own label, which halves long
-    chains; each round is a grouped minimum and joins, and its table is written.
+    Tasks first join what their own links connect. Then labels take the least of their neighbours', a
+    label leads all its rows to the least that any of them meets, and labels take their label's own
+    label; so rounds grow with the logarithm of a chain. Each round is grouped minimums and joins, and its table is written.
     """
-    both = work_table(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = work_table(ids.select("id", F.col("id").alias("group")).distinct(), "labels")
+    whole = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
+    near = work_table(stars(whole, held), "stars")
+    both = work_table(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    alone = ids.select("id").distinct()
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("group"))
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
-        step = labels.join(near, "id", "left").select("id", F.col("group").alias("old"), F.least("group", "near").alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("group").alias("further"))
-        new = work_table(step.join(jump, "mid", "left").select("id", "old", F.least("mid", "further").alias("group")), "labels")
-        changed = not new.where("group <> old").isEmpty()
-        labels = new.select("id", "group")
-        if not changed:
-            return labels
+        met = both.join(labels.select(F.col("id").alias("b"), "group"), "b").groupBy(F.col("a").alias("id")).agg(F.min("group").alias("near"))
+        step = work_table(labels.join(met, "id").select("id", F.col("group").alias("old"), F.least("group", "near").alias("mid")), "steps")
+        lower = step.where("mid < old")
+        if lower.isEmpty():
+            return alone.join(step.select("id", F.col("mid").alias("group")), "id", "left").select("id", F.coalesce("group", "id").alias("group"))
+        hooks = lower.groupBy(F.col("old").alias("mid")).agg(F.min("mid").alias("hook"))
+        jump = step.select(F.col("id").alias("mid"), F.col("mid").alias("own")).join(hooks, "mid", "left").select("mid", F.least("own", "hook").alias("further"))
+        labels = work_table(step.select("id", "mid").join(jump, "mid").select("id", F.least("mid", "further").alias("group")), "labels")
 
 
 def anchor_clusters(posts: DataFrame, least: float = 0.78, hours: float = 12.0, most: int = 50, newest: int = 3000, gate=None) -> DataFrame:

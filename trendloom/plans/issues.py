@@ -285,31 +285,35 @@ def match_trends(p: DataFrame, keywords: DataFrame, at: Column, c=DEFAULT) -> Da
     by its strongest match, of equals the least keyword, and decays by that one's age.
     """
     grams, bare = bigrams(F.col("norm")), bigrams(F.replace("norm", F.lit(" ")))
-    titled = work_table(spread(p.select("id", "norm"), "id").select("id", "norm", grams.alias("grams"), bare.alias("bare_grams"), *sim.sketch(grams, "t"), *sim.sketch(bare, "u")), "titles")
+    # each different title and keyword once
+    heads = work_table(p.groupBy("norm").agg(F.min("id").alias("head")), "heads")
+    titled = work_table(spread(heads, "head").select("head", "norm", grams.alias("grams"), bare.alias("bare_grams"), *sim.sketch(grams, "t"), *sim.sketch(bare, "u")), "titles")
     words = keywords.withColumn("bare", F.replace("keyword", F.lit(" "))).where(F.length("keyword") >= F.when(F.col("keyword").rlike("^[가-힯㄰-㆏]"), 2).otherwise(3))
-    words = words.withColumn("grams", bigrams(F.col("keyword"))).withColumn("bare_grams", bigrams(F.col("bare")))
+    words = work_table(words.select("source_key", "keyword", "bare", "strength", "at"), "keywords")
+    terms = words.select("keyword", "bare").distinct().withColumn("grams", bigrams(F.col("keyword"))).withColumn("bare_grams", bigrams(F.col("bare")))
     # of a keyword in the title all pairs of characters are there, of one that is mostly there all but 30 %
     spare = F.when(F.length("keyword") >= 4, F.size("grams") - F.ceil(0.7 * F.size("grams") - 1e-9)).otherwise(0).cast("int")
-    words = work_table(words.select("*", spare.alias("spare"), F.lit(0).alias("none"), *sim.sketch(F.col("grams"), "k"), *sim.sketch(F.col("bare_grams"), "b")), "keywords")
+    terms = work_table(terms.select("*", spare.alias("spare"), F.lit(0).alias("none"), *sim.sketch(F.col("grams"), "k"), *sim.sketch(F.col("bare_grams"), "b")), "terms")
 
     def candidates(grams: str, spare: str, of_word: str, of_title: str) -> DataFrame:
-        """(id, source_key, keyword) of titles that have one of the keyword's ``spare`` + 1 rarest pairs, and maybe the rest."""
-        wanted = words.select("source_key", "keyword", F.explode(grams).alias("gram"))
-        flat = titled.select("id", *[f"{of_title}{i}" for i in range(sim.SKETCH)], F.explode(grams).alias("gram"))
+        """(head, keyword) of titles that have one of the keyword's ``spare`` + 1 rarest pairs, and maybe the rest."""
+        wanted = terms.select("keyword", F.explode(grams).alias("gram"))
+        flat = titled.select("head", *[f"{of_title}{i}" for i in range(sim.SKETCH)], F.explode(grams).alias("gram"))
         often = flat.join(F.broadcast(wanted.select("gram").distinct()), "gram").groupBy("gram").agg(F.count("*").alias("often"))
-        known = wanted.join(often, "gram", "left").groupBy("source_key", "keyword").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("rarest"))
-        few = words.select("source_key", "keyword", spare, *[f"{of_word}{i}" for i in range(sim.SKETCH)]).join(known, ["source_key", "keyword"])
+        known = wanted.join(often, "gram", "left").groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram"))).alias("rarest"))
+        few = terms.select("keyword", spare, *[f"{of_word}{i}" for i in range(sim.SKETCH)]).join(known, "keyword")
         few = few.withColumn("rare", F.explode(F.slice("rarest", F.lit(1), F.col(spare) + 1))).withColumn("gram", F.col("rare.gram")).drop("rare", "rarest")
-        return flat.join(F.broadcast(few), "gram").where(sim.missing(of_word, of_title) <= F.col(spare)).select("id", "source_key", "keyword").distinct()
+        return flat.join(F.broadcast(few), "gram").where(sim.missing(of_word, of_title) <= F.col(spare)).select("head", "keyword")
 
     near = candidates("grams", "spare", "k", "t").unionByName(candidates("bare_grams", "none", "b", "u")).distinct()
-    both = near.join(titled.select("id", "norm", "grams"), "id").join(F.broadcast(words.select("source_key", "keyword", "strength", "at", "bare", F.col("grams").alias("k_grams"))), ["source_key", "keyword"])
+    both = near.join(titled.select("head", "norm", "grams"), "head").join(F.broadcast(terms.select("keyword", "bare", F.col("grams").alias("k_grams"))), "keyword")
     mostly = (F.length("keyword") >= 4) & (F.size(F.array_intersect("grams", "k_grams")) >= 0.7 * F.size("k_grams"))
     hit = F.contains(F.col("norm"), F.col("keyword")) | F.contains(F.replace("norm", F.lit(" ")), F.col("bare")) | mostly
-    found = both.where(hit).select("id", "source_key", "keyword", "strength", "at")
-    one = found.groupBy("id", "source_key").agg(F.min_by(F.struct("strength", "at"), F.struct(-F.col("strength"), "keyword")).alias("m"))
+    found = both.where(hit).select("head", "keyword").join(F.broadcast(words.drop("bare")), "keyword")
+    one = found.groupBy("head", "source_key").agg(F.min_by(F.struct("strength", "at"), F.struct(-F.col("strength"), "keyword")).alias("m"))
     hours = F.timestamp_diff("MICROSECOND", F.col("m.at"), at) / 3.6e9
-    return one.groupBy("id").agg(F.count("*").alias("sources"), F.max("m.strength").alias("best"), F.avg(step_decay(hours)).alias("decay"))
+    each = one.groupBy("head").agg(F.count("*").alias("sources"), F.max("m.strength").alias("best"), F.avg(step_decay(hours)).alias("decay"))
+    return p.join(heads.join(each, "head"), "norm").select("id", "sources", "best", "decay")
 
 
 def trend_bonus(sources: Column, best: Column, decay: Column, c=DEFAULT) -> Column:
