@@ -182,3 +182,19 @@ def test_quality_statistics_of_words():
     assert got[k : k + 3] == pytest.approx([np.log1p(8) / 4, np.mean(sizes) / 8, np.std(sizes) / 8])
     assert got[k + 3 :] == pytest.approx([np.log(3) / np.log(8), (3 / 7) ** 0.5, 5 / 8, (3 / 8) ** 0.5, (1 / 8) ** 0.5, 0.0])
     assert got[0] == pytest.approx((4 / len(text)) ** 0.5) and not quality.statistics(*next(SPACED.texts(pa.array([""])))[1:]).any()
+
+
+def test_three_hundred_languages(spark):
+    """Each label is learned and predicted, however many there are; a rare one too."""
+    rng = np.random.default_rng(11)
+    letter = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for k in range(300):
+        words = ["".join(rng.choice(letter, rng.integers(3, 8))) for _ in range(12)]
+        rows += [(" ".join(rng.choice(words, 15)), f"l{k:03}", i == 7) for i in range(8 if k else 40)]
+    docs = spark.createDataFrame(rows, "text string, lang string, out boolean").repartition(8)
+    model = language.train(docs.where("NOT out").select("text", "lang"))
+    assert model.langs == [f"l{k:03}" for k in range(300)]
+    found = language.identify(docs.where("out"), model).collect()
+    assert sum(r.lang == r.lang_pred for r in found) >= 0.9 * len(found)
+    assert len({r.lang_pred for r in found}) >= 270

@@ -22,8 +22,10 @@ BUCKETS = 1 << BITS
 #: Follow the regularised leader: learning rate and its offset, L1 and L2 penalties, passes.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.05, 1e-4, 2
 #: At most so many different labelled texts are learned from, those of the least hashes, shared out evenly
-#: among the languages; and at most so many languages, the commonest ones, as the state holds a column for each.
-LABELLED, LANGUAGES = 6_000, 100
+#: among the languages, but at least one of each. Every language is learned; a task's state has a column for each, of 0.5 MB.
+LABELLED = 6_000
+#: Numbers of a chunk in which tasks send what they changed.
+CHUNK = 1 << 17
 #: Every fifth of them sets the temperature.
 CALIBRATE = 5
 #: Shards that learn side by side in a pass; their states are averaged after it.
@@ -115,18 +117,24 @@ class Model:
         return self.langs[k], float(p[k])
 
 
-def train(docs: DataFrame, labelled: int = LABELLED, languages: int = LANGUAGES) -> Model:
+def _sum(parts: pa.Table) -> pa.Table:
+    """The sum of a chunk's changes, one row of at most each shard."""
+    total = sum(np.frombuffer(x.as_buffer()) for x in parts.column("part"))
+    return pa.table({"at": parts.column("at").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
+
+
+def train(docs: DataFrame, labelled: int = LABELLED, languages: int | None = None) -> Model:
     """Learns from ``docs`` (text, lang) with a non-null lang and a letter in the text.
 
-    Document frequencies cover all of them. The classifier learns the ``languages`` commonest labels
+    Document frequencies cover all of them. The classifier learns all labels, or the ``languages`` commonest if that is given,
     from at most ``labelled`` different texts, an equal number of each language at most, in ``SHARDS``
-    shards; what leaves a task is its state, whose size the buckets and languages fix. Copies of a
+    shards; what leaves a task is what it changed of its state, chunk by chunk, which the buckets and languages bound. Copies of a
     text count once. Without such documents the model knows no language.
     """
     spark = docs.sparkSession
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    langs = sorted(r.lang for r in by_lang)
+    by_lang = rows.groupBy("lang").count()
+    langs = sorted(r.lang for r in (by_lang if languages is None else by_lang.orderBy(F.desc("count"), "lang").limit(languages)).collect())
     if not langs:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), 1.0)
     size = len(langs)
@@ -164,12 +172,13 @@ def train(docs: DataFrame, labelled: int = LABELLED, languages: int = LANGUAGES)
     data = materialize(chosen.mapInArrow(vectors, "key long, y int, at binary, v binary").withColumn("calibrate", F.pmod("key", F.lit(CALIBRATE)) == 0), "lang-vectors")
     fit = data.where("NOT calibrate").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(SHARDS)).cast("int"))
     z, n = np.zeros((BUCKETS, size)), np.zeros((BUCKETS, size))
+    step = max(1, CHUNK // size)
     for _ in range(EPOCHS):
         state = spark.sparkContext.broadcast((z, n))
 
         def learn(batches, state=state):
             z, n = (x.copy() for x in state.value)
-            used = 0
+            used, changed = 0, np.zeros(BUCKETS, bool)
             for b in batches:
                 for y, at, v in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                     at, v = np.frombuffer(at.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4").astype(np.float64)
@@ -181,15 +190,24 @@ def train(docs: DataFrame, labelled: int = LABELLED, languages: int = LANGUAGES)
                     more = ni + g * g
                     z[at] = zi + g - (np.sqrt(more) - np.sqrt(ni)) / ALPHA * w
                     n[at] = more
+                    changed[at] = True
                     used += 1
             if used:
-                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([z.ravel(), n.ravel(), [1.0]]).tobytes()])], ["part"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([np.ones(1).tobytes()])], ["at", "part"])
+            for at in range(0, BUCKETS, step):
+                if changed[at : at + step].any():
+                    own = np.stack([z[at : at + step] - state.value[0][at : at + step], n[at : at + step] - state.value[1][at : at + step]])
+                    yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([own.tobytes()])], ["at", "part"])
 
         shards = fit.repartitionByRange(SHARDS, "shard").sortWithinPartitions(F.xxhash64("key", F.lit(9)), "y").select("y", "at", "v")
-        total = summed(shards.mapInArrow(learn, "part binary"), 2 * BUCKETS * size + 1)
+        parts = shards.mapInArrow(learn, "at long, part binary").groupBy("at").applyInArrow(_sum, "at long, part binary").collect()
         state.unpersist()
-        if total[-1]:
-            z, n = (total[:-1] / total[-1]).reshape(2, BUCKETS, size)
+        tasks = sum(np.frombuffer(r.part)[0] for r in parts if r.at < 0)
+        for r in parts:
+            if r.at >= 0:
+                dz, dn = np.frombuffer(r.part).reshape(2, -1, size) / tasks
+                z[r.at : r.at + step] += dz
+                n[r.at : r.at + step] += dn
     model.weights = weights_of(z, n)
 
     def losses(batches):
