@@ -144,11 +144,20 @@ def shown_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("issue", F.when(stale(summary), rule_summary(F.col("title"), F.col("lead"), F.col("n_news"))).otherwise(summary).alias("summary"), "n_news")
 
 
+def titles_of(held: DataFrame, n: int = TITLES) -> DataFrame:
+    """The first ``n`` titles of each issue of posts (issue, title, snippet, source_key), each with the source of its last snippet.
+
+    Snippets are ordered as text, missing ones as empty; of equals the greatest source.
+    """
+    one = held.groupBy("issue", "title").agg(F.max(F.struct(F.coalesce("snippet", F.lit("")).alias("snippet"), "source_key")).alias("last"))
+    return top_per(one, "issue", n, F.col("title")).select("issue", "title", F.col("last.source_key").alias("source_key"))
+
+
 def summary_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a summary of each issue is made from: its first fifteen titles, each with the greatest source."""
+    """What a summary of each issue is made from. Two of three posts have a snippet."""
     p, held = _issues(spark, sf_dir)
-    one = held.join(p, "id").groupBy("issue", "title").agg(F.max("source_key").alias("source_key"))
-    return top_per(one, "issue", TITLES, F.col("title")).select("issue", "title", "source_key")
+    snippet = F.when(F.col("id") % 3 > 0, F.concat(F.lit("about "), F.pmod(F.col("id") * 7, F.lit(11)).cast("string")))
+    return titles_of(held.join(p, "id").withColumn("snippet", snippet))
 
 
 def cached_summaries(cache: DataFrame, issues: DataFrame) -> DataFrame:
@@ -246,7 +255,8 @@ ORACLE_SQL = {
         CASE issue % 3 WHEN 0 THEN '[fallback] x' WHEN 1 THEN 'a summary' END AS s FROM j GROUP BY 1)
       SELECT issue, CASE WHEN NOT {_STALE} THEN s WHEN coalesce(lead, '') IN ('', title) THEN substring(title, 1, 80) || ' — 관련 보도 ' || n_news || '건'
         ELSE title || ' — ' || substring(lead, 1, 80) || CASE WHEN length(lead) > 80 THEN '…' ELSE '' END END AS summary, n_news FROM i WHERE n_news > 0 OR (SELECT max(n_news) FROM i) = 0""",
-    "summary_sources": f"""WITH {_HELD}, o AS (SELECT issue, title, max(source_key) AS source_key FROM j GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY title) AS rn FROM o)
+    "summary_sources": f"""WITH {_HELD}, s AS (SELECT *, CASE WHEN id % 3 > 0 THEN 'about ' || (id * 7) % 11 ELSE '' END AS snippet FROM j),
+      o AS (SELECT issue, title, first(source_key ORDER BY snippet DESC, source_key DESC) AS source_key FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY title) AS rn FROM o)
       SELECT issue, title, source_key FROM r WHERE rn <= {TITLES}""",
     "summary_hits": f"""WITH {POSTS_SQL}, {_NORM}, g AS (SELECT norm, list_slice(list_sort(list(id)), 1, 5) AS b, list_slice(list_sort(list(id) FILTER (WHERE scraped_at <= TIMESTAMP '2024-01-30 12:00:00')), 1, 5) AS a FROM n WHERE norm <> '' GROUP BY 1),
       d AS (SELECT norm, 1 - len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS change FROM g WHERE a IS NOT NULL)
