@@ -83,15 +83,16 @@ def jaccard_pairs(sets: DataFrame, least: float, within: str, fresh: str | None
     phrase, makes no rows; whole sets confirm the rest. Give each different set once. With
     ``fresh``, a boolean column, pairs of two sets that aren't fresh are left out and never made.
     """
-    own = [within] if fresh is None else [within, fresh]
-    bit = F.xxhash64("m")
-    flat = sets.select("id", *own, F.size("members").alias("n"), F.explode("members").alias("m")).withColumn("h", bit)
-    often = flat.groupBy(within, "m").agg(F.count("*").alias("often"))
+    own = ["w"] if fresh is None else ["w", fresh]
+    # elements and ``within`` travel as hashes: four numbers a row
+    inside = F.xxhash64(within).alias("w")
+    flat = sets.select("id", inside, *own[1:], F.explode("members").alias("m"), within).select("id", *own, F.xxhash64(within, "m").alias("h"))
+    often = flat.groupBy("h").agg(F.count("*").alias("often"))
     sketch = [F.bit_or(F.when(F.pmod("h", F.lit(SKETCH)) == i, F.expr(f"shiftleft(1L, cast(pmod(h div {SKETCH}, 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"s{i}") for i in range(SKETCH)]
-    ranked = flat.join(often, [within, "m"]).groupBy("id", *own, "n").agg(F.array_sort(F.collect_list(F.struct("often", "h"))).alias("ms"), *sketch)
+    ranked = flat.join(often, "h").groupBy("id", *own).agg(F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list(F.struct("often", "h"))).alias("ms"), *sketch)
     length = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int")
     bits = [f"s{i}" for i in range(SKETCH)]
-    prefix = ranked.select("id", *own, "n", *bits, F.posexplode(F.slice("ms", F.lit(1), length)).alias("i", "p")).withColumn("key", F.xxhash64(within, "p.h")).drop("p")
+    prefix = ranked.select("id", *own, "n", *bits, F.posexplode(F.slice("ms", F.lit(1), length)).alias("i", "p")).withColumn("key", F.col("p.h")).drop("p")
     a, b = (prefix.where(fresh) if fresh else prefix).alias("a"), prefix.alias("b")
     sized = (F.col("a.n") >= least * F.col("b.n") - 1e-9) & (F.col("b.n") >= least * F.col("a.n") - 1e-9)
     # the first element that near sets share leaves enough behind it in both
@@ -99,7 +100,7 @@ def jaccard_pairs(sets: DataFrame, least: float, within: str, fresh: str | None
     apart = sum((F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in bits[1:]), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
     alike = apart <= (1 - least) / (1 + least) * (F.col("a.n") + F.col("b.n")) + 1e-9
     once = (F.col("a.id") < F.col("b.id")) if fresh is None else (F.col("a.id") < F.col("b.id")) | (~F.col(f"b.{fresh}") & (F.col("a.id") != F.col("b.id")))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{within}") == F.col(f"b.{within}")) & once & sized & enough & alike)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.w") == F.col("b.w")) & once & sized & enough & alike)
     pairs = pairs.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     of = lambda side: sets.select(F.col("id").alias(side), F.col("members").alias(f"of_{side}"))
     near = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", jaccard(F.col("of_a"), F.col("of_b")).alias("jaccard"))
