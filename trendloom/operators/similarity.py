@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -223,6 +225,7 @@ def issue_cards(scored: DataFrame, top: int = 10, alpha: float = 0.25, sources:
     ``scored`` has id, cluster_id, source_key, channel, title and trend_score. Only clusters of several
     sources with a news or portal post become cards. The best scores are limited in each task before they
     are sorted together, and all else is summed in parts, so a large cluster is no one task's work.
+    Scores count to six places, and ``issue_score`` is a decimal: the order of sums can't move it across a rounding.
     """
     df = work_table(scored.select("id", "cluster_id", "source_key", "channel", "title", "trend_score"), "cards")
     best = Window.partitionBy("cluster_id").orderBy(F.desc("trend_score"), "id")
@@ -234,8 +237,9 @@ def issue_cards(scored: DataFrame, top: int = 10, alpha: float = 0.25, sources:
         F.min_by("title", F.struct(priority, -F.col("trend_score"), "id")).alias("title"),
     )
     cards = cards.where((F.col("n_sources") >= sources) & (F.col("news_posts") >= 1))
-    sums = df.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= top).groupBy("cluster_id").agg(F.sum("trend_score").alias("sum_top"))
-    return cards.join(sums, "cluster_id").withColumn("issue_score", F.col("sum_top") * (1 + alpha * (F.col("n_channels") - 1))).drop("sum_top")
+    sums = df.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= top).groupBy("cluster_id").agg(F.sum(F.col("trend_score").cast("decimal(14,6)")).alias("sum_top"))
+    breadth = (1 + F.lit(Decimal(str(alpha))) * (F.col("n_channels") - 1).cast("decimal(4,0)")).cast("decimal(8,4)")
+    return cards.join(sums, "cluster_id").withColumn("issue_score", F.col("sum_top") * breadth).drop("sum_top")
 
 
 def rank_changes(current: DataFrame, before: DataFrame, overlap: float = 0.5) -> DataFrame:

@@ -176,7 +176,7 @@ def issue_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_posts(p, as_of()).withColumn("trend_score", F.round("trend_score", 6))
     titled = scored.where(normalize_title(F.col("title")) != "").withColumn("cluster_id", title_hash(F.col("title")))
     cards = sim.issue_cards(titled)
-    return cards.select("cluster_id", "posts", "n_sources", "n_channels", "news_posts", "community_posts", "video_posts", "first_id", "title", F.round("issue_score", 4).alias("issue_score"))
+    return cards.select("cluster_id", "posts", "n_sources", "n_channels", "news_posts", "community_posts", "video_posts", "first_id", "title", F.round("issue_score", 4).cast("double").alias("issue_score"))
 
 
 def issue_cards_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def issue_cards_by_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = posts(spark, sf_dir)
     members = work_table(anchor_clusters(spark, sf_dir), "anchors")
     scored = score_posts(p, as_of(), topics(p, members), echo(spark, sf_dir)).withColumn("trend_score", F.round("trend_score", 6))
-    return sim.issue_cards(scored.join(members, "id")).withColumn("issue_score", F.round("issue_score", 4))
+    return sim.issue_cards(scored.join(members, "id")).withColumn("issue_score", F.round("issue_score", 4).cast("double"))
 
 
 def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -437,7 +437,7 @@ _CARDS = f"""m AS (SELECT *, {H} AS cluster_id, row_number() OVER (PARTITION BY
     CASE category WHEN 'news' THEN 0 WHEN 'portal' THEN 1 WHEN 'video' THEN 2 ELSE 3 END AS pr FROM scored WHERE {NORMAL_SQL} <> ''),
   cards AS (SELECT cluster_id, count(*) AS posts, count(DISTINCT source_key) AS n_sources, count(DISTINCT category) AS n_channels, count(*) FILTER (WHERE category IN ('news', 'portal')) AS news_posts,
     count(*) FILTER (WHERE category = 'community') AS community_posts, count(*) FILTER (WHERE category = 'video') AS video_posts, min(id) AS first_id, first(title ORDER BY pr, trend_score DESC, id) AS title,
-    round(sum(trend_score) FILTER (WHERE rn <= 10) * (1 + 0.25 * (count(DISTINCT category) - 1)), 4) AS issue_score FROM m GROUP BY 1 HAVING count(DISTINCT source_key) >= 2 AND count(*) FILTER (WHERE category IN ('news', 'portal')) >= 1)"""
+    round(sum(trend_score::DECIMAL(14,6)) FILTER (WHERE rn <= 10)::DECIMAL(24,6) * (1 + 0.25 * (count(DISTINCT category) - 1))::DECIMAL(8,4), 4)::DOUBLE AS issue_score FROM m GROUP BY 1 HAVING count(DISTINCT source_key) >= 2 AND count(*) FILTER (WHERE category IN ('news', 'portal')) >= 1)"""
 
 
 def _engagement_stats(key: str, prefix: str) -> str:
