@@ -16,3 +16,8 @@ def scores(spark, clusters):
 
 def test_scores_are_rounded_as_decimals(spark):
     assert scores(spark, [EDGE]) == {"0": 9.8993}
+
+
+def test_equal_scores_are_equal(spark):
+    # so they share a rank, whatever they are summed from
+    assert len(set(scores(spark, [EDGE, (9.0, 0.89925), EDGE[::-1]]).values())) == 1
