@@ -9,6 +9,7 @@ from ..functions import text
 from ..functions.maths import containment, cosine
 from ..model import POSTS_SQL, posts, read
 from ..operators.scoring import top_per
+from ..operators.work import spread, work_table
 from ..sources import feeds
 from . import issues
 from .feeds import CATEGORIES
@@ -56,9 +57,11 @@ def model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which share of the next title's pairs of characters a title has."""
-    p = posts(spark, sf_dir).select("id", text.bigrams(text.normalize_title(F.col("title"))).alias("grams"))
-    following = p.select(F.col("id").alias("next"), F.col("grams").alias("other")).select((F.col("next") - 1).alias("id"), "other")
-    return p.join(following, "id").select("id", F.round(containment(F.col("grams"), F.col("other")), 6).alias("share"))
+    # titles travel, and are normalised once: within the grams each of them would normalise its title again
+    p = work_table(posts(spark, sf_dir).select("id", text.normalize_title(F.col("title")).alias("norm")), "titles")
+    following = p.select((F.col("id") - 1).alias("id"), F.col("norm").alias("next"))
+    grams = spread(p.join(following, "id"), "id").select("id", text.bigrams(F.col("norm")).alias("grams"), text.bigrams(F.col("next")).alias("other"))
+    return grams.select("id", F.round(containment(F.col("grams"), F.col("other")), 6).alias("share"))
 
 
 def label_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
