@@ -109,6 +109,155 @@ def jaccard_pairs(sets: DataFrame, least: float, within: str, fresh: str | None
     return near.where(F.col("jaccard") >= least - 1e-9)
 
 
+def dealt(rows: DataFrame, within: str, block: int) -> DataFrame:
+    """``rows`` (id, ``within``) once for each pair of blocks (``x`` <= ``y``) of their ``within`` that they have a part in.
+
+    Rows of one ``within`` are dealt into blocks (``own``) of about ``block``, so a pair of blocks bounds what a task holds.
+    """
+    sizes = work_table(rows.groupBy(within).agg(F.ceil(F.count("*") / block).alias("__n")), "blocks")
+    own = rows.join(sizes, within).withColumn("own", F.pmod(F.xxhash64("id"), F.col("__n")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
+    return met.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("__n", "other")
+
+
+def cosine_links(vectors: DataFrame, least: float, block: int = 20000, tile: int = 1000) -> DataFrame:
+    """Links (a, b) of cosine >= ``least`` that connect what all such pairs of ``vectors`` (id, v) do.
+
+    A pair of blocks is one task's: it multiplies tile by tile only rows that its links don't connect yet, and passes on
+    one link for each two groups that meet, at most one less than its rows. So neither shuffle nor product grows with the pairs.
+    """
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        ids, own = pdf["id"].to_numpy(), pdf["own"].to_numpy()
+        m = np.array(pdf["v"].tolist(), float).reshape(len(pdf), -1)
+        m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        of, out = np.arange(len(pdf)), []
+
+        def meet(rows: np.ndarray, others: np.ndarray) -> None:
+            if not len(rows) or not len(others):
+                return
+            near = m[rows] @ m[others].T >= least
+            for i in np.flatnonzero(near.any(axis=1)):
+                at = others[near[i]]
+                groups, first = np.unique(of[at], return_index=True)
+                new = groups != of[rows[i]]
+                if new.any():
+                    out.extend((ids[rows[i]], ids[j]) for j in at[first[new]])
+                    of[np.isin(of, groups[new])] = of[rows[i]]
+
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        for i in range(0, len(left), tile):
+            for j in range(i if x == y else 0, len(right), tile):
+                a, b = left[i : i + tile], right[j : j + tile]
+                groups, n = np.unique(of[np.concatenate([a, b])], return_counts=True)
+                if len(groups) > 1:
+                    main = groups[n.argmax()]
+                    meet(a[of[a] != main], b)
+                    meet(b[of[b] != main], a)
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    rows = dealt(vectors.select("id", "v", F.lit(0).alias("w")), "w", block)
+    return rows.groupBy("x", "y").applyInPandas(link, "a long, b long")
+
+
+def pair_bits(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text how many different pairs of neighbouring characters it has, and 256 bits that these set."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    row = np.repeat(np.arange(len(texts), dtype=np.uint64), [len(t) for t in texts])
+    inside = row[1:] == row[:-1]
+    pairs = np.unique((row[1:][inside] << np.uint64(42)) | (codes[:-1][inside] << np.uint64(21)) | codes[1:][inside])
+    at = (pairs >> np.uint64(42)).astype(np.int64)
+    h = ((pairs & np.uint64((1 << 42) - 1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)
+    bits = np.zeros((len(texts), 4), np.uint64)
+    np.bitwise_or.at(bits, (at, (h >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (h & np.uint64(63)))
+    return np.bincount(at, minlength=len(texts)), bits
+
+
+def alike(n: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, same: bool):
+    """Places (i, j) of ``left`` and ``right``, tile by tile, whose bits differ in no more than near sets do; nothing near is left out."""
+    share = (1 - least) / (1 + least)
+    left, right = left[np.argsort(n[left], kind="stable")], right[np.argsort(n[right], kind="stable")]
+    for i in range(0, len(left), 64):
+        a = left[i : i + 64]
+        low, high = np.searchsorted(n[right], least * n[a[0]] - 1e-9), np.searchsorted(n[right], n[a[-1]] / least + 1e-9, "right")
+        for j in range(max(low, i) if same else low, high, 4096):
+            b = right[j : min(j + 4096, high)]
+            apart = np.zeros((len(a), len(b)), np.uint16)
+            for k in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[a, k][:, None] ^ bits[b, k][None, :])
+            p, q = np.nonzero(apart <= share * (n[a[-1]] + n[b[-1]]) + 1e-9)
+            keep = apart[p, q] <= share * (n[a[p]] + n[b[q]]) + 1e-9
+            if same:
+                keep &= q + j > p + i
+            yield a[p[keep]], b[q[keep]]
+
+
+def bigram_pairs(texts: DataFrame, least: float, within: str, block: int = 20000, fresh: str | None = None, home: str | None = None, most: int | None = None) -> DataFrame:
+    """(a, b, jaccard) of ``texts`` (id, norm, ``within``) of one ``within`` whose pairs of characters are near enough.
+
+    Exact. Pairs of characters are few and most texts share their rare ones too, so there is no key that near texts
+    meet on: blocks of texts are compared by bits, thousands at a time, and those whose bits are near by their sets.
+
+    With ``fresh`` or ``home``, boolean columns, pairs of two texts that aren't are left out. With ``most``, texts are also
+    not more than it apart in time, from one's ``last`` to the other's ``first``, and what comes out is only links
+    that connect what all pairs do: at most one less than a task's texts, however many are near.
+    """
+    flags = [c for c in (fresh, home) if c]
+    cols = ["id", "norm", *flags, *(["first", "last"] if most is not None else [])]
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
+        ids, own, norms = pdf["id"].to_numpy(), pdf["own"].to_numpy(), pdf["norm"].tolist()
+        n, bits = pair_bits(norms)
+        marks = [pdf[c].to_numpy(bool) for c in flags]
+        times = (pdf["first"].to_numpy(), pdf["last"].to_numpy()) if most is not None else None
+        of, out, sets = np.arange(len(pdf)), [], {}
+
+        def grams(i: int) -> set:
+            if i not in sets:
+                sets[i] = {norms[i][k : k + 2] for k in range(len(norms[i]) - 1)}
+            return sets[i]
+
+        def compare(left: np.ndarray, right: np.ndarray, same: bool) -> None:
+            for i, j in alike(n, bits, left, right, least, same):
+                keep = np.ones(len(i), bool)
+                for mark in marks:
+                    keep &= mark[i] | mark[j]
+                if times is not None:
+                    keep &= np.maximum(times[0][i], times[0][j]) - np.minimum(times[1][i], times[1][j]) <= most
+                i, j = i[keep], j[keep]
+                while len(i):
+                    # what is linked already goes between slices
+                    if times is not None:
+                        apart = of[i] != of[j]
+                        i, j = i[apart], j[apart]
+                    for p, q in zip(i[:256].tolist(), j[:256].tolist(), strict=True):
+                        if times is not None and of[p] == of[q]:
+                            continue
+                        both = len(grams(p) & grams(q))
+                        jaccard = both / (n[p] + n[q] - both)
+                        if jaccard >= least - 1e-9:
+                            out.append((min(ids[p], ids[q]), max(ids[p], ids[q]), jaccard))
+                            if times is not None:
+                                of[of == of[q]] = of[p]
+                    i, j = i[256:], j[256:]
+
+        first = marks[0] if marks else np.ones(len(pdf), bool)
+        l1, l0 = np.flatnonzero((own == x) & first), np.flatnonzero((own == x) & ~first)
+        if x == y:
+            compare(l1, l1, True)
+            compare(l1, l0, False)
+        else:
+            r1, r0 = np.flatnonzero((own == y) & first), np.flatnonzero((own == y) & ~first)
+            for a, b in ((l1, r1), (l1, r0), (l0, r1)):
+                compare(a, b, False)
+        return pd.DataFrame(out, columns=["a", "b", "jaccard"]).astype({"a": "int64", "b": "int64", "jaccard": "float64"})
+
+    rows = dealt(texts.where(F.length("norm") >= 2).select(*cols, F.xxhash64(within).alias("w")), "w", block)
+    return rows.groupBy("w", "x", "y").applyInPandas(near, "a long, b long, jaccard double")
+
+
 #: Links' ends that a task holds at once when it joins what its own links connect.
 HELD = 1 << 20
 

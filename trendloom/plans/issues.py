@@ -51,8 +51,8 @@ def _distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bigram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = work_table(spread(_distinct_titles(spark, sf_dir), "id").select("id", "category", bigrams(F.col("norm")).alias("members")), "grams")
-    return sim.jaccard_pairs(sets, 0.8, "category").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    titles = work_table(_distinct_titles(spark, sf_dir), "titles")
+    return sim.bigram_pairs(titles, 0.8, "category").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def word_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,10 +84,12 @@ def alike_in_time(p: DataFrame, hours: int, c=DEFAULT, fresh: str | None = None)
     # each title of a category and span once; spans meet the ones after them
     ends = rows.groupBy("category", "norm", "span").agg(F.min(F.struct("t", "id")).alias("first"), F.max(F.struct("t", "id")).alias("last"), *([F.bool_or(fresh).alias(fresh)] if fresh else []))
     ends = work_table(ends.withColumn("id", F.xxhash64("category", "norm", "span")), "titles")
-    met = ends.select("id", "norm", *([fresh] if fresh else []), F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("s"), "category").withColumn("within", F.concat_ws(" ", "category", "s"))
-    met = work_table(spread(met, "id").select("id", "within", *([fresh] if fresh else []), bigrams(F.col("norm")).alias("grams"), title_tokens(F.col("norm")).alias("words")), "met")
-    grams = sim.jaccard_pairs(met.drop("words").withColumnRenamed("grams", "members"), c.bigram_jaccard, "within", fresh)
-    words = sim.jaccard_pairs(met.drop("grams").withColumnRenamed("words", "members").where("size(members) >= 2"), c.word_jaccard, "within", fresh)
+    met = ends.select("id", "norm", "span", *([fresh] if fresh else []), F.col("first.t").alias("first"), F.col("last.t").alias("last"), F.explode(F.array(F.col("span"), F.col("span") + 1)).alias("s"), "category")
+    # two titles of one span meet in their own span only
+    met = met.withColumn("within", F.concat_ws(" ", "category", "s")).withColumn("home", F.col("s") == F.col("span"))
+    grams = work_table(sim.bigram_pairs(met, c.bigram_jaccard, "within", fresh=fresh, home="home", most=hours * 3_600_000_000), "near-grams")
+    worded = work_table(spread(met, "id").select("id", "within", *([fresh] if fresh else []), title_tokens(F.col("norm")).alias("members")).where("size(members) >= 2"), "met")
+    words = work_table(sim.jaccard_pairs(worded, c.word_jaccard, "within", fresh), "near-words")
     pairs = grams.select("a", "b").unionByName(words.select("a", "b")).distinct()
     of = lambda side: ends.select(F.col("id").alias(side), F.col("span").alias(f"span_{side}"), F.col("first").alias(f"first_{side}"), F.col("last").alias(f"last_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -122,7 +124,7 @@ def near_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors(spark, sf_dir)
     same = work_table(v.join(posts(spark, sf_dir).select("id").distinct(), "id", "left_semi").groupBy("v").agg(F.min("id").alias("head"), F.collect_set("id").alias("ids")), "vectors")
     heads = same.select(F.col("head").alias("id"), "v")
-    linked = sim.groups(heads.select("id"), sim.cosine_pairs(heads, NEAR))
+    linked = sim.groups(heads.select("id"), sim.cosine_links(heads, NEAR))
     return same.select("head", F.explode("ids").alias("id")).join(linked.select(F.col("id").alias("head"), "group"), "head").groupBy("id").agg(F.min("group").alias("issue"))
 
 
@@ -284,10 +286,11 @@ def match_trends(p: DataFrame, keywords: DataFrame, at: Column, c=DEFAULT) -> Da
     of which it has 70 % of the pairs of characters, if there are four characters. Each source counts once,
     by its strongest match, of equals the least keyword, and decays by that one's age.
     """
-    grams, bare = bigrams(F.col("norm")), bigrams(F.replace("norm", F.lit(" ")))
     # each different title and keyword once
     heads = work_table(p.groupBy("norm").agg(F.min("id").alias("head")), "heads")
-    titled = work_table(spread(heads, "head").select("head", "norm", grams.alias("grams"), bare.alias("bare_grams"), *sim.sketch(grams, "t"), *sim.sketch(bare, "u")), "titles")
+    # step by step, as what is used within arrays would be computed for each of their elements
+    grams = spread(heads, "head").select("head", "norm", F.replace("norm", F.lit(" ")).alias("bare")).select("head", "norm", bigrams(F.col("norm")).alias("grams"), bigrams(F.col("bare")).alias("bare_grams"))
+    titled = work_table(grams.select("*", *sim.sketch(F.col("grams"), "t"), *sim.sketch(F.col("bare_grams"), "u")), "titles")
     words = keywords.withColumn("bare", F.replace("keyword", F.lit(" "))).where(F.length("keyword") >= F.when(F.col("keyword").rlike("^[가-힯㄰-㆏]"), 2).otherwise(3))
     words = work_table(words.select("source_key", "keyword", "bare", "strength", "at"), "keywords")
     terms = words.select("keyword", "bare").distinct().withColumn("grams", bigrams(F.col("keyword"))).withColumn("bare_grams", bigrams(F.col("bare")))
