@@ -56,7 +56,7 @@ def stream_dedup_clusters(spark: SparkSession, sf_dir: str, path: str | None = N
 def stream_velocity(spark: SparkSession, sf_dir: str, path: str | None = None, idle: str = "3650 days", delay: str = "3650 days") -> DataFrame:
     """Growth per hour of each post from its first and last snapshot, kept as they come; those that span enough time."""
     path = state.job_folder(spark, "velocity", path)
-    updates = state.velocity_updates(jobs.arrivals_of(snapshots(spark, sf_dir), f"{path}/snapshots"), idle, delay)
+    updates = state.velocity_updates(jobs.arrivals_of(snapshots(spark, sf_dir), f"{path}/snapshots", files=1000), idle, delay)
     last = state.latest_rows(updates, path, ["post_id"]).where("hours > 0.15")
     return last.select("post_id", *[F.round(c, 6).alias(c) for c in ("views", "comments", "likes")])
 

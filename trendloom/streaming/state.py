@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -218,9 +219,9 @@ def velocity_updates(snapshots: DataFrame, idle: str = "2 hours", delay: str = "
             return
         edges = state.get if state.exists else None
         for pdf in batches:
-            rows = pd.DataFrame({"at": pdf["captured_at"].astype("datetime64[us]").astype("int64"), "id": pdf["id"], "v": pdf["view_count"], "c": pdf["comment_count"], "l": pdf["like_count"]})
-            rows = rows.sort_values(["at", "id"])
-            for row in (tuple(int(x) for x in rows.iloc[i]) for i in (0, -1)):
+            rows = [pdf["captured_at"].to_numpy().astype("datetime64[us]").astype("int64"), *(pdf[c].to_numpy() for c in ("id", "view_count", "comment_count", "like_count"))]
+            order = np.lexsort((rows[1], rows[0]))
+            for row in (tuple(int(x[i]) for x in rows) for i in (order[0], order[-1])):
                 edges = (*min(edges[:5], row), *max(edges[5:], row)) if edges is not None else (*row, *row)
         state.update(edges)
         # timers can't be before the watermark
