@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.work import work_root
+
 #: All plans take the time they look back from; this one suits the test tables.
 AS_OF = "2024-01-31 00:00:00"
 
@@ -27,11 +34,30 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Of a folder of tables, the work table of its posts and their schema.
+_KEPT: contextvars.ContextVar[dict] = contextvars.ContextVar("kept_posts", default={})  # noqa: B039
+
+
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts from documents: one row each."""
+    if sf_dir in _KEPT.get():
+        path, schema = _KEPT.get()[sf_dir]
+        return spark.read.schema(schema).parquet(path)
     return posts_of(read(spark, sf_dir, "documents"))
 
 
+@contextlib.contextmanager
+def kept_posts(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """Within it, ``posts`` of this folder are a work table: a query of many steps reads the texts once."""
+    made, path = posts(spark, sf_dir), f"{work_root(spark)}/posts-{uuid.uuid4().hex}"
+    made.write.parquet(path)
+    token = _KEPT.set(_KEPT.get() | {sf_dir: (path, made.schema)})
+    try:
+        yield
+    finally:
+        _KEPT.reset(token)
+
+
 def posts_of(documents: DataFrame) -> DataFrame:
     """The same of documents that come as a stream."""
     return documents.selectExpr(

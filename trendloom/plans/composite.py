@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import CATEGORY_WEIGHT, COMMUNITY_HALF_LIFE, COMMUNITY_WEIGHT, DEFAULT, DEFAULT_SOURCE_WEIGHT, NEWS_HALF_LIFE, SOURCE_WEIGHT, Scoring
 from ..functions.maths import age_minutes, clamp, decay, freshness_signal, lookup
 from ..functions.text import normalize_title, title_hash
-from ..model import AS_OF, POSTS_SQL, as_of, case_of, posts
+from ..model import AS_OF, POSTS_SQL, as_of, case_of, kept_posts, posts
 from ..operators.scoring import half_life
 from ..operators.work import work_table
 from . import issues
@@ -90,13 +90,15 @@ def post_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = composite(posts(spark, sf_dir), as_of(), post_signals(spark, sf_dir))
+    with kept_posts(spark, sf_dir):
+        out = composite(posts(spark, sf_dir), as_of(), post_signals(spark, sf_dir))
     return out.select("id", F.round("engagement_factor", 6).alias("engagement_factor"), F.round("category_factor", 6).alias("category_factor"), F.round("cluster_factor", 6).alias("cluster_factor"), "half_life", F.round("base", 4).alias("base"), F.round("score", 6).alias("score"))
 
 
 def news_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The six signals of news and their sum."""
-    s = post_signals(spark, sf_dir).join(posts(spark, sf_dir).where("category IN ('news', 'portal')").select("id", "published_at", "scraped_at"), "id")
+    with kept_posts(spark, sf_dir):
+        s = post_signals(spark, sf_dir).join(posts(spark, sf_dir).where("category IN ('news', 'portal')").select("id", "published_at", "scraped_at"), "id")
     fresh = freshness_signal(age_minutes(F.coalesce("published_at", "scraped_at"), as_of()))
     total = news_signal(F.col("portal"), F.col("importance"), trend_signal(F.coalesce("trend", F.lit(1.0))), F.col("news_engagement"), fresh, F.col("video"))
     return s.select("id", "portal", "importance", "trend", "news_engagement", "video", F.round(fresh, 6).alias("freshness"), F.round(total, 6).alias("signal"))
