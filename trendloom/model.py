@@ -59,13 +59,13 @@ def kept_posts(spark: SparkSession, sf_dir: str) -> Iterator[None]:
 
 
 def posts_of(documents: DataFrame) -> DataFrame:
-    """The same of documents that come as a stream."""
+    """The same of documents that come as a stream; a null text is as an empty one."""
     return documents.selectExpr(
         "doc_id AS id", f"coalesce(try_element_at(array({_LIST(SOURCES)}), try_cast(substring(source, 4) AS INT) + 1), source) AS source_key", "upper(source) AS source_name",
         "CASE lang WHEN 'en' THEN 'news' WHEN 'fr' THEN 'community' WHEN 'es' THEN 'video' ELSE 'portal' END AS category",
         "CASE WHEN doc_id % 4 <> 0 THEN concat('sub', doc_id % 6) END AS subcategory",
         f"""CASE WHEN doc_id % 31 = 0 THEN '' ELSE concat(CASE WHEN doc_id % 17 = 0 THEN '[속보] ' WHEN doc_id % 23 = 0 THEN '[사진] ' ELSE '' END,
-          substring(split_part(text, chr(10), 1), 1, 120), CASE WHEN doc_id % 5 = 1 THEN concat(' ', element_at(array({_LIST(PHRASES)}), cast((doc_id div 5) % 8 AS INT) + 1)) ELSE '' END) END AS title""",
+          coalesce(substring(split_part(text, chr(10), 1), 1, 120), ''), CASE WHEN doc_id % 5 = 1 THEN concat(' ', element_at(array({_LIST(PHRASES)}), cast((doc_id div 5) % 8 AS INT) + 1)) ELSE '' END) END AS title""",
         "concat('https://ex.test/', doc_id) AS url",
         "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id * 7919) % 5003 END AS view_count",
         "CASE WHEN doc_id % 5 = 0 THEN 0 ELSE (doc_id * 104729) % 97 END AS comment_count",

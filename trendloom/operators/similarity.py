@@ -383,7 +383,7 @@ def issue_cards(scored: DataFrame, top: int = 10, alpha: float = 0.25, sources:
     cards = df.groupBy("cluster_id").agg(
         F.count("*").alias("posts"), F.countDistinct("source_key").alias("n_sources"), F.countDistinct("channel").alias("n_channels"),
         count(("news", "portal")).alias("news_posts"), count(("community",)).alias("community_posts"), count(("video",)).alias("video_posts"), F.min("id").alias("first_id"),
-        F.min_by("title", F.struct(priority, -F.col("trend_score"), "id")).alias("title"),
+        F.min_by("title", F.struct(priority, -F.col("trend_score"), F.col("id").isNull(), "id", "title")).alias("title"),
     )
     cards = cards.where((F.col("n_sources") >= sources) & (F.col("news_posts") >= 1))
     sums = df.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= top).groupBy("cluster_id").agg(F.sum(F.col("trend_score").cast("decimal(14,6)")).alias("sum_top"))

@@ -439,7 +439,7 @@ _TOPICS = f"""g AS (SELECT {H} AS h, count(*) AS n, count(DISTINCT source_key) A
 _CARDS = f"""m AS (SELECT *, {H} AS cluster_id, row_number() OVER (PARTITION BY {H} ORDER BY trend_score DESC, id) AS rn,
     CASE category WHEN 'news' THEN 0 WHEN 'portal' THEN 1 WHEN 'video' THEN 2 ELSE 3 END AS pr FROM scored WHERE {NORMAL_SQL} <> ''),
   cards AS (SELECT cluster_id, count(*) AS posts, count(DISTINCT source_key) AS n_sources, count(DISTINCT category) AS n_channels, count(*) FILTER (WHERE category IN ('news', 'portal')) AS news_posts,
-    count(*) FILTER (WHERE category = 'community') AS community_posts, count(*) FILTER (WHERE category = 'video') AS video_posts, min(id) AS first_id, first(title ORDER BY pr, trend_score DESC, id) AS title,
+    count(*) FILTER (WHERE category = 'community') AS community_posts, count(*) FILTER (WHERE category = 'video') AS video_posts, min(id) AS first_id, first(title ORDER BY pr, trend_score DESC, id, title) AS title,
     round(sum(trend_score::DECIMAL(14,6)) FILTER (WHERE rn <= 10)::DECIMAL(24,6) * (1 + 0.25 * (count(DISTINCT category) - 1))::DECIMAL(8,4), 4)::DOUBLE AS issue_score FROM m GROUP BY 1 HAVING count(DISTINCT source_key) >= 2 AND count(*) FILTER (WHERE category IN ('news', 'portal')) >= 1)"""
 
 
